@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ["sources", "quality", "gold"]
+_MODULES = ["sources", "quality", "functions", "joins", "aggregates", "gold"]
 
 
 def load_all() -> None:

@@ -75,15 +75,17 @@ def comparable(df: DataFrame, digits: int) -> DataFrame:
 def _complete(sql: str, digits: int) -> str:
     """Prefix the fragments a statement uses and round its doubles."""
     needed: dict[str, str] = {}
+    active: set[str] = set()  # a recursive fragment names itself
 
     def visit(text: str) -> None:
         for word in dict.fromkeys(re.findall(r"[a-z_][a-z0-9_]*", text)):
-            if word in needed:
+            if word in needed or word in active:
                 continue
             body = VIEWS.get(word) or (
                 bindings.duck_sql(word) if word in bindings.BINDINGS else None)
             if body is None or body == text:
                 continue
+            active.add(word)
             visit(body)
             needed[word] = body
 
