@@ -2,7 +2,8 @@
 
 from importlib import import_module
 
-_MODULES = ["sources", "quality", "functions", "joins", "aggregates", "gold"]
+_MODULES = ["sources", "quality", "functions", "joins", "aggregates", "workflow", "serving",
+            "streaming", "model", "gold"]
 
 
 def load_all() -> None:

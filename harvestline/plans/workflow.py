@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 from datetime import datetime
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harvestline import constants, schemas
@@ -20,9 +20,6 @@ from harvestline.operators.quality import Rule
 from harvestline.session import cut_lineage
 
 
-def _take(df: DataFrame, limit: int | None) -> DataFrame:
-    return df if limit is None else df.limit(limit)
-
 
 # ---- requests for quotes ----------------------------------------------------------
 
@@ -263,13 +260,13 @@ def reconcile(invoices: DataFrame, drafts: DataFrame, limit: int | None = None)
 # ---- supplier onboarding ----------------------------------------------------------
 
 
-def onboard_score(applications: DataFrame, *, near_countries: Sequence[str] = (),
+def onboard_score(applications: DataFrame, *, near: Column | None = None,
                   catalogue: Sequence[str] = tuple(constants.CATALOGUE),
                   limit: int | None = None) -> DataFrame:
     """Rubric score and verdict of open applications.
 
     Relevance is the share of offered items found in the catalogue; years count in full
-    from five; a country outside `near_countries` counts half.
+    from five; a country within reach (`near` is TRUE) counts in full, any other half.
     """
     todo = quality.status_in(applications, "status", constants.OPEN_APPLICATIONS)
     if limit is not None:
@@ -282,9 +279,7 @@ def onboard_score(applications: DataFrame, *, near_countries: Sequence[str] = ()
     hits = F.size(F.filter(offered, lambda s: F.array_contains(wanted, s)))
     relevance = F.coalesce(F.try_divide(hits, F.size(offered)), F.lit(0.0))
     years = F.least(F.greatest(F.coalesce("years_in_biz", F.lit(0)), F.lit(0)) / 5.0, F.lit(1.0))
-    near = (F.coalesce(F.col("country").isin(*near_countries), F.lit(False))
-            if near_countries else F.lit(False))
-    country = F.when(near, F.lit(1.0)).otherwise(F.lit(0.5))
+    country = F.when(F.lit(False) if near is None else near, F.lit(1.0)).otherwise(F.lit(0.5))
     total = (
         weights["relevance"] * relevance
         + weights["organic"] * numbers.flag(F.col("organic_cert"))
@@ -294,7 +289,7 @@ def onboard_score(applications: DataFrame, *, near_countries: Sequence[str] = ()
     scored = todo.withColumn("score", F.round(total, 6)).withColumn(
         "status", status.onboard_verdict(F.col("score")))
     note = F.concat(F.col("supplier_name"), F.lit(": "), F.lower("status"),
-                    F.format_string(" at %.2f", F.col("score")))
+                    F.format_string(" at %.3f", F.col("score")))
     return scored.withColumn("agent_notes", text.short_notes(note))
 
 
@@ -332,7 +327,7 @@ def rejected_applications(payloads: DataFrame) -> DataFrame:
 
 
 def p2p_cycle(tables: Mapping[str, DataFrame], as_of: datetime, *,
-              near_countries: Sequence[str] = ()) -> dict[str, DataFrame]:
+              near: Column | None = None) -> dict[str, DataFrame]:
     """All steps in order over one set of state tables; returns the new versions.
 
     Needs recommendations, email_outbox, email_inbox, po_drafts, budget_ledger,
@@ -359,7 +354,7 @@ def p2p_cycle(tables: Mapping[str, DataFrame], as_of: datetime, *,
     keep("invoice_reconciliations", state.state_update(
         tables["invoice_reconciliations"], judged, "reconciliation_id",
         ["expected_amount_usd", "variance_usd", "variance_pct", "status", "agent_notes"]))
-    scored = onboard_score(tables["supplier_applications"], near_countries=near_countries)
+    scored = onboard_score(tables["supplier_applications"], near=near)
     keep("supplier_applications", state.state_update(
         tables["supplier_applications"], scored, "application_id",
         ["status", "score", "agent_notes"]))

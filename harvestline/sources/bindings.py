@@ -120,7 +120,7 @@ BINDINGS: dict[str, Binding] = {
         "rationale": "o_orderpriority",
     }),
     "budget_ledger": Binding("orders", {
-        "ledger_id": "o_orderkey",
+        "ledger_id": "concat('L', o_orderkey)",
         "entry_ts": "o_orderdate",
         "period_ym": "{month(o_orderdate)}",
         "category": "case o_orderkey % 4 when 0 then 'SEED' when 1 then 'SUBSTRATE' "
