@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from harvestline.checks.registry import VIEWS, Tables, query
+from harvestline.checks.registry import VIEWS, Tables, query, shared
 from harvestline.plans import gold, silver
+from harvestline.session import cut_lineage
 from harvestline.sources.bindings import AS_OF_EVENTS, AS_OF_QUOTES, BANDS, CROPS
 
 _NEWEST = "QUALIFY row_number() OVER (PARTITION BY {} ORDER BY {} DESC, {} DESC) = 1"
@@ -140,35 +141,48 @@ VIEWS["gd_recommendations"] = """
     FROM low_offers"""
 
 
+@shared
 def snapshot(t: Tables):
     return gold.inventory_snapshot(
         silver.validated("inventory_events", t.inventory_events), t.dim_sku)
 
 
+@shared
 def prices(t: Tables):
     return gold.commodity_latest(
         silver.validated("commodity_prices", t.commodity_prices), AS_OF_EVENTS)
 
 
+@shared
+def stored_prices(t: Tables):
+    """The price view as a table: one row per input, read by two later views."""
+    return cut_lineage(prices(t), "commodity-latest")
+
+
+@shared
 def demand(t: Tables):
     return gold.demand_1h(silver.validated("demand_events", t.demand_events))
 
 
+@shared
 def quotes(t: Tables):
     return gold.supplier_quotes_current(
         silver.validated("supplier_quotes", t.supplier_quotes), AS_OF_QUOTES)
 
 
+@shared
 def po_lines(t: Tables):
     return gold.open_po_lines(
         silver.validated("purchase_orders", t.purchase_orders),
         silver.validated("goods_receipts", t.goods_receipts), t.dim_supplier)
 
 
+@shared
 def sensors(t: Tables):
     return gold.iot_latest(silver.validated("iot_sensor_events", t.iot_sensor_events), BANDS)
 
 
+@shared
 def matches(t: Tables):
     return gold.invoice_matching(
         silver.validated("invoice_documents", t.invoice_documents),
@@ -176,19 +190,22 @@ def matches(t: Tables):
         silver.validated("goods_receipts", t.goods_receipts))
 
 
+@shared
 def trend(t: Tables):
-    return gold.sku_trend(prices(t), t.dim_sku, CROPS)
+    return gold.sku_trend(stored_prices(t), t.dim_sku, CROPS)
 
 
+@shared
 def features(t: Tables):
     return gold.supplier_features(
-        quotes(t), t.dim_supplier, demand(t), prices(t), t.dim_sku, CROPS)
+        quotes(t), t.dim_supplier, demand(t), stored_prices(t), t.dim_sku, CROPS)
 
 
 def leaderboard(t: Tables, top: int | None = None):
     return gold.supplier_leaderboard(features(t), top=top)
 
 
+@shared
 def recommended(t: Tables):
     return gold.recommendations(snapshot(t), leaderboard(t, top=1), trend(t), AS_OF_EVENTS)
 

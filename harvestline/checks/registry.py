@@ -16,6 +16,8 @@ from harvestline.sources import bindings
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
+# the same queries without the rounding that only comparisons need
+PLAIN: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 # named SQL fragments other checks build on; bindings are added on demand
 VIEWS: dict[str, str] = {}
@@ -26,11 +28,25 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
+        self.views: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in bindings.BINDINGS:
             raise AttributeError(name)
-        return bindings.load(self.spark, self.folder, name)
+        table = bindings.load(self.spark, self.folder, name)
+        setattr(self, name, table)
+        return table
+
+
+def shared(view: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Build a view once per query, however many parts of the query use it."""
+    @wraps(view)
+    def once(t: Tables) -> DataFrame:
+        if view.__name__ not in t.views:
+            t.views[view.__name__] = view(t)
+        return t.views[view.__name__]
+
+    return once
 
 
 def query(key: str, sql: str | None = None, round_to: int = 6):
@@ -44,12 +60,15 @@ def query(key: str, sql: str | None = None, round_to: int = 6):
         if key in QUERIES:
             raise ValueError(f"{key} is registered twice")
 
+        @wraps(fn)
+        def plain(spark: SparkSession, folder: str) -> DataFrame:
+            return fn(Tables(configure(spark), folder))
+
         @wraps(fn)
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            configure(spark)
-            return comparable(fn(Tables(spark, folder)), round_to)
+            return comparable(plain(spark, folder), round_to)
 
-        QUERIES[key] = run
+        PLAIN[key], QUERIES[key] = plain, run
         if sql is not None:
             SQL[key] = _complete(sql, round_to)
         return fn

@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -91,23 +91,25 @@ def _walk(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFra
     sorted_rows = rows.repartition(*keys).sortWithinPartitions(*keys, *order)
     key_names = list(keys)
 
-    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, left = None, 0
         for batch in batches:
             approved, balance = [], []
-            labels = zip(*[batch[k].astype(object) for k in key_names], strict=True)
-            for label, cost, start in zip(labels, batch[_COST].tolist(), batch[_OPEN].tolist(),
-                                          strict=True):
+            labels = zip(*[batch.column(k).to_pylist() for k in key_names], strict=True)
+            costs, starts = (batch.column(c).to_pylist() for c in (_COST, _OPEN))
+            for label, cost, start in zip(labels, costs, starts, strict=True):
                 if label != group:
                     group, left = label, start
                 fits = cost <= left
                 left -= cost if fits else 0
                 approved.append(fits)
                 balance.append(left if fits else None)
-            yield batch.assign(**{_OK: approved, _LEFT: pd.array(balance, dtype="Int64")})
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(approved, pa.bool_()), pa.array(balance, pa.int64())],
+                names=[*batch.schema.names, _OK, _LEFT])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields]
-    return sorted_rows.mapInPandas(decide, ", ".join([*fields, f"{_OK} boolean",
+    return sorted_rows.mapInArrow(decide, ", ".join([*fields, f"{_OK} boolean",
                                                       f"{_LEFT} bigint"]))
 
 

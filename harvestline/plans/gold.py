@@ -8,9 +8,10 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harvestline.constants import CROP_INPUTS, FEATURE_DEFAULTS, SENSOR_BANDS
+from harvestline.constants import CROP_INPUTS, FEATURE_DEFAULTS, FEATURES, SENSOR_BANDS
 from harvestline.functions import numbers, scoring, status, text, timing
 from harvestline.operators import aggregates, asof, joins, latest, quality, state
+from harvestline.session import cut_lineage
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -108,8 +109,11 @@ def supplier_leaderboard(features: DataFrame, scorer: Scorer = scoring.score_clo
     """Suppliers ranked per SKU by score.
 
     `top` keeps ranks 1..top through a group limit; without it every row is ranked.
+    The features are written out first: the scorer's mean and the rank both read them
+    again, which must not repeat the joins behind them.
     """
-    scored = scorer(features)
+    needed = dict.fromkeys([*FEATURES, *BOARD[:-2], "event_ts"])
+    scored = scorer(cut_lineage(features.select(*needed), "features"))
     if top is None:
         ranked = latest.score_rank(scored, "sku", "score", "supplier_id")
     else:

@@ -12,6 +12,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from harvestline.sources.readers import batch_source
 
@@ -224,12 +225,23 @@ def to_spark(expression: str) -> str:
     return _rewrite(expression, _SPARK_TEMPLATES)
 
 
+_SCHEMAS: dict[tuple[str, str], T.StructType] = {}
+
+
+def source_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A test table; its footer is read for the schema only once per process."""
+    known = _SCHEMAS.get((folder, name))
+    table = batch_source(spark, folder, name, known)
+    _SCHEMAS[folder, name] = known or table.schema
+    return table
+
+
 def _source(spark: SparkSession, folder: str, name: str) -> DataFrame:
     if name == "supplier_nation":
-        nation = batch_source(spark, folder, "nation")
-        return batch_source(spark, folder, "supplier").join(
+        nation = source_table(spark, folder, "nation")
+        return source_table(spark, folder, "supplier").join(
             nation, F.col("s_nationkey") == F.col("n_nationkey"))
-    return batch_source(spark, folder, name)
+    return source_table(spark, folder, name)
 
 
 def project(df: DataFrame, name: str) -> DataFrame:
