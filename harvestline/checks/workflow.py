@@ -61,8 +61,8 @@ def inbound_extract(t: Tables):
     inbox = workflow.inbound_extract(t.quote_replies)
     terms = F.from_json("extracted_json", "unit_price_usd DOUBLE, pack_size_g DOUBLE, "
                                           "lead_time_days INT, organic BOOLEAN")
-    return inbox.select("email_id", "intent_detected", "processed", terms.alias("x")).select(
-        "email_id", "intent_detected", "x.*", "processed")
+    # a generator reads the text once; plain field access would parse it per field
+    return inbox.select("email_id", "intent_detected", "processed", F.inline(F.array(terms)))
 
 
 VIEWS["po_todo"] = """

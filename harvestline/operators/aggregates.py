@@ -135,19 +135,24 @@ def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 def kpi_summary(inventory: DataFrame, recommendations: DataFrame, prices: DataFrame,
                 drafts: DataFrame, inbox: DataFrame, as_of: datetime) -> DataFrame:
-    """Dashboard row. Six independent aggregates combined as scalar subqueries."""
+    """Dashboard row. Independent aggregates combined as scalar subqueries; the two facts
+    about recommendations share one pass."""
 
     def scalar(df: DataFrame, value: Column) -> Column:
         return df.agg(value).scalar()
 
     rows = F.count(F.lit(1))
-    fresh = quality.lookback(recommendations, "created_ts", as_of, strict=True, minutes=5)
-    hour = quality.lookback(recommendations, "created_ts", as_of, strict=True, hours=1)
+    fresh = timing.since(recommendations, "created_ts", as_of, strict=True, minutes=5)
+    hour = timing.since(recommendations, "created_ts", as_of, strict=True, hours=1)
+    spend = F.sum(F.when(hour, F.col("total_cost_usd")))
+    urgent = scalar(recommendations.where(hour | fresh), F.struct(
+        F.count_if(fresh & (F.col("decision") == "BUY_NOW")).alias("n"),
+        F.coalesce(spend, F.lit(0.0)).alias("usd")))
     low = quality.below_reorder(inventory).agg(rows.alias("skus_below_reorder"))
     return low.select(
         "skus_below_reorder",
-        scalar(fresh.where("decision = 'BUY_NOW'"), rows).alias("buy_now_last_5m"),
-        scalar(hour, F.coalesce(F.sum("total_cost_usd"), F.lit(0.0))).alias("spend_pending_1h_usd"),
+        urgent["n"].alias("buy_now_last_5m"),
+        urgent["usd"].alias("spend_pending_1h_usd"),
         scalar(prices, F.max("event_ts")).alias("last_market_tick"),
         scalar(drafts.where("status = 'DRAFT'"), rows).alias("po_drafts_open"),
         scalar(quality.unprocessed(inbox), rows).alias("inbound_unprocessed"),

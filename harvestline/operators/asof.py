@@ -54,8 +54,22 @@ def _micros(df: DataFrame, ts: str) -> Column:
     return F.unix_micros(column)
 
 
+# Rows that one (key, bucket) of `asof_each_row` should hold at most.
+BUCKET_ROWS = 1_000_000
+_HOUR = timedelta(hours=1)
+
+
+def bucket_width(df: DataFrame, key: str, ts: str, rows: int = BUCKET_ROWS) -> timedelta:
+    """Bucket width at which the densest hour of the densest key gives about `rows` rows
+    per bucket. One counting pass over two columns; one number reaches the driver."""
+    hour = F.floor(_micros(df, ts) / int(_HOUR / timedelta(microseconds=1)))
+    densest = df.groupBy(key, hour.alias("_hour")).count().agg(F.max("count")).first()[0]
+    width = _HOUR * (rows / (densest or 1))
+    return min(max(width, timedelta(milliseconds=1)), timedelta(days=365))
+
+
 def asof_each_row(df: DataFrame, key: str, ts: str, value: str, horizon: timedelta, *,
-                  ties: Sequence[str] = ("event_id",), bucket: timedelta = timedelta(hours=6),
+                  ties: Sequence[str] = ("event_id",), bucket: timedelta | None = None,
                   name: str = "ref_value") -> DataFrame:
     """For every row, the value its key had `horizon` earlier.
 
@@ -63,10 +77,10 @@ def asof_each_row(df: DataFrame, key: str, ts: str, value: str, horizon: timedel
     buckets: each row appears once as a candidate (at its time) and once as a question
     (at its time less `horizon`), and a window inside (key, bucket) answers the question.
     What was valid when a bucket opened comes from a small table of the last candidate
-    per bucket, carried forward; it has one row per (key, bucket). Shorten `bucket` for
-    denser feeds.
+    per bucket, carried forward; it has one row per (key, bucket). The result does not
+    depend on `bucket`; by default it follows the density of the feed.
     """
-    width = int(bucket / timedelta(microseconds=1))
+    width = int((bucket or bucket_width(df, key, ts)) / timedelta(microseconds=1))
     shift = int(horizon / timedelta(microseconds=1))
     at = _micros(df, ts)
     tie_order = F.struct(*[F.col(t) for t in ties])

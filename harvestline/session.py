@@ -49,6 +49,9 @@ def local_session(app: str = "harvestline", cores: str = "*", memory: str = "8g"
     return configure(spark)
 
 
+_SCRATCH: list[str] = []
+
+
 @functools.cache
 def _temporary_base() -> str:
     return tempfile.mkdtemp(prefix="harvestline-")
@@ -61,7 +64,22 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     used only where it is unset, as in single-machine tests.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or _temporary_base()
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete what this process put into scratch; call it when results are written.
+
+    DataFrames built on scratch tables cannot be read afterwards.
+    """
+    conf = spark._jsc.hadoopConfiguration()
+    dropped = 0
+    while _SCRATCH:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        dropped += bool(folder.getFileSystem(conf).delete(folder, True))
+    return dropped
 
 
 def cut_lineage(df: DataFrame, label: str = "cut") -> DataFrame:

@@ -111,7 +111,7 @@ def price_rows(n, seed, ties=True):
 PRICES = "event_id int, input_key string, event_ts timestamp_ntz, price_usd double"
 
 
-@pytest.mark.parametrize("bucket", [timedelta(minutes=10), timedelta(hours=6), timedelta(days=30)])
+@pytest.mark.parametrize("bucket", [timedelta(minutes=10), timedelta(hours=6), None])
 @pytest.mark.parametrize("horizon", [timedelta(0), timedelta(hours=1), timedelta(hours=30)])
 def test_asof_each_row_is_exact(spark, bucket, horizon):
     rows = price_rows(250, 5)
@@ -125,6 +125,15 @@ def test_asof_each_row_is_exact(spark, bucket, horizon):
     assert got == want
 
 
+def test_bucket_width_follows_the_densest_hour(spark):
+    rows = [(i, "hot", T0 + timedelta(seconds=i), 1.0) for i in range(3600)]
+    rows += [(9000 + i, "cold", T0 + timedelta(days=i), 1.0) for i in range(50)]
+    df = spark.createDataFrame(rows, PRICES)
+    assert asof.bucket_width(df, "input_key", "event_ts", rows=60) == timedelta(minutes=1)
+    assert asof.bucket_width(df, "input_key", "event_ts", rows=36000) == timedelta(hours=10)
+    assert asof.bucket_width(df.limit(0), "input_key", "event_ts") == timedelta(days=365)
+
+
 def test_commodity_latest_edges(spark):
     as_of = T0 + timedelta(days=2)
     rows = [(1, "young", as_of - timedelta(minutes=30), 5.0),

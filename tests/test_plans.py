@@ -61,6 +61,24 @@ def test_one_shuffle_serves_both_as_of_windows(spark):
     assert "_slot" in text and text.count("Window [") <= 4
 
 
+def test_bucketed_lines_join_without_a_shuffle(spark):
+    from harvestline.operators import joins
+    from harvestline.session import scratch_path
+    from harvestline.sources import sinks
+
+    t = Tables(spark, FOLDER)
+    stored = {
+        n: sinks.bucketed(getattr(t, n), f"bucketed_{n}", scratch_path(spark, n), 4, joins.LINE)
+        for n in ("purchase_orders", "goods_receipts")
+    }
+    state = joins.line_state(stored["purchase_orders"], stored["goods_receipts"])
+    assert "Exchange hashpartitioning" not in plan(state)
+    direct = joins.line_state(t.purchase_orders, t.goods_receipts)
+    assert state.exceptAll(direct).count() == 0 and direct.exceptAll(state).count() == 0
+    for n in stored:
+        spark.sql(f"DROP TABLE bucketed_{n}")
+
+
 def test_sources_keep_to_the_rules():
     for path in [*ROOT.glob("harvestline/**/*.py"), ROOT / "__spark_entry__.py"]:
         code = path.read_text()

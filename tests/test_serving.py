@@ -97,3 +97,16 @@ def test_alias_moves_between_versions(spark):
 def test_feature_columns_are_checked(spark):
     with pytest.raises(ValueError, match="missing"):
         model.check_features(spark.range(1))
+
+
+def test_scratch_can_be_dropped(spark):
+    import os
+
+    from harvestline import session
+
+    mine, session._SCRATCH[:] = list(session._SCRATCH), []
+    path = scratch_path(spark, "dropped")
+    spark.range(3).write.parquet(path)
+    assert session.drop_scratch(spark) == 1
+    assert not os.path.exists(path.removeprefix("file:"))
+    session._SCRATCH[:] = mine
