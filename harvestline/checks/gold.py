@@ -201,8 +201,13 @@ def features(t: Tables):
         quotes(t), t.dim_supplier, demand(t), stored_prices(t), t.dim_sku, CROPS)
 
 
+@shared
+def stored_features(t: Tables):
+    return gold.stored_features(features(t))
+
+
 def leaderboard(t: Tables, top: int | None = None):
-    return gold.supplier_leaderboard(features(t), top=top)
+    return gold.supplier_leaderboard(stored_features(t), top=top)
 
 
 @shared

@@ -10,7 +10,7 @@ from harvestline.checks.registry import Tables, query
 from harvestline.constants import FEATURES
 from harvestline.functions import scoring
 from harvestline.plans import gold, model
-from harvestline.session import cut_lineage, scratch_path
+from harvestline.session import scratch_path
 
 # enough trees to exercise the path; the default of `fit` is 250
 CHECK_TREES = 5
@@ -20,14 +20,14 @@ _TERMS = ["price", "pack", "lead", "reliability", "urgency", "trend", "organic"]
 
 @query("procurement_score", "SELECT sku, supplier_id, R(score) AS score FROM scored_offers")
 def procurement_score(t: Tables):
-    return scoring.score_closed_form(views.features(t)).select("sku", "supplier_id", "score")
+    return scoring.score_closed_form(views.stored_features(t)).select("sku", "supplier_id", "score")
 
 
 @query("score_terms", f"""
     SELECT sku, supplier_id, {', '.join(f'R({n}_term) AS {n}_term' for n in _TERMS)}
     FROM scored_offers""")
 def score_terms(t: Tables):
-    return scoring.explain_score(views.features(t)).select(
+    return scoring.explain_score(views.stored_features(t)).select(
         "sku", "supplier_id", *[f"{n}_term" for n in _TERMS])
 
 
@@ -35,14 +35,14 @@ def score_terms(t: Tables):
     SELECT {', '.join(f'R({c}) AS {c}' for c in FEATURES)}, R(score) AS label
     FROM scored_offers""", round_to=8)
 def training_set(t: Tables):
-    return model.training_set(views.features(t))
+    return model.training_set(views.stored_features(t))
 
 
 @query("feature_order", """
     SELECT sku, supplier_id, R(lead_time_days) AS lead_time_days, R(min_qty) AS min_qty,
            R(demand_1h_trays) AS demand_1h_trays FROM supplier_features""")
 def feature_order(t: Tables):
-    ordered = model.check_features(views.features(t))
+    ordered = model.check_features(views.stored_features(t))
     assert ordered.columns[:len(FEATURES)] == FEATURES
     return ordered.select("sku", "supplier_id", "lead_time_days", "min_qty", "demand_1h_trays")
 
@@ -68,19 +68,18 @@ def _closed_form_in_python():
 @query("vectorised_score_udf", "SELECT sku, supplier_id, R(score) AS score FROM scored_offers")
 def vectorised_score_udf(t: Tables):
     score = model.vectorised_scorer(_closed_form_in_python, extra=[scoring.PRICE_NORM])
-    return score(scoring.with_price_norm(views.features(t))).select(
+    return score(scoring.with_price_norm(views.stored_features(t))).select(
         "sku", "supplier_id", "score")
 
 
 def _fitted(t: Tables):
-    labelled = cut_lineage(model.training_set(views.features(t)), "training-set")
-    return model.fit(labelled, trees=CHECK_TREES, rate=0.3)
+    return model.fit(model.training_set(views.stored_features(t)), trees=CHECK_TREES, rate=0.3)
 
 
 @query("gbt_train_score")
 def gbt_train_score(t: Tables):
     """Suppliers ranked by a scorer trained on the same feature table."""
-    features = cut_lineage(views.features(t), "features")
+    features = views.stored_features(t)
     trained = model.fit(model.training_set(features), trees=CHECK_TREES, rate=0.3)
     return gold.supplier_leaderboard(features, scorer=model.scorer(trained.model))
 
@@ -101,5 +100,5 @@ def model_versions(t: Tables):
         model.move_alias(t.spark, root, "supplier_scoring_model", "prod", version)
     loaded = model.load_alias(t.spark, root, "supplier_scoring_model")
     version = model.resolve_alias(t.spark, root, "supplier_scoring_model", "prod")
-    return model.predict(loaded, views.features(t)).select(
+    return model.predict(loaded, views.stored_features(t)).select(
         "sku", "supplier_id", "score", F.lit(version).alias("model_version"))

@@ -45,13 +45,34 @@ def top_ranked(df: DataFrame, key: str, score: str, tie: str, n: int) -> DataFra
     return df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
-def score_rank(df: DataFrame, key: str, score: str, tie: str, bands: int = 256) -> DataFrame:
+# Rows of one group that a single task sorts at most.
+GROUP_ROWS = 1_000_000
+MAX_BANDS = 4096
+
+
+def bands_for(df: DataFrame, key: str, rows: int = GROUP_ROWS) -> int:
+    """Score bands that cut the largest group into pieces a task can sort; 1 if it fits.
+
+    A counting pass over the key column; one number reaches the driver.
+    """
+    largest = df.groupBy(key).count().agg(F.max("count")).first()[0] or 0
+    return 1 if largest <= rows else min(MAX_BANDS, -(-4 * largest // rows))
+
+
+def score_rank(df: DataFrame, key: str, score: str, tie: str,
+               bands: int | None = None) -> DataFrame:
     """Rank of every row by score (0..1) within `key`, largest first.
 
-    A full rank has no group limit, so a plain window would sort a hot key in one task.
-    Rows are ranked inside (key, score band) and shifted by the number of rows in the
-    higher bands. The shift table has at most `bands` + 1 rows per key.
+    A full rank has no group limit, so a hot key would be sorted in one task. Where the
+    largest group is too big for that, rows are ranked inside (key, score band) and
+    shifted by the number of rows in the higher bands; the shift table has at most
+    `bands` + 1 rows per key. The result does not depend on `bands`.
     """
+    bands = bands or bands_for(df, key)
+    order = [F.col(score).desc(), F.col(tie)]
+    if bands == 1:
+        whole = F.row_number().over(W.partitionBy(key).orderBy(*order))
+        return df.withColumn("rank", whole.cast("int"))
     band = F.coalesce(
         F.least(F.greatest(F.floor(F.col(score) * bands), F.lit(0)), F.lit(bands - 1)), F.lit(-1)
     ).cast("int")
@@ -62,9 +83,8 @@ def score_rank(df: DataFrame, key: str, score: str, tie: str, bands: int = 256)
         banded.groupBy(key, "_band").agg(F.count(F.lit(1)).alias("_n"))
         .select(key, "_band", F.coalesce(F.sum("_n").over(higher), F.lit(0)).alias("_shift"))
     )
-    inside = W.partitionBy(key, "_band").orderBy(F.col(score).desc(), F.col(tie))
     return (
-        banded.withColumn(_RN, F.row_number().over(inside))
+        banded.withColumn(_RN, F.row_number().over(W.partitionBy(key, "_band").orderBy(*order)))
         .join(shifts, [key, "_band"], "left")
         .withColumn("rank", (F.col(_RN) + F.col("_shift")).cast("int"))
         .drop("_band", "_shift", _RN)

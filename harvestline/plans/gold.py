@@ -104,16 +104,23 @@ BOARD = ["sku", "supplier_id", "supplier_name", "pack_size_g", "unit_price_usd",
          "usd_per_gram", "lead_time_days", "min_qty", "organic", "score", "rank"]
 
 
+def stored_features(features: DataFrame) -> DataFrame:
+    """The columns scoring and ranking need, written out once.
+
+    The scorer's mean, the size check and the rank each read the features again; that must
+    not repeat the joins behind them.
+    """
+    needed = dict.fromkeys([*FEATURES, *BOARD[:-2], "event_ts"])
+    return cut_lineage(features.select(*needed), "features")
+
+
 def supplier_leaderboard(features: DataFrame, scorer: Scorer = scoring.score_closed_form,
                          top: int | None = None) -> DataFrame:
-    """Suppliers ranked per SKU by score.
+    """Suppliers ranked per SKU by score; give it `stored_features`.
 
     `top` keeps ranks 1..top through a group limit; without it every row is ranked.
-    The features are written out first: the scorer's mean and the rank both read them
-    again, which must not repeat the joins behind them.
     """
-    needed = dict.fromkeys([*FEATURES, *BOARD[:-2], "event_ts"])
-    scored = scorer(cut_lineage(features.select(*needed), "features"))
+    scored = scorer(features)
     if top is None:
         ranked = latest.score_rank(scored, "sku", "score", "supplier_id")
     else:

@@ -78,7 +78,7 @@ def test_latest_breaks_ties_by_id(spark):
     assert [r.v for r in latest.latest_per_key(df, ["key"]).collect()] == [2]
 
 
-@pytest.mark.parametrize("bands", [1, 4, 256])
+@pytest.mark.parametrize("bands", [None, 4, 256])
 def test_score_rank_is_exact(spark, bands):
     rng = random.Random(3)
     rows = [("hot" if rng.random() < 0.5 else f"s{rng.randrange(5)}", i,
@@ -95,6 +95,13 @@ def test_score_rank_is_exact(spark, bands):
     assert got == want
 
 
+def test_bands_follow_the_largest_group(spark):
+    df = spark.range(1000).select((F.col("id") % 3).alias("sku"))
+    assert latest.bands_for(df, "sku") == 1
+    assert latest.bands_for(df, "sku", rows=100) == 14
+    assert latest.bands_for(df.limit(0), "sku") == 1
+
+
 # ---- as-of ------------------------------------------------------------------------
 
 
