@@ -8,7 +8,7 @@ from harvestline.checks import gold as views
 from harvestline.checks.registry import VIEWS, Tables, query
 from harvestline.functions import timing
 from harvestline.operators import aggregates, asof, budget, latest
-from harvestline.plans import workflow
+from harvestline.plans import silver, workflow
 from harvestline.sources.bindings import AS_OF_EVENTS, PERIOD_BUDGET_USD
 
 
@@ -18,7 +18,8 @@ def receipts_sum(t: Tables):
 
 
 @query("demand_total", """
-    SELECT sku, cast(sum(trays) AS bigint) AS demand_1h_trays FROM demand_events GROUP BY sku""")
+    SELECT sku, cast(sum(trays) AS bigint) AS demand_1h_trays FROM sv_demand_events
+    GROUP BY sku""")
 def demand_total(t: Tables):
     return aggregates.demand_total(views.demand(t))
 
@@ -26,7 +27,7 @@ def demand_total(t: Tables):
 @query("demand_tumbling_1h", """
     SELECT sku, hour_ts, trays, R(grams_req) AS grams_req FROM gd_demand_1h""", round_to=3)
 def demand_tumbling_1h(t: Tables):
-    return aggregates.demand_tumbling(t.demand_events)
+    return aggregates.demand_tumbling(silver.validated("demand_events", t.demand_events))
 
 
 @query("max_before", """

@@ -7,6 +7,21 @@ from harvestline.plans import gold, silver
 from harvestline.session import cut_lineage
 from harvestline.sources.bindings import AS_OF_EVENTS, AS_OF_QUOTES, BANDS, CROPS
 
+# The rule sets in the checking SQL's own words. Gold views read the validated feeds.
+SQL_RULES = {
+    "inventory_events": "event_ts IS NOT NULL AND sku IS NOT NULL AND room_id IS NOT NULL "
+                        "AND on_hand_g >= 0",
+    "supplier_quotes": "unit_price_usd > 0 AND pack_size_g > 0 AND lead_time_days >= 0",
+    "demand_events": "trays > 0 AND grams_req > 0",
+    "commodity_prices": "price_usd > 0 AND input_key IS NOT NULL",
+    "purchase_orders": "quantity_g > 0 AND unit_price_usd > 0 AND supplier_id IS NOT NULL",
+    "goods_receipts": "po_number IS NOT NULL AND sku IS NOT NULL",
+    "invoice_documents": "po_number IS NOT NULL AND supplier_id IS NOT NULL",
+    "iot_sensor_events": "room_id IS NOT NULL AND sensor_type IS NOT NULL AND value IS NOT NULL",
+}
+for _feed, _rule in SQL_RULES.items():
+    VIEWS[f"sv_{_feed}"] = f"SELECT * FROM {_feed} WHERE {_rule}"
+
 _NEWEST = "QUALIFY row_number() OVER (PARTITION BY {} ORDER BY {} DESC, {} DESC) = 1"
 
 
@@ -17,7 +32,7 @@ def newest(keys: str, ts: str = "event_ts", tie: str = "event_id") -> str:
 VIEWS["gd_inventory_snapshot"] = f"""
     SELECT i.sku, i.room_id, i.on_hand_g, i.event_ts AS last_event_ts, d.sku_name, d.crop_type,
            d.reorder_point_g, d.safety_stock_g, d.target_stock_g, d.organic_preferred
-    FROM (SELECT * FROM inventory_events {newest('sku, room_id')}) i
+    FROM (SELECT * FROM sv_inventory_events {newest('sku, room_id')}) i
     LEFT JOIN dim_sku d ON d.sku = i.sku"""
 
 VIEWS["gd_commodity_latest"] = """
@@ -30,20 +45,20 @@ VIEWS["gd_commodity_latest"] = """
                    FILTER (event_ts <= timestamp '2024-01-30 23:00:00') AS p1,
                  arg_max(price_usd, (event_ts, event_id))
                    FILTER (event_ts <= timestamp '2024-01-30 00:00:00') AS p24
-          FROM commodity_prices GROUP BY input_key)"""
+          FROM sv_commodity_prices GROUP BY input_key)"""
 
 VIEWS["gd_demand_1h"] = """
     SELECT sku, date_trunc('hour', event_ts) AS hour_ts, cast(sum(trays) AS bigint) AS trays,
            sum(grams_req) AS grams_req
-    FROM demand_events GROUP BY ALL"""
+    FROM sv_demand_events GROUP BY ALL"""
 
 VIEWS["gd_supplier_quotes_current"] = f"""
-    SELECT *, unit_price_usd / pack_size_g AS usd_per_gram FROM supplier_quotes
+    SELECT *, unit_price_usd / pack_size_g AS usd_per_gram FROM sv_supplier_quotes
     WHERE valid_until_ts > timestamp '2001-01-01 00:00:00' {newest('sku, supplier_id')}"""
 
-VIEWS["po_latest"] = f"SELECT * FROM purchase_orders {newest('po_number, po_item')}"
+VIEWS["po_latest"] = f"SELECT * FROM sv_purchase_orders {newest('po_number, po_item')}"
 VIEWS["receipt_totals"] = """
-    SELECT po_number, po_item, sum(qty_received_g) AS got FROM goods_receipts GROUP BY ALL"""
+    SELECT po_number, po_item, sum(qty_received_g) AS got FROM sv_goods_receipts GROUP BY ALL"""
 
 VIEWS["gd_open_po_lines"] = """
     SELECT p.po_number, p.po_item, p.event_type, p.supplier_id, s.supplier_name,
@@ -69,7 +84,7 @@ VIEWS["gd_iot_latest"] = f"""
            CASE WHEN value < alert_min OR value > alert_max THEN 'ALERT'
                 WHEN value < warn_min OR value > warn_max THEN 'CAUTION'
                 ELSE 'NOMINAL' END AS status
-    FROM (SELECT * FROM iot_sensor_events {newest('room_id, sensor_type')})
+    FROM (SELECT * FROM sv_iot_sensor_events {newest('room_id, sensor_type')})
     LEFT JOIN sensor_bands USING (sensor_type)"""
 
 VIEWS["gd_invoice_matching"] = f"""
@@ -79,7 +94,7 @@ VIEWS["gd_invoice_matching"] = f"""
                 WHEN coalesce(r.got, 0) = 0 THEN 'PENDING_GR'
                 WHEN abs(i.variance_usd) <= p.net_value_usd * 0.02 THEN 'MATCHED'
                 ELSE 'VARIANCE' END AS match_status
-    FROM (SELECT * FROM invoice_documents {newest('invoice_doc_number')}) i
+    FROM (SELECT * FROM sv_invoice_documents {newest('invoice_doc_number')}) i
     LEFT JOIN po_latest p USING (po_number, po_item)
     LEFT JOIN receipt_totals r USING (po_number, po_item)"""
 

@@ -61,7 +61,7 @@ def asof_multi(t: Tables):
 
 @query("asof_each_row", """
     SELECT e.event_id, e.input_key, e.event_ts, e.price_usd, p.price_usd AS ref_value,
-           R((e.price_usd - p.price_usd) / p.price_usd) AS pct
+           R((e.price_usd - p.price_usd) / nullif(p.price_usd, 0)) AS pct
     FROM commodity_prices e ASOF LEFT JOIN commodity_prices p
       ON e.input_key = p.input_key AND e.event_ts - INTERVAL 1 HOUR >= p.event_ts""")
 def asof_each_row(t: Tables):

@@ -7,6 +7,7 @@ from datetime import timedelta
 from pyspark.sql import functions as F
 
 from harvestline import schemas
+from harvestline.checks.gold import SQL_RULES
 from harvestline.checks.registry import VIEWS, Tables, query
 from harvestline.constants import DECISIONS, PO_DRAFT_STATUSES
 from harvestline.operators import quality
@@ -14,18 +15,6 @@ from harvestline.plans import gold, silver
 from harvestline.sources import bindings
 from harvestline.sources.bindings import AS_OF_EVENTS, AS_OF_QUOTES
 
-# The rule sets in the checking SQL's own words.
-_SQL_RULES = {
-    "inventory_events": "event_ts IS NOT NULL AND sku IS NOT NULL AND room_id IS NOT NULL "
-                        "AND on_hand_g >= 0",
-    "supplier_quotes": "unit_price_usd > 0 AND pack_size_g > 0 AND lead_time_days >= 0",
-    "demand_events": "trays > 0 AND grams_req > 0",
-    "commodity_prices": "price_usd > 0 AND input_key IS NOT NULL",
-    "purchase_orders": "quantity_g > 0 AND unit_price_usd > 0 AND supplier_id IS NOT NULL",
-    "goods_receipts": "po_number IS NOT NULL AND sku IS NOT NULL",
-    "invoice_documents": "po_number IS NOT NULL AND supplier_id IS NOT NULL",
-    "iot_sensor_events": "room_id IS NOT NULL AND sensor_type IS NOT NULL AND value IS NOT NULL",
-}
 _KEYS = {
     "inventory_events": "silver_inventory", "supplier_quotes": "silver_quotes",
     "demand_events": "silver_demand", "commodity_prices": "silver_prices",
@@ -42,7 +31,7 @@ def _register_silver(feed: str, key: str) -> None:
     if feed == "supplier_quotes":
         shown.append("R(unit_price_usd / pack_size_g) AS usd_per_gram")
     sql = (f"SELECT {', '.join(shown)} FROM (SELECT DISTINCT ON (event_id) * FROM {feed} "
-           f"WHERE {_SQL_RULES[feed]})")
+           f"WHERE {SQL_RULES[feed]})")
 
     @query(key, sql, round_to=8)
     def run(t: Tables):

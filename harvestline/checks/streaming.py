@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from harvestline.checks.registry import Tables, query
 from harvestline.functions import timing
-from harvestline.plans import gold
+from harvestline.plans import gold, silver
 from harvestline.session import scratch_path
 from harvestline.sources import bindings, readers, sinks
 from harvestline.sources.bindings import PERIOD_BUDGET_USD
@@ -38,8 +38,8 @@ def stream_source(t: Tables):
     SELECT event_id, event_ts, sku, room_id, on_hand_g FROM inventory_events
     WHERE on_hand_g >= 0""")
 def stream_silver(t: Tables):
-    silver = feeds.stream_silver("inventory_events", _stream(t, "inventory_events"))
-    return _appended(t, silver.drop("reason"), "stream-silver")
+    stock = feeds.stream_silver("inventory_events", _stream(t, "inventory_events"))
+    return _appended(t, stock.drop("reason"), "stream-silver")
 
 
 @query("stream_dedup", "SELECT event_id, price_usd FROM commodity_prices")
@@ -59,7 +59,8 @@ def stream_dedup_bounded(t: Tables):
     SELECT sku, hour_ts, trays, R(grams_req) AS grams_req FROM gd_demand_1h""", round_to=3)
 def stream_tumbling(t: Tables):
     out = scratch_path(t.spark, "stream-demand")
-    views.stream_tumbling(_stream(t, "demand_events"), out, f"{out}-checkpoint",
+    demand = silver.validated("demand_events", _stream(t, "demand_events"))
+    views.stream_tumbling(demand, out, f"{out}-checkpoint",
                           lateness="31 days").awaitTermination()
     return views.newest_versions(t.spark, out, ["sku", "hour_ts"])
 
@@ -85,7 +86,8 @@ def stream_gold_refresh(t: Tables):
         sinks.snapshot_sync(gold.inventory_snapshot(current, dim), f"{out}-serving",
                             ["sku", "room_id"])
 
-    views.stream_latest_view(_stream(t, "inventory_events"), ["sku", "room_id"], out, publish,
+    stock = silver.validated("inventory_events", _stream(t, "inventory_events"))
+    views.stream_latest_view(stock, ["sku", "room_id"], out, publish,
                              f"{out}-checkpoint").awaitTermination()
     return t.spark.read.parquet(f"{out}-serving").select(
         "sku", "room_id", "on_hand_g", "last_event_ts", "crop_type", "reorder_point_g")
@@ -124,7 +126,7 @@ def stream_budget(t: Tables):
 
 
 @query("at_least_once_replay", """
-    SELECT sku, count(*) AS events, R(sum(grams_req)) AS grams_req FROM demand_events
+    SELECT sku, count(*) AS events, R(sum(grams_req)) AS grams_req FROM sv_demand_events
     GROUP BY sku""", round_to=3)
 def at_least_once_replay(t: Tables):
     """The same table delivered twice counts once."""
@@ -132,6 +134,6 @@ def at_least_once_replay(t: Tables):
     for _ in range(2):
         sinks.append_sink(t.demand_events, feed)
     stream = readers.stream_source(t.spark, feed, t.demand_events.schema, max_files=4)
-    silver = _appended(t, feeds.stream_silver("demand_events", stream), "replay")
-    return silver.groupBy("sku").agg(F.count(F.lit(1)).alias("events"),
+    once = _appended(t, feeds.stream_silver("demand_events", stream), "replay")
+    return once.groupBy("sku").agg(F.count(F.lit(1)).alias("events"),
                                      F.sum("grams_req").alias("grams_req"))

@@ -69,11 +69,11 @@ def default_verdict(verdict: Column) -> Column:
 
 def rfq_prompt(sku: Column, grams: Column, packs: Column, pack_grams: Column,
                price: Column, lead_days: Column, supplier: Column) -> Column:
-    """Request text from the fields of a recommendation."""
+    """Request text from the fields of a recommendation; halves of a gram round to even."""
     return F.format_string(
         "SKU: %s\nQuantity required: %.0f g (%d packs × %.0f g)\n"
         "Current leaderboard unit price: $%.2f\nCurrent lead time: %d days\nSupplier: %s",
-        sku.cast("string"), grams, packs, pack_grams, price, lead_days, supplier.cast("string"),
+        sku.cast("string"), F.bround(grams, 0), packs, F.bround(pack_grams, 0), price, lead_days, supplier.cast("string"),
     )
 
 
