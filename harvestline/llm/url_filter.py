@@ -131,7 +131,7 @@ def query(spark, sf_dir):
 
 SQL = r"""
 WITH RECURSIVE cut AS (
-  SELECT page_id, url, html, instr(url, '://') AS at,
+  SELECT page_id, url, html, instr(url, '://') AS sep,
          CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest
   FROM pages
 ), parts AS (
@@ -139,16 +139,16 @@ WITH RECURSIVE cut AS (
          coalesce(translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
                             'abcdefghijklmnopqrstuvwxyz'), '') AS host,
          coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path,
-         regexp_extract(rest, '^[^/?#]*([^#]*)', 1) AS tail, at
+         regexp_extract(rest, '^[^/?#]*([^#]*)', 1) AS tail, sep
   FROM cut
 ), nodes AS (
-  SELECT *, CASE WHEN at > 0 THEN host || tail END AS node FROM parts
+  SELECT *, CASE WHEN sep > 0 THEN host || tail END AS node FROM parts
 ), links AS (
   SELECT node AS a, replace(unnest([
     regexp_extract(html, '<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)', 1, 'is'),
     regexp_extract(html, '<link\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)[^>]*\brel\s*=\s*["'']?canonical\b', 1, 'is'),
     regexp_extract(html, '<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*\burl\s*=\s*["'']?([^"''\s>]+)', 1, 'is')
-  ]), '&amp;', '&') AS link FROM nodes WHERE at > 0
+  ]), '&amp;', '&') AS link FROM nodes WHERE sep > 0
 ), edges AS (
   SELECT a, translate(regexp_extract(link, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
                       'abcdefghijklmnopqrstuvwxyz') || regexp_extract(link, '://[^/?#]*([^#]*)', 1) AS b
