@@ -16,7 +16,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from harvestline import checks  # noqa: E402
 from harvestline.checks.registry import PLAIN  # noqa: E402
-from harvestline.session import local_session  # noqa: E402
+from harvestline.session import local_session, scratch_ends_here  # noqa: E402
 
 HEADLINE = [
     # feeds
@@ -40,8 +40,9 @@ HEADLINE = [
 
 def run(spark, key: str, folder: str) -> float:
     start = time.perf_counter()
-    PLAIN[key](spark, folder).write.format("noop").mode("overwrite").save()
-    return time.perf_counter() - start
+    with scratch_ends_here(spark):
+        PLAIN[key](spark, folder).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - start
 
 
 def main() -> None:

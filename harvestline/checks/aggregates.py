@@ -27,7 +27,7 @@ def demand_total(t: Tables):
 @query("demand_tumbling_1h", """
     SELECT sku, hour_ts, trays, R(grams_req) AS grams_req FROM gd_demand_1h""", round_to=3)
 def demand_tumbling_1h(t: Tables):
-    return aggregates.demand_tumbling(silver.validated("demand_events", t.demand_events))
+    return aggregates.demand_tumbling(silver.deduplicated("demand_events", t.demand_events))
 
 
 @query("max_before", """

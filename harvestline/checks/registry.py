@@ -19,6 +19,9 @@ QUERIES: dict[str, Query] = {}
 # the same queries without the rounding that only comparisons need
 PLAIN: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+# the statements as written, and the digits they round to
+CHECKS: dict[str, str | None] = {}
+ROUNDED: dict[str, int] = {}
 # named SQL fragments other checks build on; bindings are added on demand
 VIEWS: dict[str, str] = {}
 
@@ -69,6 +72,7 @@ def query(key: str, sql: str | None = None, round_to: int = 6):
             return comparable(plain(spark, folder), round_to)
 
         PLAIN[key], QUERIES[key] = plain, run
+        CHECKS[key], ROUNDED[key] = sql, round_to
         if sql is not None:
             SQL[key] = _complete(sql, round_to)
         return fn

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from harvestline.checks.registry import Tables, query
 from harvestline.functions import timing
-from harvestline.plans import gold, silver
+from harvestline.plans import gold
 from harvestline.session import scratch_path
 from harvestline.sources import bindings, readers, sinks
 from harvestline.sources.bindings import PERIOD_BUDGET_USD
@@ -59,7 +59,8 @@ def stream_dedup_bounded(t: Tables):
     SELECT sku, hour_ts, trays, R(grams_req) AS grams_req FROM gd_demand_1h""", round_to=3)
 def stream_tumbling(t: Tables):
     out = scratch_path(t.spark, "stream-demand")
-    demand = silver.validated("demand_events", _stream(t, "demand_events"))
+    twice = _stream(t, "demand_events")
+    demand = feeds.stream_silver("demand_events", twice.union(twice))
     views.stream_tumbling(demand, out, f"{out}-checkpoint",
                           lateness="31 days").awaitTermination()
     return views.newest_versions(t.spark, out, ["sku", "hour_ts"])
@@ -86,7 +87,7 @@ def stream_gold_refresh(t: Tables):
         sinks.snapshot_sync(gold.inventory_snapshot(current, dim), f"{out}-serving",
                             ["sku", "room_id"])
 
-    stock = silver.validated("inventory_events", _stream(t, "inventory_events"))
+    stock = feeds.stream_silver("inventory_events", _stream(t, "inventory_events"))
     views.stream_latest_view(stock, ["sku", "room_id"], out, publish,
                              f"{out}-checkpoint").awaitTermination()
     return t.spark.read.parquet(f"{out}-serving").select(

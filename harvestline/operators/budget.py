@@ -134,7 +134,8 @@ def _decide_large(rows: DataFrame, keys: Sequence[str], order: Sequence[str],
         placed = _running(placed, keys, order)
         if prefix_round:
             fits = ~F.col(_EXACT) & (F.col("_total") <= F.col(_OPEN))
-            step = placed.where(fits).withColumn(_LEFT, F.col(_OPEN) - F.col("_total"))
+            step = placed.where(fits).withColumn(
+                _LEFT, (F.col(_OPEN) - F.col("_total")).cast("bigint"))
             rest = placed.where(~fits)
         else:
             head = _walk(placed.where(F.col("_pos") <= walk_limit), keys, order)
@@ -143,7 +144,7 @@ def _decide_large(rows: DataFrame, keys: Sequence[str], order: Sequence[str],
         step = cut_lineage(step.select(*keys, *order, _COST, _LEFT), "budget-won")
         won.append(step.select(*keys, *order, _LEFT))
 
-        spent = step.groupBy(*keys).agg(F.sum(_COST).alias("_spent"))
+        spent = step.groupBy(*keys).agg(F.sum(_wide(_COST)).cast("bigint").alias("_spent"))
         rows = (
             rest.join(spent, list(keys), "left")
             .withColumn(_OPEN, F.col(_OPEN) - F.coalesce("_spent", F.lit(0)))
@@ -163,6 +164,14 @@ def _decide_large(rows: DataFrame, keys: Sequence[str], order: Sequence[str],
     return reduce(DataFrame.unionByName, won)
 
 
+# Requests in play may add up to far more than any balance, and more than a long holds.
+_WIDE = "decimal(38,0)"
+
+
+def _wide(name: str) -> Column:
+    return F.col(name).cast("decimal(28,0)")
+
+
 def _running(placed: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Add running cost `_total` and position `_pos` per group, chunk by chunk.
 
@@ -171,15 +180,15 @@ def _running(placed: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
     earlier = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     shifts = (
         placed.groupBy(*keys, "_chunk")
-        .agg(F.sum(_COST).alias("_s"), F.count(F.lit(1)).alias("_n"))
+        .agg(F.sum(_wide(_COST)).alias("_s"), F.count(F.lit(1)).alias("_n"))
         .select(*keys, "_chunk",
-                F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_s0"),
+                F.coalesce(F.sum("_s").over(earlier), F.lit(0)).cast(_WIDE).alias("_s0"),
                 F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n0"))
     )
     inside = W.partitionBy(*keys, "_chunk").orderBy(*order)
     upto = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
     return (
-        placed.withColumn("_total", F.sum(_COST).over(upto))
+        placed.withColumn("_total", F.sum(_wide(_COST)).over(upto).cast(_WIDE))
         .withColumn("_pos", F.row_number().over(inside))
         .join(shifts, [*keys, "_chunk"])
         .withColumn("_total", F.col("_total") + F.col("_s0"))

@@ -57,6 +57,11 @@ def validated(feed: str, events: DataFrame) -> DataFrame:
     return spec.derive(kept) if spec.derive else kept
 
 
+def deduplicated(feed: str, events: DataFrame) -> DataFrame:
+    """The validated feed, one row per event id: what gold views read."""
+    return dedup_event_id(validated(feed, events))
+
+
 def silver(feed: str, events: DataFrame) -> DataFrame:
-    """The validated feed, one row per event id, stamped with its processing time."""
-    return timing.ingest_ts(dedup_event_id(validated(feed, events)))
+    """The deduplicated feed, stamped with its processing time."""
+    return timing.ingest_ts(deduplicated(feed, events))

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,7 +53,8 @@ def local_session(app: str = "harvestline", cores: str = "*", memory: str = "8g"
     return configure(spark)
 
 
-_SCRATCH: list[str] = []
+# folder -> thread that made it: streams run side by side in threads of their own
+_SCRATCH: dict[str, int] = {}
 
 
 @functools.cache
@@ -57,31 +62,57 @@ def _temporary_base() -> str:
     return tempfile.mkdtemp(prefix="harvestline-")
 
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new folder below the shared checkpoint folder of the cluster.
+def shared_folder(spark: SparkSession, folder: str | None = None) -> str:
+    """Storage that all executors reach: `folder`, else the session's checkpoint folder.
 
-    `spark.checkpoint.dir` names storage all executors reach. A temporary folder is
-    used only where it is unset, as in single-machine tests.
+    Only where driver and executors are one process may it be a temporary local folder;
+    any other master without a shared folder is refused.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or _temporary_base()
-    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    _SCRATCH.append(path)
+    context = spark.sparkContext
+    known = folder or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if known:
+        return known.rstrip("/")
+    if re.fullmatch(r"local(\[.*\])?", context.master):
+        return _temporary_base()
+    raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
+
+
+def scratch_path(spark: SparkSession, label: str, folder: str | None = None) -> str:
+    """A new folder below the shared folder of the cluster."""
+    path = f"{shared_folder(spark, folder)}/{label}-{uuid.uuid4().hex}"
+    _SCRATCH[path] = threading.get_ident()
     return path
 
 
-def drop_scratch(spark: SparkSession) -> int:
-    """Delete what this process put into scratch; call it when results are written.
-
-    DataFrames built on scratch tables cannot be read afterwards.
-    """
+def _delete(spark: SparkSession, paths: Iterable[str]) -> int:
     conf = spark._jsc.hadoopConfiguration()
     dropped = 0
-    while _SCRATCH:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+    for path in list(paths):
+        _SCRATCH.pop(path, None)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
         dropped += bool(folder.getFileSystem(conf).delete(folder, True))
     return dropped
 
 
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete what this process put into scratch; call it when results are written.
+
+    DataFrames built on dropped tables cannot be read afterwards.
+    """
+    return _delete(spark, _SCRATCH)
+
+
+@contextmanager
+def scratch_ends_here(spark: SparkSession) -> Iterator[None]:
+    """Delete on leaving whatever this thread put into scratch inside the block."""
+    before = set(_SCRATCH)
+    try:
+        yield
+    finally:
+        own = threading.get_ident()
+        _delete(spark, [p for p, t in _SCRATCH.items() if t == own and p not in before])
+
+
 def cut_lineage(df: DataFrame, label: str = "cut") -> DataFrame:
     """Write `df` to shared storage and read it back.
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
+from harvestline.session import scratch_ends_here
 from harvestline.operators.quality import dedup_event_id
 from harvestline.plans import silver
 from harvestline.sources.readers import with_instants
@@ -56,8 +57,12 @@ def append_to(df: DataFrame, path: str, checkpoint: str, *,
 
 def for_each_batch(df: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, *,
                    mode: str = "append", every: str | None = None) -> StreamingQuery:
-    """Hand every micro-batch to `apply(batch, batch_id)`."""
-    writer = df.writeStream.outputMode(mode).foreachBatch(apply).option(
+    """Hand every micro-batch to `apply(batch, batch_id)`; its scratch goes when it returns."""
+    def call(batch: DataFrame, batch_id: int) -> None:
+        with scratch_ends_here(batch.sparkSession):
+            apply(batch, batch_id)
+
+    writer = df.writeStream.outputMode(mode).foreachBatch(call).option(
         "checkpointLocation", checkpoint)
     return _trigger(writer, every).start()
 

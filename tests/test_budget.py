@@ -103,3 +103,14 @@ def test_gate_allocates_and_balances(spark):
     again = workflow.budget_gate(drafts, result.ledger_rows.where("balance_usd > 0"),
                                  datetime(2024, 3, 9))
     assert again.ledger_rows.count() == 1
+
+
+def test_totals_beyond_a_long(spark):
+    """Requests that add up to more than 2^63 micro-dollars: both ways agree with the walk."""
+    rng = random.Random(5)
+    start = datetime(2024, 1, 1)
+    rows = [(f"P{i:03d}", "p", start + timedelta(minutes=i), 9e10 - rng.randint(0, 9) * 1e9) for i in range(200)]
+    want = by_hand(rows, {"p": 1e11})
+    assert sum(round(r[3] * 1e6) for r in rows) > 2**63
+    assert allocate(spark, rows, {"p": 1e11}, 10) == want
+    assert allocate(spark, rows, {"p": 1e11}, 10_000) == want
