@@ -2,7 +2,8 @@
 
 Pieces that fill a sequence are sequences already. The rest are packed best-fit decreasing
 inside each partition; nearly full bins are emitted, underfull bins become items of fewer,
-larger groups and are packed again, until one group is left or no bin is saved. A group
+larger groups and are packed again, until one group is left or no bin is saved. Where a group
+would need fewer bins without keeping its underfull bins together, they are opened. A group
 holds a bounded number of bins, so no task grows with the data.
 
 Defined cases: null text is empty and yields the end id alone; repeated rows are packed as
@@ -95,6 +96,11 @@ def _pack(batches: Iterator[pa.RecordBatch], capacity: int, limit: int):
             members = members.chunk(0)
         at = members.offsets.to_numpy()
         bins = best_fit_decreasing(total, capacity)
+        if at[-1] - at[0] > len(total):  # bins as items; opened again where that saves a bin
+            lengths = members.values.field("length").to_numpy()[at[0]:at[-1]].astype(np.int64)
+            opened = best_fit_decreasing(lengths, capacity)
+            if len(opened) < len(bins):
+                bins, total, at = opened, lengths, np.arange(at[0], at[-1] + 1)
         sums = np.array([int(total[b].sum()) for b in bins], np.int32)
         take, offsets = [], [0]
         for b in bins:

@@ -32,7 +32,7 @@ from harvestline.llm.support import small_batches, table, texts_of
 WIDTH, STRIDE, CHANNELS, FILTERS = 16, 4, 6, 32
 PER_LABEL = 1_500          # labelled rows of each class in the fit at most
 FIT_BYTES = 32_768         # longer texts are left out of the fit, never of the scoring
-EPOCHS, BATCH, RATE = 14, 16, 4e-3
+STEPS, EPOCHS, BATCH, RATE = 2_600, 60, 16, 4e-3  # small samples are seen more often
 KEEP_FROM = 0.7
 BLOCK = 1 << 18            # bytes scored at once
 
@@ -88,8 +88,10 @@ def fit(texts: list[str], labels: list[int], share: float) -> Model:
     codes = [_padded(t.encode("utf-8", "surrogatepass")) for t in texts]
     values = [*model[:4], np.zeros(1, np.float32)]
     first, second = [np.zeros_like(v) for v in values], [np.zeros_like(v) for v in values]
-    steps, total = 0, EPOCHS * -(-len(y) // BATCH)
-    for _ in range(EPOCHS):
+    rounds = -(-len(y) // BATCH)
+    epochs = min(EPOCHS, -(-STEPS // rounds))
+    steps, total = 0, epochs * rounds
+    for _ in range(epochs):
         order = rng.permutation(len(y))
         for at in range(0, len(y), BATCH):
             current = Model(*values[:4], float(values[4][0]))
