@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from harvestline.checks import gold as views
-from harvestline.checks.registry import VIEWS, Tables, query
+from harvestline.checks.registry import VIEWS, Tables, query, sql_id
 from harvestline.functions import numbers, status, text, timing
 from harvestline.operators import state
 from harvestline.sources.bindings import BANDS
@@ -237,12 +237,10 @@ def append_reason(t: Tables):
 
 
 @query("render_prompt", """
-    SELECT event_id, 'SKU: ' || sku || chr(10) || 'Quantity required: '
-           || printf('%.0f', pack_size_g * min_qty) || ' g (' || min_qty || ' packs × '
-           || printf('%.0f', pack_size_g) || ' g)' || chr(10)
-           || 'Current leaderboard unit price: $' || printf('%.2f', unit_price_usd) || chr(10)
-           || 'Current lead time: ' || lead_time_days || ' days' || chr(10)
-           || 'Supplier: ' || supplier_id AS prompt
+    SELECT event_id, 'To ' || supplier_id || ': please offer ' || printf('%.0f', pack_size_g * min_qty)
+           || ' g of item ' || sku || ' as ' || min_qty || ' packs of ' || printf('%.0f', pack_size_g)
+           || ' g.' || chr(10) || 'Our board shows $' || printf('%.2f', unit_price_usd)
+           || ' a pack, delivered within ' || lead_time_days || ' days.' AS prompt
     FROM supplier_quotes""")
 def render_prompt(t: Tables):
     c = F.col
@@ -252,10 +250,10 @@ def render_prompt(t: Tables):
 
 
 @query("render_application", """
-    SELECT application_id, 'Supplier name: ' || supplier_name || chr(10) || 'Country: ' || country
-           || chr(10) || 'Contact: ' || contact_email || chr(10) || 'Offered SKUs: '
-           || offered_skus || chr(10) || 'Organic certified: ' || organic_cert || chr(10)
-           || 'Years in business: ' || years_in_biz AS prompt FROM supplier_applications""")
+    SELECT application_id, supplier_name || ' from ' || country || ' applies as a supplier of: '
+           || offered_skus || '.' || chr(10) || 'Organic certificate: ' || organic_cert
+           || '; trading for ' || years_in_biz || ' years; write to ' || contact_email || '.' AS prompt
+    FROM supplier_applications""")
 def render_application(t: Tables):
     return t.supplier_applications.select("application_id", text.application_prompt(
         *[F.col(n) for n in ("supplier_name", "country", "contact_email", "offered_skus",
@@ -302,8 +300,8 @@ def coalesce_truthy(t: Tables):
         F.col("offered_skus"), F.col("country")).alias("shown"))
 
 
-@query("stable_id", """
-    SELECT po_id, 'PO-' || upper(substr(sha256(po_id || '|' || thread_id), 1, 10)) AS id
+@query("stable_id", f"""
+    SELECT po_id, {sql_id('PO', 'po_id', 'thread_id')} AS id
     FROM po_drafts""")
 def stable_id(t: Tables):
     return t.po_drafts.select("po_id", text.stable_id(

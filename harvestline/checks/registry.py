@@ -80,6 +80,13 @@ def query(key: str, sql: str | None = None, round_to: int = 6):
     return register
 
 
+def sql_id(prefix: str, *parts: str) -> str:
+    """SQL of `functions.text.stable_id` over SQL expressions."""
+    marked = " || ".join(
+        f"coalesce(length(cast({p} AS varchar)) || ':' || cast({p} AS varchar), '-')" for p in parts)
+    return f"'{prefix}-' || upper(substr(sha256({marked}), 1, 32))"
+
+
 def comparable(df: DataFrame, digits: int) -> DataFrame:
     """Round doubles, drop negative zeros, give timestamps without a zone."""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from harvestline import schemas
-from harvestline.checks.registry import Tables, query
+from harvestline.checks.registry import Tables, query, sql_id
 from harvestline.functions import timing
 from harvestline.operators import aggregates, joins, state
 from harvestline.session import scratch_path
@@ -124,9 +124,8 @@ def row_counts(t: Tables):
     return aggregates.row_counts({name: getattr(t, name) for name in schemas.FEEDS})
 
 
-@query("run_log", """
-    SELECT 'RUN-' || upper(substr(sha256('invoice_reconciler|' || reconciliation_id
-                                         || '|2024-01-31T00:00:00'), 1, 10)) AS run_id,
+@query("run_log", f"""
+    SELECT {sql_id('RUN', "'invoice_reconciler'", 'reconciliation_id', "'2024-01-31T00:00:00'")} AS run_id,
            timestamp '2024-01-31 00:00:00' AS started_ts,
            timestamp '2024-01-31 00:00:00' AS finished_ts,
            'invoice_reconciler' AS agent_name,

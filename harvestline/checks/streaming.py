@@ -18,7 +18,7 @@ def _stream(t: Tables, feed: str):
     source = bindings.BINDINGS[feed].source
     path = readers.table_path(t.folder, source)
     schema = t.spark.read.parquet(path).schema
-    return bindings.project(readers.stream_source(t.spark, path, schema), feed)
+    return bindings.project(readers.stream_source(t.spark, readers.one_file(path), schema), feed)
 
 
 def _appended(t: Tables, df, label: str):

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from harvestline.checks import gold as views
-from harvestline.checks.registry import VIEWS, Tables, query
+from harvestline.checks.registry import VIEWS, Tables, query, sql_id
 from harvestline.functions import timing
 from harvestline.operators import aggregates
 from harvestline.plans import workflow
 from harvestline.sources.bindings import AS_OF_EVENTS, AS_OF_MAIL, PERIOD_BUDGET_USD
 
 VIEWS["rfq_todo"] = """
-    SELECT * FROM gd_recommendations r WHERE decision = 'BUY_NOW' AND NOT EXISTS (
+    SELECT * FROM gd_recommendations r
+    WHERE decision = 'BUY_NOW' AND recommended_supplier_id IS NOT NULL AND NOT EXISTS (
       SELECT 1 FROM email_outbox o
       WHERE o.sku = r.sku AND o.supplier_id = r.recommended_supplier_id AND o.intent = 'RFQ'
         AND o.created_ts > timestamp '2023-12-31 00:10:00')"""
@@ -26,41 +27,44 @@ def rfq_candidates(t: Tables):
         "recommendation_id", "sku", "recommended_supplier_id", "packs", "total_cost_usd")
 
 
-@query("rfq_outbox_rows", """
-    SELECT 'EM-' || upper(substr(sha256(recommendation_id), 1, 10)) AS email_id,
-           'THR-' || upper(substr(sha256(recommendation_id), 1, 10)) AS thread_id,
+@query("rfq_outbox_rows", f"""
+    SELECT {sql_id('EM', 'recommendation_id')} AS email_id,
+           {sql_id('THR', 'recommendation_id')} AS thread_id,
            timestamp '2024-01-01 00:10:00' AS created_ts, recommended_supplier_id AS supplier_id,
            'orders@' || split_part(lower(coalesce(recommended_supplier_name,
                                    cast(recommended_supplier_id AS varchar))), ' ', 1)
              || '.demo' AS supplier_email,
            'RFQ — seed order' AS subject,
-           'SKU: ' || sku || chr(10) || 'Quantity required: ' || printf('%.0f', reorder_grams)
-             || ' g (' || packs || ' packs × ' || printf('%.0f', pack_size_g) || ' g)' || chr(10)
-             || 'Current leaderboard unit price: $' || printf('%.2f', unit_price_usd) || chr(10)
-             || 'Current lead time: ' || expected_lead_days || ' days' || chr(10)
-             || 'Supplier: ' || recommended_supplier_name AS body_md,
+           'To ' || recommended_supplier_name || ': please offer ' || printf('%.0f', reorder_grams)
+             || ' g of item ' || sku || ' as ' || packs || ' packs of ' || printf('%.0f', pack_size_g)
+             || ' g.' || chr(10) || 'Our board shows $' || printf('%.2f', unit_price_usd)
+             || ' a pack, delivered within ' || expected_lead_days || ' days.' AS body_md,
            sku, 'RFQ' AS intent, 'negotiator' AS sent_by, 'SENT' AS status
-    FROM rfq_todo WHERE recommended_supplier_id IS NOT NULL""")
+    FROM rfq_todo""")
 def rfq_outbox_rows(t: Tables):
     todo = workflow.rfq_candidates(views.recommended(t), t.email_outbox, AS_OF_MAIL)
-    return workflow.rfq_outbox_rows(
-        todo.where("recommended_supplier_id IS NOT NULL"), AS_OF_MAIL)
+    return workflow.rfq_outbox_rows(todo, AS_OF_MAIL)
 
 
 @query("inbound_extract", r"""
-    SELECT email_id, CASE WHEN body_md LIKE 'Counter%' THEN 'COUNTER'
+    SELECT email_id, CASE WHEN processed THEN NULL WHEN body_md LIKE 'Counter%' THEN 'COUNTER'
                           WHEN body_md LIKE 'We accept%' THEN 'ACCEPT' ELSE 'QUOTE' END
                      AS intent_detected,
-           R(regexp_extract(body_md, '\$([0-9.]+) per', 1)) AS unit_price_usd,
-           R(regexp_extract(body_md, 'pack of ([0-9]+) g', 1)) AS pack_size_g,
-           cast(regexp_extract(body_md, 'lead time ([0-9]+) days', 1) AS integer)
-             AS lead_time_days,
-           CASE WHEN contains(body_md, 'organic') THEN true END AS organic, true AS processed
+           CASE WHEN NOT processed THEN R(cast(replace(
+             regexp_extract(body_md, '\$([0-9.,]+) per', 1), ',', '') AS double)) END AS unit_price_usd,
+           CASE WHEN NOT processed THEN R(cast(regexp_extract(body_md, 'pack of ([0-9]+) g', 1) AS double)) END
+             AS pack_size_g,
+           CASE WHEN NOT processed THEN try_cast(regexp_extract(body_md, 'lead time ([0-9]+) days', 1)
+             AS integer) END AS lead_time_days,
+           CASE WHEN NOT processed AND contains(body_md, 'organic') THEN true END AS organic,
+           CASE WHEN NOT processed THEN substr(body_md, 1, 120) END AS notes, true AS processed
     FROM quote_replies""")
 def inbound_extract(t: Tables):
+    """Every seventh order's mail is done already; prices carry separators; some lead times
+    are no numbers of days."""
     inbox = workflow.inbound_extract(t.quote_replies)
     terms = F.from_json("extracted_json", "unit_price_usd DOUBLE, pack_size_g DOUBLE, "
-                                          "lead_time_days INT, organic BOOLEAN")
+                                          "lead_time_days INT, organic BOOLEAN, notes STRING")
     # a generator reads the text once; plain field access would parse it per field
     return inbox.select("email_id", "intent_detected", "processed", F.inline(F.array(terms)))
 
@@ -101,9 +105,8 @@ VIEWS["po_terms"] = """
       ON r.sku = c.sku"""
 
 
-@query("po_drafts", """
-    SELECT 'PO-' || upper(substr(sha256(thread_id || '|' || email_id || '|' || rfq_email_id),
-                                 1, 10)) AS po_id,
+@query("po_drafts", f"""
+    SELECT {sql_id('PO', 'thread_id', 'email_id', 'rfq_email_id')} AS po_id,
            timestamp '2024-01-31 00:00:00' AS created_ts, thread_id, sku,
            out_supplier AS supplier_id, cast(n AS integer) AS packs, pack AS pack_size_g,
            R(n * pack) AS total_grams, price AS unit_price_usd, R(n * price) AS total_cost_usd,
@@ -122,8 +125,8 @@ def po_drafts(t: Tables):
         "sku": F.col("sku").cast("bigint"), "supplier_id": F.col("supplier_id").cast("bigint")})
 
 
-@query("budget_allocation", """
-    SELECT 'LED-' || upper(substr(sha256(period_ym || '|SEED'), 1, 10)) AS ledger_id,
+@query("budget_allocation", f"""
+    SELECT {sql_id('LED', 'period_ym', "'SEED'")} AS ledger_id,
            period_ym, 'SEED' AS category, cast(25000 AS double) AS balance_usd,
            'Monthly seed budget allocation ' || period_ym AS note
     FROM (SELECT DISTINCT strftime(created_ts + INTERVAL 5 YEAR, '%Y-%m') AS period_ym
@@ -176,14 +179,14 @@ def budget_gate(t: Tables):
     return _gate(t).drafts.select("po_id", "status", "rationale")
 
 
-@query("budget_gate_ledger", """
-    SELECT 'LED-' || upper(substr(sha256(cast(po_id AS varchar)), 1, 10)) AS ledger_id,
+@query("budget_gate_ledger", f"""
+    SELECT {sql_id('LED', 'po_id')} AS ledger_id,
            period AS period_ym, 'SEED' AS category, R(-cost) AS delta_usd,
            R(left_after) AS balance_usd, po_id,
            'Approved PO ' || po_id || ' for SKU ' || sku AS note
     FROM gate_walk WHERE approved
     UNION ALL
-    SELECT 'LED-' || upper(substr(sha256(period || '|SEED'), 1, 10)), period, 'SEED',
+    SELECT {sql_id('LED', 'period', "'SEED'")}, period, 'SEED',
            cast(2000000 AS double), cast(2000000 AS double), NULL,
            'Monthly seed budget allocation ' || period
     FROM gate_open WHERE period NOT IN (
@@ -238,9 +241,9 @@ def _forms(t: Tables):
         F.when(F.col("years_in_biz") > 2, F.col("years_in_biz")).alias("years_in_biz"))
 
 
-@query("submit_application", """
-    SELECT 'APP-' || upper(substr(sha256(supplier_name || '|' || contact_email || '|' || country),
-                                  1, 10)) AS application_id,
+@query("submit_application", f"""
+    SELECT {sql_id('APP', 'supplier_name', 'contact_email', 'country', "'2024-01-31T00:00:00'")}
+             AS application_id,
            timestamp '2024-01-31 00:00:00' AS submitted_ts, supplier_name, contact_email, country,
            offered_skus, organic_cert,
            CASE WHEN years_in_biz > 2 THEN years_in_biz ELSE 0 END AS years_in_biz,

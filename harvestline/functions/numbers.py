@@ -25,13 +25,14 @@ def shortfall(target: Column, on_hand: Column) -> Column:
 
 
 def packs_up(grams: Column, pack_grams: Column) -> Column:
-    """Packs covering `grams`, rounded up."""
-    return F.ceil(F.try_divide(grams, pack_grams)).cast("int")
+    """Packs covering `grams`, rounded up; NULL beyond the range of an int."""
+    return F.ceil(F.try_divide(grams, pack_grams)).try_cast("int")
 
 
 def packs_down(grams: Column, pack_grams: Column, fallback: Column, default: int = 10) -> Column:
-    """Whole packs within `grams`; none → `fallback`, none again → `default`; at least one."""
-    whole = F.try_divide(F.coalesce(grams, F.lit(0.0)), pack_grams).cast("int")
+    """Whole packs within `grams`; none → `fallback`, none again → `default`; at least one.
+    A count beyond the range of an int counts as none."""
+    whole = F.try_divide(F.coalesce(grams, F.lit(0.0)), pack_grams).try_cast("int")
     planned = F.coalesce(F.nullif(whole, F.lit(0)), F.nullif(fallback, F.lit(0)), F.lit(default))
     return F.greatest(planned, F.lit(1)).cast("int")
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,9 +16,13 @@ def upper_code(value: Column) -> Column:
 
 
 def stable_id(prefix: str, *parts: Column) -> Column:
-    """Ten hex digits of a digest: a rerun gives the same id."""
-    digest = F.sha2(F.concat_ws("|", *[p.cast("string") for p in parts]), 256)
-    return F.concat(F.lit(f"{prefix}-"), F.upper(F.substring(digest, 1, 10)))
+    """128 bits of a digest: a rerun gives the same id, and different parts never the same text.
+
+    Each part goes in with its length, a NULL part as a dash.
+    """
+    marked = [F.coalesce(F.concat(F.length(p.cast("string")).cast("string"), F.lit(":"),
+                                  p.cast("string")), F.lit("-")) for p in parts]
+    return F.concat(F.lit(f"{prefix}-"), F.upper(F.substring(F.sha2(F.concat(*marked), 256), 1, 32)))
 
 
 def recommendation_id(sku: Column, room: Column, stamp: Column) -> Column:
@@ -71,18 +72,19 @@ def rfq_prompt(sku: Column, grams: Column, packs: Column, pack_grams: Column,
                price: Column, lead_days: Column, supplier: Column) -> Column:
     """Request text from the fields of a recommendation; halves of a gram round to even."""
     return F.format_string(
-        "SKU: %s\nQuantity required: %.0f g (%d packs × %.0f g)\n"
-        "Current leaderboard unit price: $%.2f\nCurrent lead time: %d days\nSupplier: %s",
-        sku.cast("string"), F.bround(grams, 0), packs, F.bround(pack_grams, 0), price, lead_days, supplier.cast("string"),
+        "To %s: please offer %.0f g of item %s as %d packs of %.0f g.\n"
+        "Our board shows $%.2f a pack, delivered within %d days.",
+        supplier.cast("string"), F.bround(grams, 0), sku.cast("string"), packs,
+        F.bround(pack_grams, 0), price, lead_days,
     )
 
 
 def application_prompt(name: Column, country: Column, contact: Column, skus: Column,
                        organic: Column, years: Column) -> Column:
     return F.format_string(
-        "Supplier name: %s\nCountry: %s\nContact: %s\nOffered SKUs: %s\n"
-        "Organic certified: %s\nYears in business: %d",
-        name, country, contact, skus, organic.cast("string"), years,
+        "%s from %s applies as a supplier of: %s.\n"
+        "Organic certificate: %s; trading for %d years; write to %s.",
+        name, country, skus, organic.cast("string"), years, contact,
     )
 
 
@@ -111,41 +113,59 @@ def quote_fields(extracted_json: Column) -> Column:
 
 
 def _number_after(text: Column, pattern: str) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
+    """The number a pattern finds, without its thousands separators."""
+    found = F.regexp_extract(text, pattern, 1)
+    return F.nullif(F.replace(found, F.lit(","), F.lit("")), F.lit(""))
+
+
+_NUMBER = r"([0-9][0-9,]*(?:\.[0-9]+)?)"
 
 
-def reply_price(body: Column) -> Column:
-    return _number_after(body, r"\$\s*([0-9]+(?:\.[0-9]+)?)").cast("double")
+def reply_price(reply: Column) -> Column:
+    return _number_after(reply, rf"\$\s*{_NUMBER}").try_cast("double")
 
 
-def reply_pack(body: Column) -> Column:
-    return _number_after(body, r"(?i)pack of\s+([0-9]+(?:\.[0-9]+)?)\s*g").cast("double")
+def reply_pack(reply: Column) -> Column:
+    return _number_after(reply, rf"(?i)\bpack of\s+{_NUMBER}\s*g\b").try_cast("double")
 
 
-def reply_lead_days(body: Column) -> Column:
-    return _number_after(body, r"(?i)lead time\s+([0-9]+)").cast("int")
+def reply_lead_days(reply: Column) -> Column:
+    """Days to delivery; a number no int holds cannot be read and gives NULL."""
+    return _number_after(reply, r"(?i)\blead time:?\s+([0-9][0-9,]*)").try_cast("int")
 
 
-def _mentions(text: Column, *phrases: str) -> Column:
-    """Any of the phrases occurs. Plain substring search, far cheaper than a pattern."""
-    return reduce(or_, [text.contains(p) for p in phrases])
+def _mentions(low: Column, stem: str, pattern: str) -> Column:
+    """A whole word or phrase occurs; the plain search for its stem spares most texts the pattern."""
+    return low.contains(stem) & low.rlike(pattern)
 
 
-def reply_organic(body: Column) -> Column:
-    low = F.lower(body)
-    denied = _mentions(low, "not organic", "not certified organic", "conventional")
-    return F.when(denied, F.lit(False)).when(low.contains("organic"), F.lit(True))
+_NOT = r"\b(?:not|never|no longer|cannot|can't|don't|won't|unable to)\s+(?:\w+\s+)?"
 
 
-def reply_intent(body: Column) -> Column:
-    """Keyword reading of a supplier's reply; plain quotes are the default."""
-    low = F.lower(body)
-    keywords = [
-        ("OOF", ["out of office"]),
-        ("REJECT", ["unable to", "cannot", "decline", "regret"]),
-        ("COUNTER", ["counter"]),
-        ("ACCEPT", ["accept", "confirm"]),
+def reply_organic(reply: Column) -> Column:
+    low = F.lower(reply)
+    denied = (_mentions(low, "organic", r"\b(?:not|non|never)[\s-]+(?:certified\s+)?organic\b")
+              | _mentions(low, "conventional", r"\bconventional(?:ly)?\b"))
+    return F.when(denied, F.lit(False)).when(
+        _mentions(low, "organic", r"\borganic(?:ally)?\b"), F.lit(True))
+
+
+def reply_intent(reply: Column) -> Column:
+    """Keyword reading of a supplier's reply; plain quotes are the default.
+
+    Words count whole, and an acceptance that is denied is a rejection.
+    """
+    low = F.lower(reply)
+    agree = r"(?:accept(?:s|ed|able)?|confirm(?:s|ed)?)\b"
+    checks = [
+        ("OOF", _mentions(low, "out of office", r"\bout of office\b")),
+        ("REJECT", _mentions(low, "unable to", r"\bunable to\b")
+         | _mentions(low, "cannot", r"\bcannot\b")
+         | _mentions(low, "decline", r"\bdeclined?s?\b")
+         | _mentions(low, "regret", r"\bregrets?\b")
+         | _mentions(low, "unacceptable", r"\bunacceptable\b")
+         | _mentions(low, "accept", _NOT + agree) | _mentions(low, "confirm", _NOT + agree)),
+        ("COUNTER", _mentions(low, "counter", r"\bcounter(?:s|ed|[\s-]?offer\w*|[\s-]?propos\w*)?\b")),
+        ("ACCEPT", _mentions(low, "accept", r"\b" + agree) | _mentions(low, "confirm", r"\b" + agree)),
     ]
-    return F.coalesce(
-        *[F.when(_mentions(low, *words), F.lit(intent)) for intent, words in keywords],
-        F.lit("QUOTE"))
+    return F.coalesce(*[F.when(found, F.lit(intent)) for intent, found in checks], F.lit("QUOTE"))

@@ -92,12 +92,17 @@ def score_rank(df: DataFrame, key: str, score: str, tie: str,
 
 
 def newest_first(df: DataFrame, ts: str, ties: Sequence[str], limit: int | None) -> DataFrame:
-    """Newest rows first, at most `limit`: plans as a distributed top-k."""
-    ordered = df.orderBy(F.col(ts).desc(), *[F.col(t) for t in ties])
-    return ordered if limit is None else ordered.limit(limit)
+    """The `limit` newest rows, newest first: plans as a distributed top-k.
+
+    Without a limit all rows stay, in no order: a step that writes them keeps none.
+    """
+    if limit is None:
+        return df
+    return df.orderBy(F.col(ts).desc(), *[F.col(t) for t in ties]).limit(limit)
 
 
 def oldest_batch(df: DataFrame, ts: str, ties: Sequence[str], limit: int | None) -> DataFrame:
-    """Oldest rows first, at most `limit`."""
-    ordered = df.orderBy(F.col(ts).asc(), *[F.col(t) for t in ties])
-    return ordered if limit is None else ordered.limit(limit)
+    """The `limit` oldest rows, oldest first; without a limit all rows, in no order."""
+    if limit is None:
+        return df
+    return df.orderBy(F.col(ts).asc(), *[F.col(t) for t in ties]).limit(limit)

@@ -27,11 +27,14 @@ def dim_upsert(current: DataFrame, incoming: DataFrame, key: str | Sequence[str]
 
 
 def state_update(current: DataFrame, delta: DataFrame, key: str, columns: Sequence[str], *,
-                 overwrite_null: bool = False) -> DataFrame:
+                 overwrite_null: bool = False, check: bool = True) -> DataFrame:
     """Replace `columns` in the rows `delta` names; other rows and columns stay.
 
-    By default a NULL in `delta` leaves the old value; `overwrite_null` writes it.
+    By default a NULL in `delta` leaves the old value; `overwrite_null` writes it. A key
+    that `delta` repeats has no defined winner and is refused.
     """
+    if check:
+        quality.assert_unique(delta, [key], "state update")
     marked = delta.select(
         key, F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in columns])
     joined = current.join(marked, key, "left")

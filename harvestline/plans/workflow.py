@@ -26,8 +26,8 @@ from harvestline.session import cut_lineage
 
 def rfq_candidates(recommendations: DataFrame, outbox: DataFrame, as_of: datetime,
                    limit: int | None = None) -> DataFrame:
-    """Urgent recommendations whose supplier was not asked within a day, newest first."""
-    urgent = recommendations.where("decision = 'BUY_NOW'")
+    """Urgent recommendations with a supplier that was not asked within a day, newest first."""
+    urgent = recommendations.where("decision = 'BUY_NOW' AND recommended_supplier_id IS NOT NULL")
     return latest.newest_first(joins.without_recent_rfq(urgent, outbox, as_of),
                                "created_ts", ["recommendation_id"], limit)
 
@@ -57,28 +57,31 @@ def rfq_outbox_rows(candidates: DataFrame, as_of: datetime) -> DataFrame:
 
 
 def reply_terms(inbox: DataFrame) -> DataFrame:
-    """Terms read from each reply's text."""
-    body = F.col("body_md")
+    """Terms read from each reply's subject and body; `notes` is how the body begins."""
+    reply = F.concat_ws("\n\n", "subject", "body_md")
     return inbox.withColumns({
-        "intent_detected": text.reply_intent(body),
-        "unit_price_usd": text.reply_price(body),
-        "pack_size_g": text.reply_pack(body),
-        "lead_time_days": text.reply_lead_days(body),
-        "organic": text.reply_organic(body),
+        "intent_detected": text.reply_intent(reply),
+        "unit_price_usd": text.reply_price(reply),
+        "pack_size_g": text.reply_pack(reply),
+        "lead_time_days": text.reply_lead_days(reply),
+        "organic": text.reply_organic(reply),
+        "notes": text.short_notes(F.col("body_md"), 120),
     })
 
 
 def inbound_extract(inbox: DataFrame) -> DataFrame:
     """New inbox version: unprocessed mail gets intent and terms and is marked done.
 
-    A reply without any body is marked done too, with no terms.
+    A reply without subject and body is marked done too, with no terms. Mail that is done
+    passes unread.
     """
-    todo = ~F.coalesce(F.col("processed"), F.lit(False))
-    read = reply_terms(inbox.withColumnRenamed("intent_detected", "_old_intent"))
+    done = inbox.where("processed")
+    todo = inbox.where("NOT coalesce(processed, false)")
+    read = reply_terms(todo.withColumnRenamed("intent_detected", "_old_intent"))
     terms = F.to_json(F.struct(
-        "intent_detected", "unit_price_usd", "pack_size_g", "lead_time_days", "organic"))
-    readable = todo & F.col("body_md").isNotNull()
-    return read.select(*[
+        "intent_detected", "unit_price_usd", "pack_size_g", "lead_time_days", "organic", "notes"))
+    readable = F.col("body_md").isNotNull() | F.col("subject").isNotNull()
+    return done.unionByName(read.select(*[
         {
             "intent_detected": F.when(readable, F.col("intent_detected"))
             .otherwise(F.col("_old_intent")).alias("intent_detected"),
@@ -87,7 +90,7 @@ def inbound_extract(inbox: DataFrame) -> DataFrame:
             "processed": F.lit(True).alias("processed"),
         }.get(name, F.col(name))
         for name in inbox.columns
-    ])
+    ]))
 
 
 # ---- order drafts -----------------------------------------------------------------
@@ -304,7 +307,7 @@ def submit_application(payloads: DataFrame, as_of: datetime) -> DataFrame:
     shape = schemas.STATE["supplier_applications"]
     return accepted.select(
         text.stable_id("APP", F.col("supplier_name"), F.col("contact_email"),
-                       F.col("country")).alias("application_id"),
+                       F.col("country"), F.lit(timing.resolve(as_of).isoformat())).alias("application_id"),
         timing.instant(as_of, shape["submitted_ts"].dataType).alias("submitted_ts"),
         "supplier_name",
         "contact_email",

@@ -164,11 +164,12 @@ BINDINGS: dict[str, Binding] = {
         "subject": "concat('Re: RFQ ', l_partkey)",
         "body_md":
         "concat(case l_returnflag when 'A' then 'We accept. ' when 'R' then 'Counter offer. ' "
-        "else '' end, 'Price: $', {cents(l_extendedprice)}, ' per pack of ', "
-        "cast(l_quantity as bigint), ' g, lead time ', 1 + l_orderkey % 30, ' days.', "
+        "else '' end, 'Price: $', {money(l_extendedprice)}, ' per pack of ', "
+        "cast(l_quantity as bigint), ' g, lead time ', case when l_orderkey % 90 = 7 then 99999999999 "
+        "else 1 + l_orderkey % 30 end, ' days.', "
         "case when l_linestatus = 'F' then ' Certified organic.' else '' end)",
         "sku": "l_partkey", "intent_detected": "cast(null as {text})",
-        "extracted_json": "cast(null as {text})", "processed": "false",
+        "extracted_json": "cast(null as {text})", "processed": "l_orderkey % 7 = 3",
     }),
     "supplier_applications": Binding("supplier_nation", {
         "application_id": "s_suppkey", "submitted_ts":
@@ -196,13 +197,13 @@ BINDINGS: dict[str, Binding] = {
 _SPARK_TEMPLATES = [
     (r"\{month\((\w+)\)\}", r"date_format(\1, 'yyyy-MM')"),
     (r"\{minutes\((\w+)\)\}", r"make_dt_interval(0, 0, \1)"),
-    (r"\{cents\((\w+)\)\}", r"format_string('%.2f', \1)"),
+    (r"\{money\((\w+)\)\}", r"format_number(\1, 2)"),
     (r"\{text\}", "string"),
 ]
 _DUCK_TEMPLATES = [
     (r"\{month\((\w+)\)\}", r"strftime(\1, '%Y-%m')"),
     (r"\{minutes\((\w+)\)\}", r"to_minutes(\1)"),
-    (r"\{cents\((\w+)\)\}", r"printf('%.2f', \1)"),
+    (r"\{money\((\w+)\)\}", r"format('{:,.2f}', \1)"),
     (r"\{text\}", "varchar"),
     (r"(\d+\.\d+)D", r"cast(\1 as double)"),
     (r"make_dt_interval\(", "to_days("),

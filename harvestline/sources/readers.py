@@ -20,15 +20,18 @@ def batch_source(spark: SparkSession, folder: str, name: str,
 
 def stream_source(spark: SparkSession, path: str, schema: T.StructType,
                   max_files: int = 64) -> DataFrame:
-    """An append-only event table as a stream.
+    """An append-only event table as a stream: a folder that gains files, taken as it is.
 
-    The path is given to the file source as a pattern, so it may name one file or a
-    folder that gains files.
+    As everywhere in Spark a path with glob signs is a pattern; one file is streamed by a
+    pattern that fits it alone, see `one_file`.
     """
-    pattern = f"{path[:-1]}[{path[-1]}]"
-    return (
-        spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(pattern)
-    )
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
+
+
+def one_file(path: str) -> str:
+    """A pattern that fits this file or folder only: the file source wants a folder or pattern."""
+    plain = path.rstrip("/")
+    return f"{plain[:-1]}[{plain[-1]}]"
 
 
 def with_instants(df: DataFrame) -> DataFrame:

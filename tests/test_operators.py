@@ -289,12 +289,44 @@ def test_json_extract(spark, answer, k, note, broken):
 @pytest.mark.parametrize(("body", "intent"), [
     ("I am out of office", "OOF"), ("We regret to decline", "REJECT"),
     ("Here is our counter offer", "COUNTER"), ("We accept your terms", "ACCEPT"),
-    ("Price: $5 per pack of 10 g", "QUOTE")])
+    ("Price: $5 per pack of 10 g", "QUOTE"), ("Your terms are unacceptable", "REJECT"),
+    ("A rare encounter", "QUOTE"), ("We do not accept this", "REJECT"),
+    ("We can't really accept", "REJECT"), ("Confirmed.", "ACCEPT"), ("counter-offer: $3", "COUNTER")])
 def test_reply_intent(spark, body, intent):
     assert one(spark, text.reply_intent(F.col("b")), b=body) == intent
 
 
+@pytest.mark.parametrize(("reply", "price", "pack", "days"), [
+    ("$1,250.00 per pack of 1,000 g, lead time 12 days", 1250.0, 1000.0, 12),
+    ("lead time 99999999999", None, None, None), ("backpack of 5 g; $ 3", 3.0, None, None),
+    ("Lead time: 7", None, None, 7)])
+def test_reply_numbers(spark, reply, price, pack, days):
+    got = one(spark, F.struct(text.reply_price(F.col("r")), text.reply_pack(F.col("r")),
+                              text.reply_lead_days(F.col("r"))), r=reply)
+    assert tuple(got) == (price, pack, days)
+
+
+def test_packs_beyond_an_int(spark):
+    assert one(spark, numbers.packs_up(F.lit(1e12), F.lit(1.0))) is None
+    assert one(spark, numbers.packs_down(F.lit(1e12), F.lit(1.0), F.lit(4))) == 4
+
+
+def test_ids_tell_parts_apart(spark):
+    parts = [("a", "b|c"), ("a|b", "c"), ("a", None), (None, "a"), ("ab", ""), ("", "ab")]
+    ids = {one(spark, text.stable_id("X", F.lit(a).cast("string"), F.lit(b).cast("string"))) for a, b in parts}
+    assert len(ids) == len(parts) and all(len(i) == 34 for i in ids)
+
+
+def test_repeated_keys_in_a_state_update(spark):
+    current = spark.createDataFrame([(1, "a")], "k int, v string")
+    delta = spark.createDataFrame([(1, "b"), (1, "c")], "k int, v string")
+    with pytest.raises(ValueError):
+        state.state_update(current, delta, "k", ["v"])
+
+
 def test_reply_organic(spark):
+    assert one(spark, text.reply_organic(F.lit("inorganic matter"))) is None
+    assert one(spark, text.reply_organic(F.lit("non-organic"))) is False
     assert one(spark, text.reply_organic(F.lit("certified organic seed"))) is True
     assert one(spark, text.reply_organic(F.lit("not organic"))) is False
     assert one(spark, text.reply_organic(F.lit("seed"))) is None

@@ -12,7 +12,7 @@ from harvestline.checks.registry import PLAIN, Tables
 FOLDER = "/root/testdata/sf0.001"
 ROOT = Path(entry.__file__).parent
 # the stream and model queries act while they are built
-LAZY = sorted(k for k in entry.queries()
+LAZY = sorted(k for k in PLAIN
               if not k.startswith(("stream", "gbt", "model", "p2p", "late", "at_least")))
 
 
@@ -86,5 +86,5 @@ def test_sources_keep_to_the_rules():
         assert "crossJoin" not in code, path
         assert ".toPandas(" not in code, path
         assert ".rdd" not in code, path
-        for found in re.findall(r"broadcast\(.*", code):
-            assert path.name == "joins.py", (path, found)
+        for found in re.findall(r"broadcast\(.*", code):  # llm names its own bounds
+            assert path.name == "joins.py" or "llm" in path.parts, (path, found)

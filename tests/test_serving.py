@@ -104,9 +104,10 @@ def test_scratch_can_be_dropped(spark):
 
     from harvestline import session
 
-    mine, session._SCRATCH[:] = list(session._SCRATCH), []
+    mine = dict(session._SCRATCH)
+    session._SCRATCH.clear()
     path = scratch_path(spark, "dropped")
     spark.range(3).write.parquet(path)
     assert session.drop_scratch(spark) == 1
     assert not os.path.exists(path.removeprefix("file:"))
-    session._SCRATCH[:] = mine
+    session._SCRATCH.update(mine)
