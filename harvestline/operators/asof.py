@@ -68,6 +68,31 @@ def bucket_width(df: DataFrame, key: str, ts: str, rows: int = BUCKET_ROWS) -> t
     return min(max(width, timedelta(milliseconds=1)), timedelta(days=365))
 
 
+# Buckets of one key that one task carries values through.
+SPAN = 10_000
+
+
+def _carried(closing: DataFrame, key: str) -> DataFrame:
+    """For each (key, bucket) the last close before it, NULL keys included.
+
+    Spans of buckets close first; a span opens with what the spans before it closed with.
+    """
+    spans = closing.withColumn("_span", F.floor(F.col("_slot") / SPAN))
+    span_close = spans.groupBy(key, "_span").agg(
+        F.max_by("_close", F.when(F.col("_close").isNotNull(), F.col("_slot"))).alias("_close"))
+    earlier = W.partitionBy(key).orderBy("_span").rowsBetween(W.unboundedPreceding, -1)
+    opened = span_close.select(
+        key, (F.col("_span") * SPAN - 1).alias("_slot"),
+        F.last("_close", ignorenulls=True).over(earlier).alias("_close"), "_span",
+        F.lit(True).alias("_open"))
+    before = W.partitionBy(key, "_span").orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)
+    return (
+        spans.withColumn("_open", F.lit(False)).unionByName(opened)
+        .withColumn("_value", F.last("_close", ignorenulls=True).over(before))
+        .where("NOT _open").select(key, "_slot", "_value")
+    )
+
+
 def asof_each_row(df: DataFrame, key: str, ts: str, value: str, horizon: timedelta, *,
                   ties: Sequence[str] = ("event_id",), bucket: timedelta | None = None,
                   name: str = "ref_value") -> DataFrame:
@@ -77,42 +102,36 @@ def asof_each_row(df: DataFrame, key: str, ts: str, value: str, horizon: timedel
     buckets: each row appears once as a candidate (at its time) and once as a question
     (at its time less `horizon`), and a window inside (key, bucket) answers the question.
     What was valid when a bucket opened comes from a small table of the last candidate
-    per bucket, carried forward; it has one row per (key, bucket). The result does not
-    depend on `bucket`; by default it follows the density of the feed.
+    per bucket, carried forward in spans of buckets. The result does not depend on
+    `bucket`; by default it follows the density of the feed. NULL is a key of its own.
     """
     width = int((bucket or bucket_width(df, key, ts)) / timedelta(microseconds=1))
     shift = int(horizon / timedelta(microseconds=1))
     at = _micros(df, ts)
     tie_order = F.struct(*[F.col(t) for t in ties])
-
-    candidates = df.select(
-        F.col(key), at.alias("_at"), tie_order.alias("_tie"), F.lit(0).alias("_kind"),
-        F.struct(F.col(value).alias("v")).alias("_value"),
-    )
-    questions = df.select(
-        F.col(key), (at - shift).alias("_at"), F.lit(None).cast(
-            candidates.schema["_tie"].dataType).alias("_tie"),
-        F.lit(1).alias("_kind"), F.lit(None).cast(
-            candidates.schema["_value"].dataType).alias("_value"),
-        F.struct(*[F.col(c) for c in df.columns]).alias("_row"),
-    )
+    held = F.struct(F.col(value).alias("v"))
+    no_tie, no_value, no_row = (
+        F.lit(None).cast(df.select(c.alias("x")).schema["x"].dataType)
+        for c in (tie_order, held, F.struct(*[F.col(c) for c in df.columns])))
     slot = F.floor(F.col("_at") / width).alias("_slot")
 
-    closing = candidates.groupBy(key, slot).agg(
-        F.max_by("_value", F.struct("_at", "_tie")).alias("_close"))
-    asked = questions.select(key, slot).distinct()
-    before = W.partitionBy(key).orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)
+    candidate = F.struct(at.alias("_at"), tie_order.alias("_tie"), F.lit(0).alias("_kind"),
+                         held.alias("_value"), no_row.alias("_row"))
+    question = F.struct((at - shift).alias("_at"), no_tie.alias("_tie"), F.lit(1).alias("_kind"),
+                        no_value.alias("_value"),
+                        F.struct(*[F.col(c) for c in df.columns]).alias("_row"))
+    events = df.select(F.col(key), F.explode(F.array(candidate, question)).alias("_e")).select(
+        key, "_e.*").select("*", slot)
+
+    # what each bucket closes with; a bucket that is only asked closes with nothing
+    closing = events.groupBy(key, "_slot").agg(
+        F.max_by("_value", F.when(F.col("_kind") == 0, F.struct("_at", "_tie"))).alias("_close"))
     opening = (
-        closing.join(asked, [key, "_slot"], "full")
-        .select(key, "_slot", F.last("_close", ignorenulls=True).over(before).alias("_value"))
-        .where(F.col("_value").isNotNull())
-        .select(key, (F.col("_slot") * width).alias("_at"), F.lit(-1).alias("_kind"), "_value")
-    )
-    timeline = (
-        candidates.unionByName(questions, allowMissingColumns=True)
-        .unionByName(opening, allowMissingColumns=True)
-        .select("*", slot)
+        _carried(closing, key).where(F.col("_value").isNotNull())
+        .select(key, (F.col("_slot") * width).alias("_at"), no_tie.alias("_tie"),
+                F.lit(-1).alias("_kind"), "_value", no_row.alias("_row"), "_slot")
     )
+    timeline = events.unionByName(opening)
     inside = (
         W.partitionBy(key, "_slot")
         .orderBy("_at", "_kind", "_tie")

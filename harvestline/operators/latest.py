@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from harvestline.session import cut_lineage
+
 _RN = "_row_in_group"
 
 
@@ -47,47 +49,45 @@ def top_ranked(df: DataFrame, key: str, score: str, tie: str, n: int) -> DataFra
 
 # Rows of one group that a single task sorts at most.
 GROUP_ROWS = 1_000_000
-MAX_BANDS = 4096
 
 
-def bands_for(df: DataFrame, key: str, rows: int = GROUP_ROWS) -> int:
-    """Score bands that cut the largest group into pieces a task can sort; 1 if it fits.
+def chunks_for(df: DataFrame, key: str, rows: int = GROUP_ROWS) -> int:
+    """Ranges of about `rows` rows to rank side by side; 1 if every group fits one task.
 
-    A counting pass over the key column; one number reaches the driver.
+    A counting pass over the key column; two numbers reach the driver.
     """
-    largest = df.groupBy(key).count().agg(F.max("count")).first()[0] or 0
-    return 1 if largest <= rows else min(MAX_BANDS, -(-4 * largest // rows))
+    sizes = df.groupBy(key).count().agg(F.max("count"), F.sum("count")).first()
+    return 1 if (sizes[0] or 0) <= rows else -(-2 * sizes[1] // rows)
 
 
 def score_rank(df: DataFrame, key: str, score: str, tie: str,
-               bands: int | None = None) -> DataFrame:
-    """Rank of every row by score (0..1) within `key`, largest first.
+               chunks: int | None = None) -> DataFrame:
+    """Rank of every row by score within `key`, largest first.
 
     A full rank has no group limit, so a hot key would be sorted in one task. Where the
-    largest group is too big for that, rows are ranked inside (key, score band) and
-    shifted by the number of rows in the higher bands; the shift table has at most
-    `bands` + 1 rows per key. The result does not depend on `bands`.
+    largest group is too big for that, rows are put into ranges of (key, score, tie), which
+    come out even for any distribution of scores; rows are ranked inside their range and
+    shifted by the rows of the key in earlier ranges. The result does not depend on `chunks`.
     """
-    bands = bands or bands_for(df, key)
+    chunks = chunks or chunks_for(df, key)
     order = [F.col(score).desc(), F.col(tie)]
-    if bands == 1:
+    if chunks == 1:
         whole = F.row_number().over(W.partitionBy(key).orderBy(*order))
         return df.withColumn("rank", whole.cast("int"))
-    band = F.coalesce(
-        F.least(F.greatest(F.floor(F.col(score) * bands), F.lit(0)), F.lit(bands - 1)), F.lit(-1)
-    ).cast("int")
-    banded = df.withColumn("_band", band)
-    higher = W.partitionBy(key).orderBy(F.col("_band").desc()).rowsBetween(
-        W.unboundedPreceding, -1)
+    placed = cut_lineage(
+        df.repartitionByRange(chunks, F.col(key), *order).withColumn("_chunk", F.spark_partition_id()),
+        "rank-order")
+    earlier = W.partitionBy(key).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     shifts = (
-        banded.groupBy(key, "_band").agg(F.count(F.lit(1)).alias("_n"))
-        .select(key, "_band", F.coalesce(F.sum("_n").over(higher), F.lit(0)).alias("_shift"))
+        placed.groupBy(key, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
+        .select(F.col(key).alias("_key"), F.col("_chunk").alias("_of"),
+                F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift"))
     )
     return (
-        banded.withColumn(_RN, F.row_number().over(W.partitionBy(key, "_band").orderBy(*order)))
-        .join(shifts, [key, "_band"], "left")
+        placed.withColumn(_RN, F.row_number().over(W.partitionBy(key, "_chunk").orderBy(*order)))
+        .join(shifts, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_chunk") == F.col("_of")), "left")
         .withColumn("rank", (F.col(_RN) + F.col("_shift")).cast("int"))
-        .drop("_band", "_shift", _RN)
+        .drop("_chunk", "_key", "_of", "_shift", _RN)
     )
 
 

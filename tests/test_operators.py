@@ -78,15 +78,18 @@ def test_latest_breaks_ties_by_id(spark):
     assert [r.v for r in latest.latest_per_key(df, ["key"]).collect()] == [2]
 
 
-@pytest.mark.parametrize("bands", [None, 4, 256])
-def test_score_rank_is_exact(spark, bands):
+@pytest.mark.parametrize("scores", ["mixed", "equal", "narrow"])
+@pytest.mark.parametrize("chunks", [None, 4, 50])
+def test_score_rank_is_exact(spark, chunks, scores):
     rng = random.Random(3)
-    rows = [("hot" if rng.random() < 0.5 else f"s{rng.randrange(5)}", i,
-             None if i % 97 == 0 else round(rng.choice([rng.random(), 0.5, 1.0, 0.0]), 2))
+    draw = {"mixed": lambda: round(rng.choice([rng.random(), 0.5, 1.0, 0.0]), 2),
+            "equal": lambda: 0.5, "narrow": lambda: 0.5 + rng.random() * 1e-6}[scores]
+    rows = [("hot" if rng.random() < 0.5 else None if rng.random() < 0.2 else f"s{rng.randrange(5)}", i,
+             None if i % 97 == 0 else draw())
             for i in range(800)]
     df = spark.createDataFrame(rows, "sku string, supplier_id int, score double")
     got = {(r.sku, r.supplier_id): r["rank"]
-           for r in latest.score_rank(df, "sku", "score", "supplier_id", bands).collect()}
+           for r in latest.score_rank(df, "sku", "score", "supplier_id", chunks).collect()}
     want = {}
     for sku in {r[0] for r in rows}:
         group = sorted((r for r in rows if r[0] == sku),
@@ -95,11 +98,11 @@ def test_score_rank_is_exact(spark, bands):
     assert got == want
 
 
-def test_bands_follow_the_largest_group(spark):
+def test_chunks_follow_the_rows(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("sku"))
-    assert latest.bands_for(df, "sku") == 1
-    assert latest.bands_for(df, "sku", rows=100) == 14
-    assert latest.bands_for(df.limit(0), "sku") == 1
+    assert latest.chunks_for(df, "sku") == 1
+    assert latest.chunks_for(df, "sku", rows=100) == 20
+    assert latest.chunks_for(df.limit(0), "sku") == 1
 
 
 # ---- as-of ------------------------------------------------------------------------
@@ -132,6 +135,21 @@ def test_asof_each_row_is_exact(spark, bucket, horizon):
     assert got == want
 
 
+def test_asof_each_row_null_key_and_long_series(spark, monkeypatch):
+    """NULL is a key of its own; a long even series is carried through many spans."""
+    monkeypatch.setattr(asof, "SPAN", 7)
+    rows = [(i, None if i % 3 == 0 else "k", T0 + timedelta(minutes=17 * i), float(i)) for i in range(300)]
+    df = spark.createDataFrame(rows, PRICES)
+    horizon = timedelta(hours=30)
+    got = {r.event_id: r.ref_value for r in asof.asof_each_row(
+        df, "input_key", "event_ts", "price_usd", horizon, bucket=timedelta(minutes=20)).collect()}
+    want = {}
+    for i, key, ts, _ in rows:
+        older = [r for r in rows if r[1] == key and r[2] <= ts - horizon]
+        want[i] = max(older, key=lambda r: (r[2], r[0]))[3] if older else None
+    assert got == want
+
+
 def test_bucket_width_follows_the_densest_hour(spark):
     rows = [(i, "hot", T0 + timedelta(seconds=i), 1.0) for i in range(3600)]
     rows += [(9000 + i, "cold", T0 + timedelta(days=i), 1.0) for i in range(50)]

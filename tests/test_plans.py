@@ -59,6 +59,7 @@ def test_as_of_changes_take_one_scan(spark):
 def test_one_shuffle_serves_both_as_of_windows(spark):
     text = plan(PLAIN["asof_each_row"](spark, FOLDER))
     assert "_slot" in text and text.count("Window [") <= 4
+    assert text.count("FileScan parquet") <= 3  # events once, and once for what buckets close with
 
 
 def test_bucketed_lines_join_without_a_shuffle(spark):
