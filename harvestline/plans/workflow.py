@@ -334,31 +334,50 @@ def p2p_cycle(tables: Mapping[str, DataFrame], as_of: datetime, *,
     """All steps in order over one set of state tables; returns the new versions.
 
     Needs recommendations, email_outbox, email_inbox, po_drafts, budget_ledger,
-    invoice_reconciliations and supplier_applications. Each step's table is written to
-    shared storage, so no step recomputes the one before.
+    invoice_reconciliations and supplier_applications; `agent_runs`, if given, gains one
+    audit row per row a step handled. What a step makes is written to shared storage once
+    and added to the rows that stay, so neither is computed or written again. `near` tells
+    which applications come from countries in reach; unknown counts half.
     """
     out = dict(tables)
+    logs: list[DataFrame] = []
 
-    def keep(name: str, df: DataFrame) -> DataFrame:
-        out[name] = cut_lineage(df, f"cycle-{name}")
-        return out[name]
-
-    asked = rfq_outbox_rows(
-        rfq_candidates(tables["recommendations"], tables["email_outbox"], as_of), as_of)
-    outbox = keep("email_outbox", tables["email_outbox"].unionByName(asked))
-    inbox = keep("email_inbox", inbound_extract(tables["email_inbox"]))
-    new_drafts = po_drafts(
-        po_candidates(inbox, outbox, tables["po_drafts"]), tables["recommendations"], as_of)
-    drafts = keep("po_drafts", tables["po_drafts"].unionByName(new_drafts))
-    gate = budget_gate(drafts, tables["budget_ledger"], as_of)
-    keep("budget_ledger", tables["budget_ledger"].unionByName(gate.ledger_rows))
-    drafts = keep("po_drafts", gate.drafts)
-    judged = reconcile(tables["invoice_reconciliations"], drafts)
-    keep("invoice_reconciliations", state.state_update(
+    def made(name: str, df: DataFrame) -> DataFrame:
+        return cut_lineage(df, f"cycle-{name}")
+
+    def log(agent: str, rows: DataFrame, ref: str, result: str) -> None:
+        logs.append(state.run_log(rows, agent, timing.resolve(as_of), input_ref=F.col(ref),
+                                  output_ref=F.col(result)))
+
+    asked = made("email_outbox", rfq_outbox_rows(
+        rfq_candidates(tables["recommendations"], tables["email_outbox"], as_of), as_of))
+    outbox = out["email_outbox"] = tables["email_outbox"].unionByName(asked)
+    log("negotiator", asked, "email_id", "thread_id")
+
+    mail = tables["email_inbox"]
+    read = made("email_inbox", inbound_extract(mail.where("NOT coalesce(processed, false)")))
+    inbox = out["email_inbox"] = mail.where("processed").unionByName(read)
+    log("negotiator", read, "email_id", "thread_id")
+
+    new_drafts = made("po_drafts", po_drafts(
+        po_candidates(inbox, outbox, tables["po_drafts"]), tables["recommendations"], as_of))
+    gate = budget_gate(tables["po_drafts"].unionByName(new_drafts), tables["budget_ledger"], as_of)
+    out["budget_ledger"] = tables["budget_ledger"].unionByName(made("budget_ledger", gate.ledger_rows))
+    drafts = out["po_drafts"] = made("po_drafts", gate.drafts)
+
+    judged = made("invoice_reconciliations", reconcile(tables["invoice_reconciliations"], drafts))
+    out["invoice_reconciliations"] = state.state_update(
         tables["invoice_reconciliations"], judged, "reconciliation_id",
-        ["expected_amount_usd", "variance_usd", "variance_pct", "status", "agent_notes"]))
-    scored = onboard_score(tables["supplier_applications"], near=near)
-    keep("supplier_applications", state.state_update(
+        ["expected_amount_usd", "variance_usd", "variance_pct", "status", "agent_notes"])
+    log("invoice_reconciler", judged, "reconciliation_id", "status")
+
+    scored = made("supplier_applications", onboard_score(tables["supplier_applications"], near=near))
+    out["supplier_applications"] = state.state_update(
         tables["supplier_applications"], scored, "application_id",
-        ["status", "score", "agent_notes"]))
+        ["status", "score", "agent_notes"])
+    log("supplier_onboarding", scored, "application_id", "status")
+
+    for rows in logs:
+        known = out.get("agent_runs")
+        out["agent_runs"] = rows if known is None else known.unionByName(rows, allowMissingColumns=True)
     return out
