@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harvestline.llm.support import (Scratch, connected_components, group_starts, long_array,
-                                     number_batches, split_cells, table, whole_groups)
+                                     bound_batches, split_cells, table, whole_groups)
 
 THRESHOLD = 0.95
 MISS = 1e-4        # chance that a pair exactly at the threshold shares no cell
@@ -88,7 +88,7 @@ def coded(vectors: DataFrame) -> DataFrame:
         F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         & F.exists("vector", lambda x: x != 0))
     same = usable.groupBy("vector").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("weight"))
-    number_batches(vectors.sparkSession)
+    bound_batches(vectors.sparkSession)
     return same.select("vec_id", "weight", F.size("vector").alias("dim"), "vector").mapInArrow(_codes, _CODED)
 
 

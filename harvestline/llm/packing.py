@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harvestline.llm import tokens
-from harvestline.llm.support import Scratch, number_batches, small_batches, table, texts_of
+from harvestline.llm.support import Scratch, bound_batches, table, texts_of
 
 CAPACITY = 1024
 END_ID = 2
@@ -52,7 +52,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id:
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Cut the ids of each text plus `end_id`: one row per piece, a short first one if any."""
-    small_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         lambda batches: _pieces(batches, path, capacity, end_id), PIECES)
 
@@ -125,7 +125,7 @@ def _pack(batches: Iterator[pa.RecordBatch], capacity: int, limit: int):
 
 def pack(items: DataFrame, scratch: Scratch, capacity: int = CAPACITY) -> DataFrame:
     """Place pieces (doc_id, piece, start, length, ids_crc32): adds sequence_id and offset."""
-    number_batches(items.sparkSession)
+    bound_batches(items.sparkSession)
 
     def packed(bins: DataFrame) -> DataFrame:
         return bins.select("total", "members").mapInArrow(

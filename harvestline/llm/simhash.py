@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harvestline.llm.support import (Scratch, connected_components, group_starts, long_array,
-                                     number_batches, signed, small_batches, split_cells, table,
+                                     bound_batches, signed, split_cells, table,
                                      texts_of, whole_groups)
 
 RADIUS = 4
@@ -83,7 +83,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp) with the unsigned fingerprint stored in a long."""
-    small_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         _fingerprints, "doc_id long, fp long")
 
@@ -179,7 +179,7 @@ def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
 
 def link_edges(fps: DataFrame, count: int, radius: int = RADIUS) -> DataFrame:
     """(a, b) over distinct fingerprints: enough links to connect all within `radius` bits."""
-    number_batches(fps.sparkSession)
+    bound_batches(fps.sparkSession)
     cells = fps.select("fp").mapInArrow(lambda b: _cells(b, count, radius), "cell int, key long, fp long")
     # one partition per cell key; a cell over the limit arrives as several chunk pairs
     cells = split_cells(cells, ["cell", "key"], "fp", CELL_LIMIT)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harvestline.llm.simhash import shingle_hashes
-from harvestline.llm.support import small_batches, table
+from harvestline.llm.support import bound_batches, table
 
 SHINGLE_WORDS = 5
 SCALE = 8
@@ -140,7 +140,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     sent to the range before it.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    bound_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bounds, held, firsts = ranges(docs, 4 * parts)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _order_id().alias("_id"))

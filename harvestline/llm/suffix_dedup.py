@@ -5,15 +5,16 @@ are the sorted pairs (rank to h of a position, rank to h of the position h furth
 round Spark sorts such pairs at a larger offset; positions whose rank no other document
 shares leave, until the depth reaches the threshold of 50 bytes.
 
-* Depth 16 is doubled inside a task (1, 2, 4, 8, 16), since those ranks are names of bytes.
+* Depth 24 is doubled inside a task (1, 2, 4, 8, 16, 24), since those ranks are names of bytes.
   Of the positions in any 50 bytes, only the one of least name is sorted: equal strings choose
-  equal positions, so no repeated string is missed, and about one position in 18 is shuffled.
-* Each surviving position stands for the windows that chose it, a run of at most 35 starts.
+  equal positions, so no repeated string is missed, and about one position in 14 is shuffled.
+* Each surviving position stands for the windows that chose it, a run of at most 27 starts.
   When the bytes around it equal those of a smaller document, all its windows are repeats;
   one occurrence per distinct surrounding (the least document) goes on.
-* Depth 33: pairs (depth 16, what follows 17 further on, or 17 before).
-* Depth 50, past the threshold: what is left as windows. A window is removed if a smaller
-  document has it.
+* Depth 37: pairs (depth 24, depth 24 at 13 further on, or at 13 before). Positions that share
+  such a rank stand together after the sort, and how far their bytes agree on either side
+  tells which windows of depth 50 they share. Ranks of many documents are compared as windows
+  instead, in one more sort, so that no group is compared pair by pair.
 
 Rows of a task's batch that already share a rank with another document skip the comparison
 and are dealt out evenly, so a passage in a third of all documents sends one row per batch
@@ -32,17 +33,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harvestline.llm.support import (Scratch, group_starts, long_array, number_batches, signed,
-                                     small_batches, table, whole_groups)
+from harvestline.llm.support import (Scratch, bound_batches, group_starts, long_array, signed,
+                                     table, whole_groups)
 
 LENGTH = 50
-DEPTH = 16
+DEPTH = 24
 CHOICE = LENGTH - DEPTH + 1      # names that 50 bytes choose from
-FURTHER = (LENGTH - DEPTH) // 2  # 17: either side of the position reaches depth 33
+FURTHER = (LENGTH - DEPTH) // 2  # 13: either side of the position reaches depth 37
+SMALL_GROUP = 32                 # rows of one rank that are compared with each other
 BLOCK = 1 << 19                  # bytes named at once
 _PLACE = (1 << 40) - 1           # low bits: offset in the text; above: 22 bits of its checksum
 _MANY, _KNOWN = 1, 2
@@ -65,15 +67,21 @@ def _pair(left: np.ndarray, right: np.ndarray, seed: int = 0) -> np.ndarray:
 
 
 def _names(codes: np.ndarray, seed: int = 0) -> np.ndarray:
-    """Names to depth 16 of every position that has 16 bytes, by doubling."""
+    """Names to depth 24 of every position that has 24 bytes, by doubling."""
     x = _mix((codes.astype(_U) + _U(1 + seed)) * _U(0xD6E8FEB86659FD93))
     depth = 1
     while depth < DEPTH:
-        x = _pair(x[:-depth], x[depth:], seed)
-        depth *= 2
+        step = min(depth, DEPTH - depth)
+        x = _pair(x[:-step], x[step:], seed)
+        depth += step
     return x
 
 
+def _fifty(deep: np.ndarray, at: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Names to depth 50 from names to depth 24 at three offsets."""
+    return _pair(_pair(deep[at], deep[at + FURTHER], seed), deep[at + LENGTH - DEPTH], seed)
+
+
 def _least(x: np.ndarray, width: int) -> np.ndarray:
     """Minimum over every `width` neighbours."""
     reach = 1
@@ -84,7 +92,7 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 class _Block:
-    """Some texts end to end: names, and the positions that windows choose."""
+    """Some texts end to end: their names and, once chosen, the positions of windows."""
 
     def __init__(self, texts: list[bytes]):
         self.lengths = np.array([len(t) for t in texts])
@@ -92,6 +100,9 @@ class _Block:
         self.codes = np.frombuffer(b"".join(texts), np.uint8)
         self.text = np.repeat(np.arange(len(texts)), self.lengths)
         self.names = _names(self.codes)
+
+    def choose(self) -> None:
+        """Mark the positions that windows inside one text choose."""
         least = _least(self.names, CHOICE)
         ends = (self.starts + self.lengths)[self.text[:len(least)]]
         self.windows = np.flatnonzero(np.arange(len(least)) + LENGTH <= ends)
@@ -138,6 +149,18 @@ def _encoded(batch: pa.RecordBatch) -> list[bytes]:
     return [(t or "").encode("utf-8", "surrogatepass") for t in batch["text"].to_pylist()]
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed for the one shuffle that brings them to their positions."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        yield pa.record_batch([batch["doc_id"], pa.array(list(map(pack, _encoded(batch))), pa.binary())],
+                              names=["doc_id", "packed"])
+
+
+def _unpacked(raw: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(raw)
+
+
 def _tag(raw: bytes) -> int:
     return (zlib.crc32(raw) & 0x3FFFFF) << 40
 
@@ -156,14 +179,15 @@ def _shared_here(names: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.nd
     return out, least
 
 
-# round 1: depth 16
+# round 1: depth 24
 
 
-def _depth_16(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _first_depth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, ids = _encoded(batch), long_array(batch["doc_id"])
         names, docs, places = [], [], []
         for rows, block in _blocks(texts, list(range(len(texts)))):
+            block.choose()
             p = block.chosen
             of = block.text[p]
             names.append(block.names[p])
@@ -187,7 +211,7 @@ def _several(starts: np.ndarray, docs: np.ndarray, kind: np.ndarray) -> np.ndarr
     return np.repeat(spans, sizes) | (kind == _KNOWN)
 
 
-def _repeated_16(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in whole_groups(batches, ["name"]):
         name, doc, place = (rows[c].to_numpy() for c in ("name", "doc", "place"))
         kind = (place.view(_U) >> _U(62)).astype(np.int64)
@@ -200,68 +224,60 @@ def _repeated_16(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # round 2: surroundings
 
 
+def _wanted(batch: pa.RecordBatch, tags: list[int]) -> list[np.ndarray]:
+    """Numbers of each row's places that belong to this text."""
+    places = [np.array(p, np.int64) for p in batch["places"].to_pylist()]
+    return [np.flatnonzero(p >> 40 << 40 == t) for p, t in zip(places, tags)]
+
+
 def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Name the bytes around each position: from the first to the last window that chose it."""
     for batch in batches:
-        texts, ids = _encoded(batch), long_array(batch["doc_id"])
-        wanted = [np.array(p, np.int64) for p in batch["places"].to_pylist()]
+        texts, ids = list(map(_unpacked, batch["packed"].to_pylist())), long_array(batch["doc_id"])
         tags = [_tag(t) for t in texts]
-        wanted = [np.sort(w[(w >> 40 << 40) == t] & _PLACE) for w, t in zip(wanted, tags)]
+        places = batch["places"].to_pylist()
+        wanted = [np.sort(np.array(p, np.int64)[k] & _PLACE) for p, k in zip(places, _wanted(batch, tags))]
         parts = []
         for rows, block in _blocks(texts, [r for r in range(len(texts)) if len(wanted[r])]):
+            block.choose()
             first, last = block.runs()
             p = np.concatenate([wanted[r] + s for r, s in zip(rows, block.starts)])
             k = np.minimum(np.searchsorted(block.chosen, p), len(block.chosen) - 1)
             k = k[(block.chosen[k] == p) & (last[k] >= 0)]
             p, lo, n = block.chosen[k], first[k], last[k] - first[k] + 1
             of = block.text[p]
-            deep = block.names
-            window = _pair(_pair(deep[lo], deep[lo + 16]), _pair(deep[lo + 32], deep[lo + 34]))
-            end = lo + n - 1
-            window = _pair(window, _pair(_pair(deep[end], deep[end + 16]), _pair(deep[end + 32], deep[end + 34])))
-            window = _pair(window, n.astype(_U) * _U(64) + (p - lo).astype(_U))
-            size = n + LENGTH - 1
-            ends = np.cumsum(size)
-            take = np.arange(ends[-1] if len(ends) else 0) + np.repeat(lo - (ends - size), size)
-            around = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [
-                None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64).tobytes()),
-                pa.py_buffer(block.codes[take].tobytes())]).cast(pa.binary())
-            parts.append((window, ids[rows][of], lo - block.starts[of] + np.array([tags[r] for r in rows])[of],
-                          n, p - lo, around))
+            shape = n.astype(_U) * _U(64) + (p - lo).astype(_U)
+            name, twin = (_pair(_pair(_fifty(block.names, lo, seed), _fifty(block.names, lo + n - 1, seed), seed),
+                                shape, seed) for seed in (0, 9))
+            parts.append((name, twin, ids[rows][of],
+                          lo - block.starts[of] + np.array([tags[r] for r in rows])[of], n * 32 + p - lo))
         if not parts:
             continue
-        name, doc, where, n, offset = (np.concatenate([p[c] for p in parts]) for c in range(5))
-        around = pa.concat_arrays([p[5] for p in parts])
-        _, least = _shared_here(name, doc)
+        name, twin, doc, place, shape = (np.concatenate([p[c] for p in parts]) for c in range(5))
+        _, least = _shared_here(name ^ _mix(twin.copy()), doc)
         done = doc > least  # a smaller document of this batch has the same surroundings
-        name = np.where(done, _mix(where.astype(_U) + doc.astype(_U) * _U(31)), name)
-        yield pa.record_batch([
-            pa.array(signed(name)), pa.array(doc), pa.array(where), pa.array(n.astype(np.int32)),
-            pa.array(offset.astype(np.int32)), pa.array(done), pc.if_else(pa.array(done), pa.scalar(None, pa.binary()), around)],
-            names=["name", "doc", "place", "n", "offset", "done", "around"])
+        name = np.where(done, _mix(place.astype(_U) + doc.astype(_U) * _U(31)), name)
+        yield pa.record_batch([pa.array(signed(name)), pa.array(signed(twin)), pa.array(doc), pa.array(place),
+                               pa.array(shape.astype(np.int32)), pa.array(done)],
+                              names=["name", "twin", "doc", "place", "shape", "done"])
 
 
-_AROUND = "name long, doc long, place long, n int, offset int, done boolean, around binary"
+# shape: windows * 32 + offset of the position behind the first of them
+_AROUND = "name long, twin long, doc long, place long, shape int, done boolean"
 
 
 def _first_surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Mark rows whose surroundings a smaller document has; the others keep theirs."""
-    for rows in whole_groups(batches, ["name"]):
-        name, doc = rows["name"].to_numpy(), rows["doc"].to_numpy()
-        around = rows["around"].combine_chunks()
-        change = np.ones(len(doc), bool)
-        change[1:] = name[1:] != name[:-1]
-        differs = pc.not_equal(around.slice(1), around.slice(0, len(around) - 1))
-        change[1:] |= differs.fill_null(True).to_numpy(zero_copy_only=False)
-        starts = np.flatnonzero(change)
+    """Mark rows whose surroundings a smaller document has."""
+    for rows in whole_groups(batches, ["name", "twin"]):
+        name, twin, doc = (rows[c].to_numpy() for c in ("name", "twin", "doc"))
+        starts = group_starts(name, twin)
         least = np.repeat(doc[starts], np.diff(np.append(starts, len(doc))))  # sorted by doc
-        done = rows["done"].to_numpy() | (doc > least)
-        out = rows.set_column(rows.schema.get_field_index("done"), "done", pa.array(done)).set_column(
-            rows.schema.get_field_index("around"), "around",
-            pc.if_else(pa.array(done), pa.scalar(None, pa.binary()), around))
-        yield from out.combine_chunks().to_batches()
+        yield from pa.Table.from_arrays(
+            [rows["doc"], rows["place"], rows["shape"], pa.array(rows["done"].to_numpy() | (doc > least))],
+            names=["doc", "place", "shape", "done"]).combine_chunks().to_batches()
 
 
-# rounds 3 and 4: depth 33, then windows
+# rounds 3 and 4: depth 37, then windows
 
 
 def _flat(around: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -269,71 +285,138 @@ def _flat(around: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(around.buffers()[2] or b"", np.uint8), at.astype(np.int64)
 
 
-def _depth_33(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Two rows per position: with the 17 bytes behind its 16, and with the 17 before them."""
+def _both_sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Two rows per position: depth 37 from it on, and depth 37 that begins 13 before it."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        codes, at = _flat(batch["around"])
-        deep = _names(codes)
-        offset, n, doc = (long_array(batch[c]) for c in ("offset", "n", "doc"))
-        p = at[:-1] + offset
-        right = np.flatnonzero((p + DEPTH + FURTHER <= at[1:]) & (offset >= 0))
-        left = np.flatnonzero(offset > FURTHER)
-        name = np.concatenate([_pair(_pair(deep[p[right]], deep[p[right] + FURTHER]), _U(1) + np.zeros(len(right), _U)),
-                               _pair(_pair(deep[p[left] - FURTHER], deep[p[left]]), _U(2) + np.zeros(len(left), _U))])
-        row = np.concatenate([right, left])
-        kind, _ = _shared_here(name, doc[row])
-        place = long_array(batch["place"])[row]
-        side = np.repeat([0, 1], [len(right), len(left)])
-        name = np.where(kind == _KNOWN, _mix(place.astype(_U) + doc[row].astype(_U) * _U(31) + side.astype(_U)), name)
-        yield pa.record_batch([
-            pa.array(signed(name)), pa.array(doc[row]), pa.array(place), pa.array(n[row].astype(np.int32)),
-            pa.array(offset[row].astype(np.int32)), pa.array((kind * 2 + side).astype(np.int32)),
-            batch["around"].take(pa.array(row))],
-            names=["name", "doc", "place", "n", "offset", "kind", "around"])
+        texts, ids = list(map(_unpacked, batch["packed"].to_pylist())), long_array(batch["doc_id"])
+        tags = [_tag(t) for t in texts]
+        columns = [batch["places"].to_pylist(), batch["shapes"].to_pylist()]
+        wanted = [[np.array(c[r], np.int64)[k] for c in columns] for r, k in enumerate(_wanted(batch, tags))]
+        for rows, block in _blocks(texts, [r for r in range(len(texts)) if len(wanted[r][0])]):
+            place, shape = (np.concatenate([wanted[r][c] for r in rows]) for c in (0, 1))
+            of = np.repeat(np.arange(len(rows)), [len(wanted[r][0]) for r in rows])
+            n, offset = shape // 32, shape % 32
+            lo = (place & _PLACE) + block.starts[of]
+            end, p = lo + n - 1 + LENGTH, lo + offset
+            deep = block.names
+            right = np.flatnonzero(p + DEPTH + FURTHER <= end)
+            left = np.flatnonzero(offset > FURTHER)
+            name = np.concatenate([
+                _pair(_pair(deep[p[right]], deep[p[right] + FURTHER]), np.ones(len(right), _U)),
+                _pair(_pair(deep[p[left] - FURTHER], deep[p[left]]), np.zeros(len(left), _U))])
+            row = np.concatenate([right, left])
+            side = np.repeat([0, 1], [len(right), len(left)])
+            place, doc = place[row], ids[rows][of[row]]
+            kind, _ = _shared_here(name, doc)
+            _, inverse, counts = np.unique(name, return_inverse=True, return_counts=True)
+            kind = np.where(counts[inverse] > SMALL_GROUP, kind, 0)  # few rows wait for the sort
+            name = np.where(kind == _KNOWN, _mix(place.astype(_U) + doc.astype(_U) * _U(31) + side.astype(_U)), name)
+            size = (end - lo)[row]
+            ends = np.cumsum(size)
+            take = np.arange(ends[-1] if len(ends) else 0) + np.repeat(lo[row] - (ends - size), size)
+            around = pa.BinaryArray.from_buffers(pa.binary(), len(size), [
+                None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32).tobytes()),
+                pa.py_buffer(block.codes[take].tobytes())])
+            yield pa.record_batch([
+                pa.array(signed(name)), pa.array(doc), pa.array(place), pa.array(n[row].astype(np.int32)),
+                pa.array(offset[row].astype(np.int32)), pa.array((kind * 2 + side).astype(np.int32)), around],
+                names=["name", "doc", "place", "n", "offset", "kind", "around"])
 
 
 _SIDES = "name long, doc long, place long, n int, offset int, kind int, around binary"
+_FOUND = "a long, b long, doc long, place long, n int, done boolean"
+
 
+class _Sides:
+    """Rows of one side each: bytes around, and the windows that hold the side's 37 bytes.
+
+    The right side stands for the windows that begin up to 13 before the position, the left
+    side for those that begin earlier.
+    """
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows that hold a shared 33 bytes: rows that are decided, and the rest to compare."""
+    def __init__(self, rows: pa.Table):
+        rows = rows.combine_chunks()
+        self.codes, self.at = _flat(rows["around"].chunk(0))
+        offset, n, self.doc, self.place = (
+            rows[c].to_numpy().astype(np.int64) for c in ("offset", "n", "doc", "place"))
+        left = rows["kind"].to_numpy() % 2 == 1
+        cut = np.clip(offset - FURTHER, 0, n)
+        self.first, self.stop = np.where(left, 0, cut), np.where(left, cut, n)
+        # where the shared 37 bytes begin and end in the row's bytes
+        self.begin = self.at[:-1] + offset - np.where(left, FURTHER, 0)
+        self.end = self.begin + DEPTH + FURTHER
+
+    def windows(self) -> Iterator[pa.RecordBatch]:
+        count = np.maximum(self.stop - self.first, 0)
+        row = np.repeat(np.arange(len(count)), count)
+        start = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + self.first[row]
+        s = self.at[:-1][row] + start
+        a, b = _fifty(_names(self.codes), s), _fifty(_names(self.codes, 5), s, 5)
+        d, w = self.doc[row], self.place[row] + start
+        _, least = _shared_here(a ^ _mix(b.copy()), d)
+        yield from _found(a, b, d, w, np.ones(len(w), np.int64), d > least)
+
+    def compared(self, group: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Windows shared with a smaller document of the same group, for small groups."""
+        reach = LENGTH - DEPTH - FURTHER  # 13 more bytes on the two sides make a window
+        low, high = self.at[:-1, None], self.at[1:, None]
+        steps = np.arange(1, reach + 1)
+        before = self.begin[:, None] - steps
+        after = self.end[:, None] - 1 + steps
+        # bytes on either side; beyond the row's bytes nothing agrees
+        left = np.where(before >= low, self.codes[np.maximum(before, 0)].astype(np.int16), -1)
+        right = np.where(after < high, self.codes[np.minimum(after, len(self.codes) - 1)].astype(np.int16), -1)
+        for step in range(1, SMALL_GROUP):
+            if len(group) <= step:
+                return
+            i = np.flatnonzero((group[:-step] == group[step:]) & (self.doc[:-step] != self.doc[step:]))
+            if not len(i) and not (group[:-step] == group[step:]).any():
+                return
+            j = i + step
+            agree = [np.cumprod((x[i] == x[j]) & (x[i] >= 0), axis=1).sum(1) for x in (left, right)]
+            later = np.where(self.doc[i] > self.doc[j], i, j)
+            # shared windows begin `l` before the 37 bytes: reach - right <= l <= left
+            stop = self.begin[later] - (reach - agree[1]) + 1 - self.at[:-1][later]
+            first = self.begin[later] - agree[0] - self.at[:-1][later]
+            first, stop = np.maximum(first, self.first[later]), np.minimum(stop, self.stop[later])
+            some = first < stop
+            later, first, n = later[some], first[some], (stop - first)[some]
+            zero = np.zeros(len(n), _U)
+            yield from _found(zero, zero, self.doc[later], self.place[later] + first, n, np.ones(len(n), bool))
+
+
+def _found(a, b, doc, place, n, done) -> Iterator[pa.RecordBatch]:
+    yield from pa.Table.from_arrays(
+        [pa.array(signed(a)), pa.array(signed(b)), pa.array(doc), pa.array(place),
+         pa.array(n.astype(np.int32)), pa.array(done)],
+        names=["a", "b", "doc", "place", "n", "done"]).to_batches(max_chunksize=50_000)
+
+
+def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows known to be repeats, and windows of large groups still to be compared."""
     for rows in whole_groups(batches, ["name"]):
         name, doc, kind = (rows[c].to_numpy() for c in ("name", "doc", "kind"))
-        keep = np.flatnonzero(_several(group_starts(name), doc, kind // 2))
+        starts = group_starts(name)
+        sizes = np.diff(np.append(starts, len(name)))
+        spans = _several(starts, doc, kind // 2)
+        large = np.maximum.reduceat(kind // 2, starts) > 0
+        large = np.repeat(large | (sizes > SMALL_GROUP), sizes)
+        group = np.repeat(np.arange(len(starts)), sizes)
+        keep = np.flatnonzero(spans & large)
         for part in range(0, len(keep), 50_000):
-            some = rows.take(pa.array(keep[part:part + 50_000])).combine_chunks()
-            codes, at = _flat(some["around"].chunk(0))
-            offset, n, docs, place = (some[c].to_numpy().astype(np.int64) for c in ("offset", "n", "doc", "place"))
-            left = some["kind"].to_numpy() % 2 == 1
-            # windows start at 0..n-1 of the surroundings; from offset-17 on they hold the right side
-            cut = np.clip(offset - FURTHER, 0, n)
-            first, stop = np.where(left, 0, cut), np.where(left, cut, n)
-            count = np.maximum(stop - first, 0)
-            row = np.repeat(np.arange(len(n)), count)
-            start = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + first[row]
-            s = at[:-1][row] + start
-            one, two = _names(codes), _names(codes, 5)
-            a, b = (_pair(_pair(x[s], x[s + 16], k), _pair(x[s + 32], x[s + 34], k), k) for x, k in ((one, 0), (two, 5)))
-            d, w = docs[row], place[row] + start
-            _, least = _shared_here(a ^ _mix(b.copy()), d)
-            done = d > least
-            a = np.where(done, _mix(w.astype(_U) + d.astype(_U) * _U(31)), a)
-            yield from pa.Table.from_arrays(
-                [pa.array(signed(a)), pa.array(signed(b)), pa.array(d), pa.array(w), pa.array(done)],
-                names=["a", "b", "doc", "place", "done"]).to_batches(max_chunksize=50_000)
+            yield from _Sides(rows.take(pa.array(keep[part:part + 50_000]))).windows()
+        keep = np.flatnonzero(spans & ~large)
+        if len(keep):
+            yield from _Sides(rows.take(pa.array(keep))).compared(group[keep])
 
 
 def _first_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in whole_groups(batches, ["a", "b"]):
         a, b, doc = (rows[c].to_numpy() for c in ("a", "b", "doc"))
         starts = group_starts(a, b)
-        least = np.repeat(doc[starts], np.diff(np.append(starts, len(doc))))
-        keep = rows["done"].to_numpy() | (doc > least)
+        keep = doc > np.repeat(doc[starts], np.diff(np.append(starts, len(doc))))  # sorted by doc
         if keep.any():
-            yield pa.record_batch([pa.array(doc[keep]), pa.array(rows["place"].to_numpy()[keep]),
-                                   pa.array(np.ones(int(keep.sum()), np.int32))], names=["doc", "place", "n"])
+            yield from rows.select(["doc", "place", "n"]).filter(pa.array(keep)).to_batches()
 
 
 def repeated_runs(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -342,26 +425,35 @@ def repeated_runs(docs: DataFrame, scratch: Scratch) -> DataFrame:
     `place` is the first window's offset, with a checksum of the text in the bits above 40.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    bound_batches(spark)
     sources = docs.where("doc_id IS NOT NULL AND octet_length(text) >= " + str(LENGTH)).select(
         F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ranked = sources.mapInArrow(_depth_16, "name long, doc long, place long")
+    ranked = sources.mapInArrow(_first_depth, "name long, doc long, place long")
     ranked = ranked.repartition("name").sortWithinPartitions("name")
-    shared = scratch.write(ranked.mapInArrow(_repeated_16, "doc long, place long"), "depth16")
-    scratch.drop()
+    shared = scratch.write(ranked.mapInArrow(_repeated, "doc long, place long"), "first")
+    scratch.release()
+    texts = sources.mapInArrow(_packed, "doc_id long, packed binary")
     grouped = shared.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("place").alias("places"))
-    around = sources.join(grouped, "doc_id").select("doc_id", "text", "places").mapInArrow(_surroundings, _AROUND)
-    around = around.repartition("name").sortWithinPartitions("name", "around", "doc")
-    around = scratch.write(around.mapInArrow(_first_surroundings, _AROUND), "surroundings")
-    scratch.drop("depth16")
-    number_batches(spark)
-    sides = around.where("NOT done").select("doc", "place", "n", "offset", "around").mapInArrow(_depth_33, _SIDES)
-    windows = sides.repartition("name").sortWithinPartitions("name").mapInArrow(
-        _windows, "a long, b long, doc long, place long, done boolean")
-    windows = windows.repartition("a", "b").sortWithinPartitions("a", "b", "doc")
-    found = scratch.write(windows.mapInArrow(_first_windows, "doc long, place long, n int"), "windows")
-    runs = scratch.write(around.where("done").select("doc", "place", "n").union(found), "runs")
-    scratch.drop("surroundings", "windows")
+    around = texts.join(grouped, "doc_id").select("doc_id", "packed", "places").mapInArrow(_surroundings, _AROUND)
+    around = around.repartition("name").sortWithinPartitions("name", "twin", "doc")
+    around = scratch.write(around.mapInArrow(
+        _first_surroundings, "doc long, place long, shape int, done boolean"), "surroundings")
+    scratch.drop("first")
+    scratch.release()
+    grouped = around.where("NOT done").groupBy(F.col("doc").alias("doc_id")).agg(
+        F.collect_list("place").alias("places"), F.collect_list("shape").alias("shapes"))
+    sides = texts.join(grouped, "doc_id").select("doc_id", "packed", "places", "shapes").mapInArrow(
+        _both_sides, _SIDES)
+    matches = scratch.write(sides.repartition("name").sortWithinPartitions("name").mapInArrow(
+        _matches, _FOUND), "matches")
+    scratch.release()
+    windows = matches.where("NOT done").repartition("a", "b").sortWithinPartitions("a", "b", "doc")
+    found = windows.select("a", "b", "doc", "place", "n").mapInArrow(_first_windows, "doc long, place long, n int")
+    runs = [df.select("doc", "place", "n") for df in (
+        around.where("done").withColumn("n", F.floor(F.col("shape") / 32).cast("int")), matches.where("done"), found)]
+    runs = scratch.write(runs[0].union(runs[1]).union(runs[2]), "runs")
+    scratch.drop("surroundings", "matches")
+    scratch.release()
     return runs
 
 
@@ -390,7 +482,7 @@ def _with_runs(docs: DataFrame) -> DataFrame:
     runs = repeated_runs(docs, Scratch(docs.sparkSession, "suffix"))
     runs = runs.groupBy(F.col("doc").alias("_doc")).agg(
         F.collect_list("place").alias("_places"), F.collect_list("n").alias("_counts"))
-    small_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession)
     return docs.join(runs, F.col("doc_id").cast("long") == F.col("_doc"), "left").drop("_doc")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,22 +13,19 @@ from pyspark.sql import functions as F
 
 from harvestline.session import scratch_path
 
-# Texts are long, so a batch handed to Python holds few of them.
-TEXT_ROWS_PER_BATCH = 500
+# One Arrow batch handed to Python holds at most so many rows and bytes.
+ROWS_PER_BATCH = 20_000
+BYTES_PER_BATCH = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch of texts holds."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_ROWS_PER_BATCH)
-
-
-def number_batches(spark: SparkSession) -> None:
-    """Batches for rows of a few numbers."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20_000)
+def bound_batches(spark: SparkSession) -> None:
+    """Bound what one Arrow batch of texts or numbers holds."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_PER_BATCH)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BYTES_PER_BATCH)
 
 
 class Scratch:
@@ -48,12 +47,22 @@ class Scratch:
         return self.spark.read.schema(like.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
-        """Delete tables nothing reads any more, and let Spark clean shuffles nothing holds."""
+        """Delete tables nothing reads any more."""
         conf = self.spark._jsc.hadoopConfiguration()
         for name in names:
             folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
             folder.getFileSystem(conf).delete(folder, True)
-        self.spark._jvm.System.gc()
+
+    def release(self) -> None:
+        """Have Spark remove the shuffle files of finished steps that nothing refers to.
+
+        It learns of them from the driver's garbage collector, which otherwise runs too
+        seldom: the second collection finds what the first one's cleaning let go.
+        """
+        for _ in range(2):
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.5)
 
 
 def ascii_lower(c: Column) -> Column:

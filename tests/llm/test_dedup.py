@@ -156,7 +156,7 @@ def test_repeats_equal_brute_force(spark, seed):
 
 def test_repeats_across_batches(spark, monkeypatch):
     """Small batches: comparison happens in Spark's sort, not within a batch."""
-    monkeypatch.setattr("harvestline.llm.support.TEXT_ROWS_PER_BATCH", 2)
+    monkeypatch.setattr("harvestline.llm.support.ROWS_PER_BATCH", 2)
     rows = planted_rows(5)
     assert digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)) == slow_repeats(rows)
 
