@@ -32,11 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harvestline.llm.support import small_batches, table, texts_of
+from harvestline.llm.support import bound_batches, table, texts_of
 
 MARK = "▁"
-MEMORY_PARTS = 300_000
+MEMORY_PARTS = 800_000
 MEMORY_PAIRS = 1_000_000
+LONG_PART = 64           # longer parts are not remembered
 INFINITE = float("inf")
 
 
@@ -57,17 +58,25 @@ class Transducer:
         self.pieces = [model.id_to_piece(i) for i in ids]
         self.lexicon = {p: i for i, p in enumerate(self.pieces) if i not in special}
         self.score = [model.get_score(i) for i in ids]
+        self.rank = [-v for v in self.score]  # joined earlier when lower
         self.byte_ids = {int(self.pieces[i][1:-1], 16): i for i in ids if model.is_byte(i)}
         self.bytes = [b"" if i in special else self.pieces[i].replace(MARK, " ").encode() for i in ids]
         for value, i in self.byte_ids.items():
             self.bytes[i] = bytes([value])
-        self.longest = max(map(len, self.lexicon))
         self.unknown = model.unk_id()
         if any("\n" in p or MARK in p.lstrip(MARK) for p in self.lexicon):
             raise ValueError("pieces run across word marks or lines")
         self.prefix = model.normalize("a").startswith(MARK)
         self.parts: dict[str, bytes] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
+        self.parts_of_piece: dict[int, tuple[int, int] | None] = {}
+        # every prefix of a piece, with the piece it is or -1; arcs are found by walking it
+        self.trie: dict[str, int] = {}
+        for text, i in self.lexicon.items():
+            if not merges or self.reachable(i):
+                for k in range(1, len(text)):
+                    self.trie.setdefault(text[:k], -1)
+                self.trie[text] = i
 
     # normaliser
 
@@ -81,56 +90,96 @@ class Transducer:
         found = tuple(self.byte_ids.get(b, -1) for b in char.encode("utf-8", "surrogatepass"))
         return (self.unknown,) if -1 in found else found
 
-    def arcs(self, part: str) -> list[list[tuple[int, int]]]:
-        """For each position, the (end, piece id) of every arc; id -1 stands for the bytes."""
-        lattice = []
-        for i in range(len(part)):
-            out = [(j, self.lexicon[p]) for j in range(i + 1, min(len(part), i + self.longest) + 1)
-                   if (p := part[i:j]) in self.lexicon]
-            if not out or out[0][0] != i + 1:
-                out.append((i + 1, -1))
-            lattice.append(out)
-        return lattice
+    def arcs(self, part: str, i: int) -> list[tuple[int, int]]:
+        """The (end, piece id) of every arc that leaves position i; id -1 stands for bytes."""
+        out, trie = [], self.trie
+        for j in range(i + 1, len(part) + 1):
+            piece = trie.get(part[i:j])
+            if piece is None:
+                break
+            if piece >= 0:
+                out.append((j, piece))
+        if not out or out[0][0] != i + 1:
+            out.append((i + 1, -1))
+        return out
 
     # weights
 
     def merged(self, part: str) -> list[str]:
         """Join neighbours of the best score, the leftmost first, until none can be joined."""
         symbols = list(part)
-        while len(symbols) > 1:
-            best = max(((self.score[i], -k) for k in range(len(symbols) - 1)
-                        if (i := self.lexicon.get(symbols[k] + symbols[k + 1])) is not None), default=None)
-            if best is None:
-                break
-            k = -best[1]
+        while len(symbols) > 1 and (k := self._best(symbols)) is not None:
             symbols[k:k + 2] = [symbols[k] + symbols[k + 1]]
         return symbols
 
+    def _best(self, symbols: list[str]) -> int | None:
+        best, found = INFINITE, None
+        for k in range(len(symbols) - 1):
+            joined = self.lexicon.get(symbols[k] + symbols[k + 1])
+            if joined is not None and self.rank[joined] < best:
+                best, found = self.rank[joined], k
+        return found
+
+    def halves(self, piece: int) -> tuple[int, int] | None:
+        """The two pieces whose joining makes this piece; None for a single character."""
+        if piece not in self.parts_of_piece:
+            symbols = list(self.pieces[piece])
+            last = None
+            while len(symbols) > 1:
+                k = self._best(symbols)
+                if k is None:
+                    break
+                last = (self.lexicon[symbols[k]], self.lexicon[symbols[k + 1]]) if len(symbols) == 2 else None
+                symbols[k:k + 2] = [symbols[k] + symbols[k + 1]]
+            self.parts_of_piece[piece] = last
+        return self.parts_of_piece[piece]
+
+    def reachable(self, piece: int) -> bool:
+        """Does merging ever make this piece?"""
+        return len(self.pieces[piece]) == 1 or self.halves(piece) is not None
+
     def side_by_side(self, left: int, right: int) -> bool:
-        """Would merging leave these two pieces as they are? Bytes never merge."""
+        """Would merging leave these two pieces as they are? Bytes never merge.
+
+        Undoes the later of the two pieces' last joinings again and again. At each moment
+        before a joining, a joining across the boundary must not have come first.
+        """
         if left < 0 or right < 0:
             return True
-        known = self.pairs.get((left, right))
+        known = self.pairs.get(left << 16 | right)
         if known is None:
             if len(self.pairs) >= MEMORY_PAIRS:
-                self.pairs = {}
-            a, b = self.pieces[left], self.pieces[right]
-            known = self.pairs[left, right] = self.merged(a + b) == [a, b]
+                self.pairs.clear()
+            known = self.pairs[left << 16 | right] = self._undone(left, right)
         return known
 
+    def _undone(self, left: int, right: int) -> bool:
+        # joinings across the boundary that come before this rank (or at it, if `at`) win
+        rank, at = INFINITE, False
+        while True:
+            across = self.lexicon.get(self.pieces[left] + self.pieces[right])
+            if across is not None and (self.rank[across] < rank or at and self.rank[across] == rank):
+                return False
+            a, b = self.halves(left), self.halves(right)
+            if a is None and b is None:
+                return True
+            if b is None or a is not None and self.rank[left] > self.rank[right]:
+                rank, at, left = self.rank[left], False, a[1]  # of equal ranks the left one is first
+            else:
+                rank, at, right = self.rank[right], True, b[0]
+
     # shortest path
 
     def shortest(self, part: str) -> list[int]:
         """Ids on the path of least weight; -1 for a character given as bytes."""
-        lattice = self.arcs(part)
-        return self._merge_path(part, lattice) if self.merges else self._score_path(part, lattice)
+        return self._merge_path(part) if self.merges else self._score_path(part)
 
-    def _score_path(self, part, lattice):
+    def _score_path(self, part: str) -> list[int]:
         n = len(part)
         weight, back = [0.0] + [INFINITE] * n, [(0, -1)] * (n + 1)
         lowest = min(self.score) - 10.0  # a character without a piece
         for i in range(n):
-            for j, piece in lattice[i]:
+            for j, piece in self.arcs(part, i):
                 w = weight[i] - (self.score[piece] if piece >= 0 else lowest)
                 if w < weight[j]:
                     weight[j], back[j] = w, (i, piece)
@@ -140,20 +189,25 @@ class Transducer:
             path.append(piece)
         return path[::-1]
 
-    def _merge_path(self, part, lattice):
+    def _merge_path(self, part: str) -> list[int]:
         n = len(part)
         # finite states by position: last piece -> (position before it, piece before it)
         states: list[dict[int, tuple[int, int | None]]] = [{} for _ in range(n + 1)]
-        several = False
+        several, known, fits, arcs = False, self.pairs, self.side_by_side, self.arcs
+        states[0] = {-2: (0, None)}
         for i in range(n):
-            if i and not states[i]:
+            lefts = states[i]
+            if not lefts:
                 continue
-            for j, piece in lattice[i]:
-                before = [None] if not i else [p for p in states[i] if self.side_by_side(p, piece)]
-                if not before or piece >= 0 and j - i > 1 and len(self._own(piece)) > 1:
-                    continue
-                several = several or len(before) > 1
-                states[j][piece] = (i, before[0])
+            for j, piece in arcs(part, i):
+                found = None
+                for left in lefts:
+                    if left == -2 or left < 0 or piece < 0 or (
+                            known[k] if (k := left << 16 | piece) in known else fits(left, piece)):
+                        several = several or found is not None
+                        found = left
+                if found is not None:
+                    states[j][piece] = (i, None if found == -2 else found)
         if several or len(states[n]) != 1:
             return [self.lexicon.get(s, -1) for s in self.merged(part)]
         (piece, (at, before)), = states[n].items()
@@ -163,12 +217,6 @@ class Transducer:
             at, before = states[at][before]
         return path[::-1]
 
-    def _own(self, piece: int) -> list[str]:
-        known = self.pairs.get((piece, piece, "own"))
-        if known is None:
-            known = self.pairs[piece, piece, "own"] = self.merged(self.pieces[piece])
-        return known
-
     # whole texts
 
     def _ids(self, part: str) -> bytes:
@@ -188,29 +236,42 @@ class Transducer:
         for k, line in enumerate(self.normalise(text).split("\n")):
             if k:
                 parts.append("\n")
-            marks = 0
-            for n, chunk in enumerate(line.split(MARK)):
-                marks += n > 0
+            first, *rest = line.split(MARK)
+            if first:
+                parts.append(first)
+            if "" not in rest:
+                parts += [MARK + chunk for chunk in rest]
+                continue
+            marks = ""
+            for chunk in rest:
+                marks += MARK
                 if chunk:
-                    parts.append(MARK * marks + chunk)
-                    marks = 0
+                    parts.append(marks + chunk)
+                    marks = ""
             if marks:
-                parts.append(MARK * marks)
+                parts.append(marks)
         return parts
 
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        cut = [self.cut(t) for t in texts]
+        every = set().union(*cut)
+        new = every.difference(self.parts)
+        if len(self.parts) + len(new) > MEMORY_PARTS:
+            self.parts = {}
+            new = every
+        for part in new:
+            self.parts[part] = self._ids(part)
+        out = [b"".join(map(self.parts.__getitem__, parts)) for parts in cut]
+        if len(self.parts) > MEMORY_PARTS:
+            self.parts = {}
+        for part in new:
+            if len(part) > LONG_PART:
+                self.parts.pop(part, None)
+        return out
+
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        out = []
-        for part in self.cut(text):
-            ids = self.parts.get(part)
-            if ids is None:
-                ids = self._ids(part)
-                if len(part) <= 64:
-                    if len(self.parts) >= MEMORY_PARTS:
-                        self.parts = {}
-                    self.parts[part] = ids
-            out.append(ids)
-        return b"".join(out)
+        return self.encode_batch([text])[0]
 
     def decode(self, ids: bytes) -> str:
         """Invert `encode`: outputs of the pieces joined, without the mark put in front."""
@@ -226,7 +287,7 @@ def transducer(path: str, merges: bool = True) -> Transducer:
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        raw = [transducer(path).encode(t) for t in texts_of(batch["text"])]
+        raw = transducer(path).encode_batch(texts_of(batch["text"]))
         ends = np.cumsum([0, *(len(r) // 4 for r in raw)]).astype(np.int32)
         ids = np.frombuffer(b"".join(raw), "<u4").view(np.int32)
         yield pa.record_batch([batch["doc_id"], pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))],
@@ -235,7 +296,7 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids) of every whole text."""
-    small_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         lambda b: _encode(b, path), "doc_id long, ids array<int>")
 
@@ -255,7 +316,7 @@ def _digest(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
     model = transducer(path)
     for batch in batches:
         texts = texts_of(batch["text"])
-        raw = [model.encode(t) for t in texts]
+        raw = model.encode_batch(texts)
         back = [model.decode(r) for r in raw]
         yield pa.record_batch([
             batch["doc_id"], pa.array([len(r) // 4 for r in raw], pa.int64()),
@@ -267,7 +328,7 @@ def _digest(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
 
 def query(spark, sf_dir):
     """Per document: number and CRC-32 of its ids, SHA-256 of the text decoded from them."""
-    small_batches(spark)
+    bound_batches(spark)
     path = default_path()
     return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         lambda b: _digest(b, path),
