@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from harvestline.llm.support import small_batches, table, texts_of
+from harvestline.llm.support import bound_batches, table, texts_of
 
 WIDTH, STRIDE, CHANNELS, FILTERS = 16, 4, 6, 32
 PER_LABEL = 1_500          # labelled rows of each class in the fit at most
@@ -128,15 +128,21 @@ def _held_out():
 
 def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model:
     """Fit on labelled documents that are not held out."""
-    marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where(
+    marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(
         "doc_id IS NOT NULL AND quality IN (0, 1)").where(~_held_out())
     sizes = {r[0]: r[1] for r in marked.groupBy("quality").count().collect()}
-    short = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where(
-        F.octet_length("text") <= FIT_BYTES)
-    rows = []
-    for label in (0, 1):
-        rows += (marked.where(F.col("quality") == label).join(short, "doc_id")
-                 .orderBy(F.xxhash64("doc_id"), "text").limit(per_label).select("text", "quality").collect())
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
+                        F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
+    short = marked.join(sized.where(F.col("size") <= FIT_BYTES).select("doc_id").distinct(), "doc_id")
+    chosen = []
+    for label in (0, 1):  # ids alone are ordered; only the chosen texts come to the driver
+        chosen += (short.where(F.col("quality") == label).orderBy(F.xxhash64("doc_id"), "doc_id")
+                   .limit(per_label).collect())
+    ids = docs.sparkSession.createDataFrame(chosen, "doc_id long, quality int")
+    texts = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+             .join(F.broadcast(ids), "doc_id").where(F.octet_length("text") <= FIT_BYTES)
+             .groupBy("doc_id", "quality").agg(F.min("text").alias("text")))
+    rows = [(r.text, r.quality) for r in sorted(texts.collect(), key=lambda r: (r.quality, r.doc_id))]
     count = sum(sizes.values())
     return fit([r[0] for r in rows], [r[1] for r in rows], sizes.get(1, 0) / count if count else 0.5)
 
@@ -150,7 +156,7 @@ def _scores(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Reco
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of `docs` (doc_id and text among them) and `score`, the probability of label 1."""
-    small_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # about 20 kB
     kept = docs.drop("score")
     schema = StructType([*kept.schema.fields, StructField("score", DoubleType())])
