@@ -18,11 +18,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from harvestline.llm import tokens
-from harvestline.llm.support import Scratch, long_array, small_batches, table, texts_of
+from harvestline.llm.support import Scratch, bound_batches, long_array, table, texts_of
 
 SCHEMA = "doc_id long, shard int, shard_start long, n_tokens int, ids array<int>"
 ROW_GROUP_BYTES = 64 << 20
@@ -47,7 +47,7 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterat
 
 def write_tokens(docs: DataFrame, target: str, path: str, end_id: int = END_ID) -> None:
     """Encode `text` of every document, append `end_id`, write in ascending doc_id order."""
-    small_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession)
     rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
             .repartitionByRange("doc_id").sortWithinPartitions("doc_id"))
     encoded = rows.mapInArrow(lambda batches: _encode(batches, path, end_id), SCHEMA)
@@ -65,15 +65,15 @@ def write_tokens(docs: DataFrame, target: str, path: str, end_id: int = END_ID)
 def read_tokens(spark: SparkSession, target: str) -> DataFrame:
     """The files with `start`: the number of ids before each document over all files.
 
-    Shard totals come from the metadata columns alone: one row per file written.
+    Shard totals come from the metadata columns alone. They are one row of two numbers per
+    file written, so the running sum and the broadcast are bounded by the number of files.
     """
     files = spark.read.schema(SCHEMA).parquet(target)
-    totals = files.groupBy("shard").agg(F.sum("n_tokens").alias("_n"))
-    later = totals.select(F.col("shard").alias("_s"), F.col("_n").alias("_before"))
-    # a pair of shard numbers per two files, never of documents
-    bases = (totals.join(later, F.col("_s") < F.col("shard"), "left")
-             .groupBy("shard").agg(F.coalesce(F.sum("_before"), F.lit(0)).alias("_base")))
-    return files.join(bases, "shard").withColumn("start", F.col("_base") + F.col("shard_start")).drop("_base")
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    bases = files.groupBy("shard").agg(F.sum("n_tokens").alias("_n")).select(
+        "shard", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    return (files.join(F.broadcast(bases), "shard")
+            .withColumn("start", F.col("_base") + F.col("shard_start")).drop("_base"))
 
 
 def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,11 +11,10 @@ from __future__ import annotations
 import functools
 import json
 import os
-from itertools import chain
 
 import numpy as np
 
-MEMORY_PARTS = 400_000   # parts remembered by one task at most
+MEMORY_PARTS = 1_000_000  # parts remembered by one task at most, about 150 MB
 LONG_PART = 64           # longer parts are encoded on their own and not remembered
 
 
@@ -63,7 +62,7 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, parts: list[str]) -> dict[str, bytes]:
+    def _learn(self, parts: set[str]) -> dict[str, bytes]:
         """Ids of new parts; parts that begin with a space are encoded joined."""
         found = {p: self._whole(p) for p in parts if not p.startswith(" ") or len(p) > LONG_PART
                  or len(p) < 2 or p[1].isspace()}
@@ -84,10 +83,11 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         cut = [parts_of(t) for t in texts]
-        new = [p for p in set(chain.from_iterable(cut)) if p not in self.known]
+        every = set().union(*cut)
+        new = every.difference(self.known)
         if len(self.known) + len(new) > MEMORY_PARTS:
             self.known = {}
-            new = list(set(chain.from_iterable(cut)))
+            new = every
         self.known.update(self._learn(new))
         look = self.known.__getitem__
         out = [b"".join(map(look, parts)) for parts in cut]
