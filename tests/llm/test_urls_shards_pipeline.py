@@ -137,6 +137,17 @@ def test_near_copy_stage_edges(spark):
     assert sorted((r[0] for r in got), key=str) == [3, None]
 
 
+def test_texts_of_one_id_are_judged_by_their_own_groups(spark):
+    """Of one id, the copy of another document goes and the unique texts stay."""
+    rows = [(3, "a b c d e f g"), (5, "A b c d e f g"), (5, "z unique text of five"), (5, "y another one of five"),
+            (5, "Y another one of five"), (5, None), (8, "")]
+    docs = spark.createDataFrame([(k, t, "en", "s", 9) for k, t in rows], spark.read.parquet(f"{SF}/documents.parquet").schema)
+    got = corpus_pipeline.drop_near_copies(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(
+        [rows[0], rows[2], (5, "Y another one of five"), (5, None)], key=str)
+
+
 def test_every_operator_has_a_query():
     assert [int(k[2:].split("_")[0]) for k in QUERIES] == list(range(1, 11)) and set(SQL) <= set(QUERIES)
 
