@@ -4,6 +4,9 @@ Before a space that is followed by a character other than white space, the token
 pattern always begins a new piece. Texts are therefore cut there and every part is encoded
 once per task; parts not seen yet go to the tokenizers library joined, many at a time, and
 the byte lengths of the ids tell where each part ends. Ids equal those of the whole text.
+
+The strings of added tokens, such as `<|endoftext|>`, are read as those tokens wherever they
+stand in a text, as the library does by itself. A text that holds one goes to it whole.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from __future__ import annotations
 import functools
 import json
 import os
+import re
 
 import numpy as np
 
@@ -55,7 +59,8 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        tokens = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = re.compile("|".join(re.escape(t.content) for t in tokens)) if tokens else None
         self.lengths = _byte_lengths(path)
         self.known: dict[str, bytes] = {}
 
@@ -82,7 +87,8 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [parts_of(t) for t in texts]
+        whole = {k: self._whole(t) for k, t in enumerate(texts) if self.added and self.added.search(t)}
+        cut = [() if k in whole else parts_of(t) for k, t in enumerate(texts)]
         every = set().union(*cut)
         new = every.difference(self.known)
         if len(self.known) + len(new) > MEMORY_PARTS:
@@ -90,7 +96,7 @@ class Encoder:
             new = every
         self.known.update(self._learn(new))
         look = self.known.__getitem__
-        out = [b"".join(map(look, parts)) for parts in cut]
+        out = [whole[k] if k in whole else b"".join(map(look, parts)) for k, parts in enumerate(cut)]
         if len(self.known) > MEMORY_PARTS:
             self.known = {}
         else:

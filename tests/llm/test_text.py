@@ -30,6 +30,17 @@ def test_ids_equal_the_library(texts):
             assert np.frombuffer(raw, "<u4").tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_strings_of_added_tokens_equal_a_fresh_library(texts):
+    """As the library reads them when loaded from the file, wherever they stand."""
+    from tokenizers import Tokenizer
+    library = Tokenizer.from_file(tokens.default_path())
+    odd = ["end.<|endoftext|>Next", "<|endoftext|>", "a <|endoftext|>  b", "x<|endoftext|><|endoftext|> y ", "<|endoftext", "a <|end oftext|>"]
+    mixed = texts + odd + texts[:50]
+    for text, raw in zip(mixed, tokens.Encoder(tokens.default_path()).encode(mixed)):
+        assert np.frombuffer(raw, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert len(library.encode(odd[0], add_special_tokens=False).ids) == 4
+
+
 def test_forgetting_parts_changes_nothing(texts, monkeypatch):
     want = tokens.Encoder(tokens.default_path()).encode(texts)
     monkeypatch.setattr(tokens, "MEMORY_PARTS", 50)
