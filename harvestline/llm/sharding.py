@@ -14,8 +14,9 @@ give no shards.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from harvestline.llm.support import Scratch, table
 
@@ -66,41 +67,71 @@ def directory(rows: DataFrame, limit: int, scratch: Scratch) -> DataFrame:
         base = top + 1
 
 
-def assign(docs: DataFrame, key: str = "doc_id", text: str = "text",
-           limit: int = LIMIT_BYTES) -> DataFrame:
-    """Adds shard, depth and shard_bytes to (key, bytes) of every row.
+def _placed(rows: DataFrame, limit: int, scratch: Scratch) -> DataFrame:
+    """Adds prefix, depth, shard_bytes and n_rows of its bucket to every row (bits, bytes, ...).
 
     Rows find their bucket by joining on the hash prefix at each depth that occurs: a few
     depths around the logarithm of the number of shards.
     """
-    scratch = Scratch(docs.sparkSession, "sharding")
-    rows = scratch.write(docs.select(
-        F.col(key).alias("key"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"),
-        F.monotonically_increasing_id().alias("row")).withColumn(
-        "bits", hash_bits(F.col("key"), F.col("row"))), "rows")
-    buckets = scratch.write(directory(rows, limit, scratch).withColumnRenamed("bytes", "shard_bytes"), "directory")
+    buckets = scratch.write(directory(rows.select("bits", "bytes"), limit, scratch).withColumnRenamed(
+        "bytes", "shard_bytes"), "directory")
     depths = [r[0] for r in buckets.select("depth").distinct().collect()]  # at most 129 numbers
     if not depths:
         depths = [0]
     probes = rows.select("*", F.explode(F.array(*[
         F.struct(F.lit(d).alias("depth"), F.substring("bits", 1, d).alias("prefix")) for d in depths])).alias("p"))
-    return (probes.select("key", "bytes", "row", "bits", "p.depth", "p.prefix")
-            .join(buckets, ["depth", "prefix"])
-            .select(F.col("key").alias(key), "bytes", F.col("prefix").alias("shard"),
-                    F.col("depth").cast("int").alias("depth"), "shard_bytes", F.col("n_rows").alias("shard_rows")))
+    return probes.select(*rows.columns, "p.depth", "p.prefix").join(buckets, ["depth", "prefix"])
+
+
+def _numbered(docs: DataFrame, key: str, text: str, *carried: Column) -> DataFrame:
+    """(bytes, bits, *carried) of every row. Row numbers change when evaluated again: write it once."""
+    return docs.select(F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"),
+                       hash_bits(F.col(key), F.monotonically_increasing_id()).alias("bits"), *carried)
+
+
+def assign(docs: DataFrame, key: str = "doc_id", text: str = "text",
+           limit: int = LIMIT_BYTES) -> DataFrame:
+    """Adds shard, depth and shard_bytes to (key, bytes) of every row."""
+    scratch = Scratch(docs.sparkSession, "sharding")
+    rows = scratch.write(_numbered(docs, key, text, F.col(key).alias("key")), "rows")
+    return _placed(rows, limit, scratch).select(
+        F.col("key").alias(key), "bytes", F.col("prefix").alias("shard"),
+        F.col("depth").cast("int").alias("depth"), "shard_bytes", F.col("n_rows").alias("shard_rows"))
 
 
 def write_shards(docs: DataFrame, target: str, key: str = "doc_id", text: str = "text",
                  limit: int = LIMIT_BYTES) -> None:
-    """Write the rows of `docs` as one folder per shard. `key` must identify a row."""
-    shards = assign(docs, key, text, limit).select(F.col(key).alias("_key"), F.concat(
-        F.lit("b"), "shard").alias("shard"))
-    (docs.join(shards, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
+    """Write the rows of `docs` as one folder per shard. Keys may repeat or be null.
+
+    Whole rows pass the directory join with their own hash bits, so each is written once.
+    """
+    scratch = Scratch(docs.sparkSession, "sharding")
+    rows = scratch.write(_numbered(docs, key, text, F.struct(*docs.columns).alias("row")), "rows")
+    (_placed(rows, limit, scratch).select("row.*", F.concat(F.lit("b"), "prefix").alias("shard"))
      .repartition("shard").write.partitionBy("shard").parquet(target))
+    scratch.drop("rows")
+
+
+def read_shards(spark: SparkSession, target: str, schema: StructType) -> DataFrame:
+    """Rows of written shards, and the shard of each."""
+    held = StructType([*schema.fields, StructField("shard", StringType())])
+    return spark.read.schema(held).parquet(target).withColumn("shard", F.expr("substring(shard, 2)"))
+
+
+def digest(shards: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The columns of `assign`, taken from rows read back."""
+    rows = shards.select(key, F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"), "shard")
+    sizes = rows.groupBy("shard").agg(F.sum("bytes").alias("shard_bytes"), F.count(F.lit(1)).alias("shard_rows"))
+    return rows.join(sizes, "shard").select(
+        key, "bytes", "shard", F.length("shard").alias("depth"), "shard_bytes", "shard_rows")
 
 
 def query(spark, sf_dir):
-    return assign(table(spark, sf_dir, "documents"))
+    """Write the shards; everything returned is read from their files."""
+    docs = table(spark, sf_dir, "documents")
+    target = Scratch(spark, "shards").path("shards")
+    write_shards(docs, target)
+    return digest(read_shards(spark, target, docs.schema))
 
 
 SQL = f"""
