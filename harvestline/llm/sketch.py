@@ -1,8 +1,9 @@
 """Threshold-scaled document sketches: every shingle hash below a fixed fraction.
 
 Shingles are five words. A sketch keeps the hashes under `2^64 / SCALE`, and always the
-smallest one, so that short texts have a sketch too. Sketches over the same scale merge by
-union, and because the same fraction of every document is kept, containment of a short
+`LEAST` smallest ones: texts of fewer shingles are kept whole. Sketches over the same scale
+merge by union. Two sketches are compared over the hashes up to where both are complete, so
+the forced hashes of a short text never count against a long one, and containment of a short
 document in a very long one is estimated as well as likeness of equals.
 
 Defined cases: null text is empty; a text without words has the empty sketch; two empty
@@ -26,36 +27,47 @@ from harvestline.llm.simhash import shingle_hashes
 from harvestline.llm.support import bound_batches, table
 
 SHINGLE_WORDS = 5
-SCALE = 8
+SCALE = 4
+LEAST = 256              # hashes kept whatever the scale: standard error 0.03 at most
 _OUT = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
         "near_edited double, near_next double")
 
 
+def _kept(hashes: np.ndarray, scale: int) -> np.ndarray:
+    return hashes[:max(int(np.searchsorted(hashes, np.uint64(2**64 // scale))), min(LEAST, len(hashes)))]
+
+
 def sketch(text: str, scale: int = SCALE) -> np.ndarray:
-    """Sorted distinct shingle hashes under the threshold, and the smallest one."""
-    hashes = np.unique(shingle_hashes(text, SHINGLE_WORDS))
-    return hashes[:max(int(np.searchsorted(hashes, np.uint64(2**64 // scale))), min(1, len(hashes)))]
+    """Sorted distinct shingle hashes under the threshold, and the smallest ones."""
+    return _kept(np.unique(shingle_hashes(text, SHINGLE_WORDS)), scale)
 
 
 def merge(a: np.ndarray, b: np.ndarray, scale: int = SCALE) -> np.ndarray:
     """The sketch of two documents together, from their sketches."""
-    both = np.union1d(a, b)
-    return both[:max(int(np.searchsorted(both, np.uint64(2**64 // scale))), min(1, len(both)))]
+    return _kept(np.union1d(a, b), scale)
+
+
+def _common_range(a: np.ndarray, b: np.ndarray, scale: int) -> tuple[np.ndarray, np.ndarray]:
+    """Both sketches up to the hash to which each of them lacks none of its document."""
+    upto = min(max(2**64 // scale - 1, int(s[-1])) if len(s) >= LEAST else 2**64 - 1 for s in (a, b))
+    return tuple(s[:np.searchsorted(s, np.uint64(upto), side="right")] for s in (a, b))
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
+def likeness(a: np.ndarray, b: np.ndarray, scale: int = SCALE) -> float:
     """Estimated share of common shingles among all shingles of two documents."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
+    a, b = _common_range(a, b, scale)
     common = len(np.intersect1d(a, b, assume_unique=True))
     return common / (len(a) + len(b) - common)
 
 
-def containment(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated share of the shingles of `a` that `b` holds too."""
+def containment(a: np.ndarray, b: np.ndarray, scale: int = SCALE) -> float:
+    """Estimated share of the shingles of `a` that `b` holds too; 0 if none of `a` is in reach."""
     if not len(a):
         return 1.0
-    return len(np.intersect1d(a, b, assume_unique=True)) / len(a)
+    a, b = _common_range(a, b, scale)
+    return len(np.intersect1d(a, b, assume_unique=True)) / max(1, len(a))
 
 
 def to_text(hashes: np.ndarray) -> str:

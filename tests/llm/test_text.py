@@ -142,6 +142,21 @@ def test_sketches_equal_brute_force(spark):
         assert got[d].near_next == sketch.likeness(own, sketch.sketch(after))
 
 
+def test_likeness_is_near_exact_jaccard():
+    """Edited texts of every length, short ones included."""
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist()
+    errors = []
+    for text, after in zip(texts, texts[1:]):
+        changed = sketch.edited(text, after)
+        a, b = (np.unique(sketch.shingle_hashes(t, 5)) for t in (text, changed))
+        common = len(np.intersect1d(a, b))
+        exact = common / (len(a) + len(b) - common) if len(a) or len(b) else 1.0
+        errors.append(abs(sketch.likeness(sketch.sketch(text), sketch.sketch(changed)) - exact))
+        assert max(len(a), len(b)) >= sketch.LEAST or errors[-1] == 0
+    print("SKETCH", len(errors), np.mean(errors), np.percentile(errors, 95), max(errors))
+    assert max(errors) < 0.15 and np.mean(errors) < 0.02
+
+
 def test_sketch_edges_and_merging(spark):
     rows = [(1, None), (4, "a b c d e f g"), (4, "a b c d e f g"), (9, "x" * 200_000), (None, "only")]
     got = sketch.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
