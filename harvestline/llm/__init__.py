@@ -1,6 +1,6 @@
 """Operators of a training-data pipeline; nothing else in the library imports this package."""
 
-from harvestline.llm import (embedding_dedup, packing, pieces_fst, quality_cnn, sharding, simhash,
+from harvestline.llm import (conversation_repair, embedding_dedup, packing, pieces_fst, quality_cnn, sharding, simhash,
                              sketch, suffix_dedup, token_files, url_filter)
 
 QUERIES = {
@@ -14,6 +14,7 @@ QUERIES = {
     "op8_simhash_near_dedup": simhash.query,
     "op9_scaled_sketch": sketch.query,
     "op10_pieces_fst": pieces_fst.query,
+    "op11_conversation_repair": conversation_repair.query,
 }
 
 SQL = {"op1_url_filter": url_filter.SQL, "op3_extendible_shards": sharding.SQL,
