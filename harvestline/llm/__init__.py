@@ -1,7 +1,7 @@
 """Operators of a training-data pipeline; nothing else in the library imports this package."""
 
 from harvestline.llm import (conversation_repair, embedding_dedup, packing, pieces_fst, quality_cnn, sharding, simhash,
-                             sketch, suffix_dedup, token_files, url_filter)
+                             sketch, suffix_dedup, token_files, url_filter, whitening)
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op9_scaled_sketch": sketch.query,
     "op10_pieces_fst": pieces_fst.query,
     "op11_conversation_repair": conversation_repair.query,
+    "op12_spectrum_whitening": whitening.query,
 }
 
 SQL = {"op1_url_filter": url_filter.SQL, "op3_extendible_shards": sharding.SQL,
