@@ -1,6 +1,6 @@
 """Operators of a training-data pipeline; nothing else in the library imports this package."""
 
-from harvestline.llm import (conversation_repair, embedding_dedup, packing, pieces_fst, quality_cnn, sharding, simhash,
+from harvestline.llm import (bpe_verify, conversation_repair, embedding_dedup, packing, pieces_fst, quality_cnn, sharding, simhash,
                              sketch, suffix_dedup, token_files, url_filter, whitening)
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op10_pieces_fst": pieces_fst.query,
     "op11_conversation_repair": conversation_repair.query,
     "op12_spectrum_whitening": whitening.query,
+    "op13_bpe_verify": bpe_verify.query,
 }
 
 SQL = {"op1_url_filter": url_filter.SQL, "op3_extendible_shards": sharding.SQL,
