@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harvestline.llm import tokens
-from harvestline.llm.support import Scratch, bound_batches, table, texts_of
+from harvestline.llm.support import Scratch, bound_batches, table
 
 CAPACITY = 1024
 END_ID = 2
@@ -34,17 +34,18 @@ BINS = f"full boolean, total int, members array<{MEMBER}>"
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int):
-    end = np.array([end_id], "<u4").tobytes()
     for batch in batches:
         out: list[tuple] = []
-        ids = batch["doc_id"].to_pylist()
-        for doc, raw in zip(ids, tokens.encoder(path).encode(texts_of(batch["text"]))):
-            raw += end
-            n = len(raw) // 4
+        ids, ends = tokens.encoder(path).encode_column(batch["text"])
+        raw = memoryview(np.insert(ids, ends, end_id).view(np.uint8))
+        at = 0
+        for doc, end in zip(batch["doc_id"].to_pylist(), (ends + np.arange(1, len(ends) + 1)).tolist()):
+            n = end - at
             first = n % capacity or capacity
             cuts = [0, *range(first, n + 1, capacity)]
-            out += [(doc, k, a, b - a, zlib.crc32(raw[4 * a:4 * b]))
+            out += [(doc, k, a, b - a, zlib.crc32(raw[4 * (at + a):4 * (at + b)]))
                     for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:]))]
+            at = end
         yield pa.record_batch([pa.array(c, t) for c, t in zip(
             zip(*out) if out else [[]] * 5, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()))],
             names=["doc_id", "piece", "start", "length", "ids_crc32"])

@@ -7,7 +7,9 @@ carry column and offset indexes: a read of `n_tokens` touches no id page, and a
 doc_id skips row groups and pages.
 
 Defined cases: null text is empty and yields only the end id; rows with a null doc_id come
-first; repeated rows are written as often as they occur; no rows give no files with rows.
+first; rows that share a doc_id are ordered by text, nulls first, and split like any others; repeated
+rows are written as often as they occur; no rows give no files with rows. Only doc_id and text
+are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from harvestline.llm import tokens
-from harvestline.llm.support import Scratch, bound_batches, long_array, table, texts_of
+from harvestline.llm.support import Scratch, bound_batches, long_array, table
 
 SCHEMA = "doc_id long, shard int, shard_start long, n_tokens int, ids array<int>"
 ROW_GROUP_BYTES = 64 << 20
@@ -32,15 +34,14 @@ END_ID = 0
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     shard, start = TaskContext.get().partitionId(), 0
-    end = np.array([end_id], "<u4").tobytes()
     for batch in batches:
-        raw = [r + end for r in tokens.encoder(path).encode(texts_of(batch["text"]))]
-        n = np.array([len(r) // 4 for r in raw], np.int64)
-        ends = np.cumsum(n)
-        ids = np.frombuffer(b"".join(raw), "<u4").view(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids))
-        yield pa.record_batch([batch["doc_id"], pa.array(np.full(len(raw), shard, np.int32)),
-                               pa.array(start + ends - n), pa.array(n.astype(np.int32)), lists],
+        ids, ends = tokens.encoder(path).encode_column(batch["text"])
+        ids = np.insert(ids, ends, end_id).view(np.int32)
+        ends = ends + np.arange(1, len(ends) + 1)
+        before = np.r_[0, ends[:-1]] if len(ends) else ends
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(ids))
+        yield pa.record_batch([batch["doc_id"], pa.array(np.full(len(ends), shard, np.int32)),
+                               pa.array(start + before, pa.int64()), pa.array((ends - before).astype(np.int32)), lists],
                               names=["doc_id", "shard", "shard_start", "n_tokens", "ids"])
         start += int(ends[-1]) if len(ends) else 0
 
@@ -49,7 +50,7 @@ def write_tokens(docs: DataFrame, target: str, path: str, end_id: int = END_ID)
     """Encode `text` of every document, append `end_id`, write in ascending doc_id order."""
     bound_batches(docs.sparkSession)
     rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-            .repartitionByRange("doc_id").sortWithinPartitions("doc_id"))
+            .repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text"))
     encoded = rows.mapInArrow(lambda batches: _encode(batches, path, end_id), SCHEMA)
     (encoded.write.option("parquet.block.size", ROW_GROUP_BYTES)
      .option("parquet.page.size", PAGE_BYTES)
