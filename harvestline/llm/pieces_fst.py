@@ -9,15 +9,19 @@ paths).
 * BPE models: states are (position, last piece), and an arc has weight zero if merging would
   leave the two pieces side by side, else infinity. Merging decides between any two neighbours
   locally, so exactly one path is finite, and it is the one merging finds. Only pieces that
-  share a score break this (runs of word marks): where several paths stay finite, the part is
-  resolved by merging itself.
+  share a score break this (runs of word marks). There the second component of the weight
+  decides: the leftmost joining comes first, so of the finite paths the one with the longest
+  pieces from the left is taken, within the same lattice.
 
-No piece runs across a word mark that follows another character, so texts are cut there and
-parts already seen by the task are looked up in a bounded memory.
+No piece runs across a word mark that follows another character, nor between two characters that
+no piece holds side by side, so texts are cut there and parts already seen by the worker are
+looked up in a bounded memory. The normaliser is the identity with spaces as word marks; a model
+that normalises any other way is refused.
 
 Defined cases: null text is empty and has no ids; characters outside the lexicon become their
-UTF-8 bytes; a word mark in the text itself decodes to a space; repeated rows are encoded as
-often as they occur.
+UTF-8 bytes; a word mark in the text itself decodes to a space; rows with null or repeated doc_ids
+are encoded as often as they occur; no rows give no rows. Only doc_id and text are read, so other
+columns may have any name.
 """
 
 from __future__ import annotations
@@ -39,6 +43,8 @@ MEMORY_PARTS = 800_000
 MEMORY_PAIRS = 1_000_000
 LONG_PART = 64           # longer parts are not remembered
 INFINITE = float("inf")
+# Texts that normalisers of other kinds change: compositions, widths, cases, white space.
+PROBE = " a  b\t c e\u0301 A\u030a ﬁ ① Ｋ ǅ İ ß \u00a0x\u3000y \n z  "
 
 
 def default_path() -> str:
@@ -67,7 +73,13 @@ class Transducer:
         if any("\n" in p or MARK in p.lstrip(MARK) for p in self.lexicon):
             raise ValueError("pieces run across word marks or lines")
         self.prefix = model.normalize("a").startswith(MARK)
+        probe = PROBE + "".join(map(chr, (*range(1, 0xD800), *range(0xE000, 0x10000))))
+        if model.normalize(probe) != self.normalise(probe):
+            raise ValueError("the model's normaliser changes more than spaces")
+        beside = sorted({ord(a) << 21 | ord(b) for p in self.lexicon for a, b in zip(p, p[1:])})
+        self.beside = np.array(beside, np.int64)  # characters that some piece holds side by side
         self.parts: dict[str, bytes] = {}
+        self.atoms: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
         self.parts_of_piece: dict[int, tuple[int, int] | None] = {}
         # every prefix of a piece, with the piece it is or -1; arcs are found by walking it
@@ -105,13 +117,6 @@ class Transducer:
 
     # weights
 
-    def merged(self, part: str) -> list[str]:
-        """Join neighbours of the best score, the leftmost first, until none can be joined."""
-        symbols = list(part)
-        while len(symbols) > 1 and (k := self._best(symbols)) is not None:
-            symbols[k:k + 2] = [symbols[k] + symbols[k + 1]]
-        return symbols
-
     def _best(self, symbols: list[str]) -> int | None:
         best, found = INFINITE, None
         for k in range(len(symbols) - 1):
@@ -193,23 +198,35 @@ class Transducer:
         n = len(part)
         # finite states by position: last piece -> (position before it, piece before it)
         states: list[dict[int, tuple[int, int | None]]] = [{} for _ in range(n + 1)]
-        several, known, fits, arcs = False, self.pairs, self.side_by_side, self.arcs
+        several, known, fits, walk = False, self.pairs, self.side_by_side, self.trie.get
         states[0] = {-2: (0, None)}
         for i in range(n):
             lefts = states[i]
             if not lefts:
                 continue
-            for j, piece in arcs(part, i):
+            j = i
+            while j < n:        # the arcs that leave position i, as in arcs()
+                j += 1
+                piece = walk(part[i:j])
+                if piece is None:
+                    if j > i + 1:
+                        break
+                    piece = -1
+                elif piece < 0:
+                    if j > i + 1:
+                        continue
+                    piece = -1
                 found = None
                 for left in lefts:
-                    if left == -2 or left < 0 or piece < 0 or (
-                            known[k] if (k := left << 16 | piece) in known else fits(left, piece)):
+                    if left < 0 or piece < 0 or (known[k] if (k := left << 16 | piece) in known else fits(left, piece)):
                         several = several or found is not None
                         found = left
                 if found is not None:
                     states[j][piece] = (i, None if found == -2 else found)
+                if piece < 0 and walk(part[i:j]) is None:
+                    break
         if several or len(states[n]) != 1:
-            return [self.lexicon.get(s, -1) for s in self.merged(part)]
+            return self._longest_path(part, states)
         (piece, (at, before)), = states[n].items()
         path = [piece]
         while before is not None:
@@ -217,6 +234,24 @@ class Transducer:
             at, before = states[at][before]
         return path[::-1]
 
+    def _longest_path(self, part: str, states: list[dict]) -> list[int]:
+        """Of several finite paths the one with the longest pieces from the left."""
+        n = len(part)
+        leads: list[set[int]] = [set() for _ in range(n)] + [set(states[n])]
+
+        def steps(i: int, left: int):
+            for j, piece in reversed(self.arcs(part, i)):
+                if piece in leads[j] and (left == -2 or self.side_by_side(left, piece)):
+                    yield j, piece
+
+        for i in range(n - 1, -1, -1):
+            leads[i] = {left for left in states[i] if next(steps(i, left), None)}
+        path, at, left = [], 0, -2
+        while at < n:
+            at, left = next(steps(at, left))
+            path.append(left)
+        return path
+
     # whole texts
 
     def _ids(self, part: str) -> bytes:
@@ -252,6 +287,34 @@ class Transducer:
                 parts.append(marks)
         return parts
 
+    def _learn(self, parts: list[str]) -> dict[str, bytes]:
+        """Ids of new parts, each cut where no piece runs across."""
+        joined = "".join(parts)
+        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        pairs = codes[:-1] << 21 | codes[1:]
+        at = np.minimum(np.searchsorted(self.beside, pairs), len(self.beside) - 1)
+        ends = np.cumsum([len(p) for p in parts])
+        cut = np.ones(len(codes) + 1, bool)
+        cut[1:-1] = self.beside[at] != pairs if len(self.beside) else True
+        cut[ends] = True
+        places = np.flatnonzero(cut)
+        atoms = [joined[a:b] for a, b in zip(places[:-1].tolist(), places[1:].tolist())]
+        wanted = set(atoms)
+        new = wanted.difference(self.atoms)
+        if len(self.atoms) + len(new) > MEMORY_PARTS:
+            self.atoms, new = {}, wanted
+        for atom in new:
+            self.atoms[atom] = self._ids(atom)
+        raw = list(map(self.atoms.__getitem__, atoms))
+        for atom in new:
+            if len(atom) > LONG_PART:
+                del self.atoms[atom]
+        found, begin = {}, 0
+        for part, end in zip(parts, np.searchsorted(places, ends).tolist()):
+            found[part] = raw[begin] if end == begin + 1 else b"".join(raw[begin:end])
+            begin = end
+        return found
+
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         cut = [self.cut(t) for t in texts]
@@ -260,8 +323,8 @@ class Transducer:
         if len(self.parts) + len(new) > MEMORY_PARTS:
             self.parts = {}
             new = every
-        for part in new:
-            self.parts[part] = self._ids(part)
+        if new:
+            self.parts.update(self._learn(list(new)))
         out = [b"".join(map(self.parts.__getitem__, parts)) for parts in cut]
         if len(self.parts) > MEMORY_PARTS:
             self.parts = {}
