@@ -155,7 +155,8 @@ def _scores(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Reco
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of `docs` (doc_id and text among them) and `score`, the probability of label 1."""
+    """All columns of `docs` (text among them) and `score`, the probability of label 1; a column
+    `score` of the input is replaced."""
     bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # about 20 kB
     kept = docs.drop("score")

@@ -9,7 +9,7 @@ that repeat one key, however many, still split. A row that is larger than the li
 bucket of its own.
 
 Defined cases: a null key hashes like the empty string; null text has no bytes; no rows
-give no shards.
+give no shards. Columns may have any name: a clash only lengthens the folders' own name.
 """
 
 from __future__ import annotations
@@ -99,6 +99,14 @@ def assign(docs: DataFrame, key: str = "doc_id", text: str = "text",
         F.col("depth").cast("int").alias("depth"), "shard_bytes", F.col("n_rows").alias("shard_rows"))
 
 
+def folder_column(names: list[str]) -> str:
+    """The column that names folders: `shard`, lengthened until no column of the rows has its name."""
+    taken, name = {n.lower() for n in names}, "shard"
+    while name in taken:
+        name += "_"
+    return name
+
+
 def write_shards(docs: DataFrame, target: str, key: str = "doc_id", text: str = "text",
                  limit: int = LIMIT_BYTES) -> None:
     """Write the rows of `docs` as one folder per shard. Keys may repeat or be null.
@@ -106,21 +114,24 @@ def write_shards(docs: DataFrame, target: str, key: str = "doc_id", text: str =
     Whole rows pass the directory join with their own hash bits, so each is written once.
     """
     scratch = Scratch(docs.sparkSession, "sharding")
+    folder = folder_column(docs.columns)
     rows = scratch.write(_numbered(docs, key, text, F.struct(*docs.columns).alias("row")), "rows")
-    (_placed(rows, limit, scratch).select("row.*", F.concat(F.lit("b"), "prefix").alias("shard"))
-     .repartition("shard").write.partitionBy("shard").parquet(target))
+    (_placed(rows, limit, scratch).select("row.*", F.concat(F.lit("b"), "prefix").alias(folder))
+     .repartition(folder).write.partitionBy(folder).parquet(target))
     scratch.drop("rows")
 
 
 def read_shards(spark: SparkSession, target: str, schema: StructType) -> DataFrame:
-    """Rows of written shards, and the shard of each."""
-    held = StructType([*schema.fields, StructField("shard", StringType())])
-    return spark.read.schema(held).parquet(target).withColumn("shard", F.expr("substring(shard, 2)"))
+    """Rows of written shards with their shard in `folder_column`, the last column."""
+    folder = folder_column(schema.names)
+    held = StructType([*schema.fields, StructField(folder, StringType())])
+    return spark.read.schema(held).parquet(target).withColumn(folder, F.expr(f"substring({folder}, 2)"))
 
 
 def digest(shards: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The columns of `assign`, taken from rows read back."""
-    rows = shards.select(key, F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"), "shard")
+    rows = shards.select(key, F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"),
+                         F.col(shards.columns[-1]).alias("shard"))
     sizes = rows.groupBy("shard").agg(F.sum("bytes").alias("shard_bytes"), F.count(F.lit(1)).alias("shard_rows"))
     return rows.join(sizes, "shard").select(
         key, "bytes", "shard", F.length("shard").alias("depth"), "shard_bytes", "shard_rows")

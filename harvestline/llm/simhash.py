@@ -16,7 +16,9 @@ not compared again, so a dense cell costs about its size. Cells over a limit bec
 pairs. Equal fingerprints are collapsed before anything else.
 
 Defined cases: null or wordless text has fingerprint zero and links like any other; repeated
-rows share a component; no documents give no rows.
+rows share a component; rows with a null doc_id link, but a component of such rows alone has a
+null id; no documents give no rows. Only doc_id and text are read, so other columns may have any
+name.
 """
 
 from __future__ import annotations
@@ -88,6 +90,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         _fingerprints, "doc_id long, fp long")
 
 
+def _marked_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        fps = np.array([fingerprint(shingle_hashes(t)) for t in texts_of(batch["text"])], np.uint64)
+        yield pa.record_batch([batch["id"], batch["mark"], pa.array(signed(fps))], names=["doc_id", "mark", "fp"])
+
+
 def references(count: int = RANDOM_REFERENCES) -> tuple[np.ndarray, np.ndarray]:
     """Base followed by its 64 neighbours, and `count` random references."""
     rng = np.random.default_rng(20240229)
@@ -189,17 +197,43 @@ def link_edges(fps: DataFrame, count: int, radius: int = RADIUS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp and component_id, the least doc_id reachable over links."""
+    """doc_id, fp, component (a group of linked fingerprints) and component_id, its least doc_id."""
     scratch = Scratch(docs.sparkSession, "simhash")
     marked = scratch.write(fingerprints(docs), "fps")
+    return marked.join(_groups(marked, radius, scratch), "fp").select("doc_id", "fp", "component", "component_id")
+
+
+def _groups(marked: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
+    """(fp, component, component_id) of every distinct fingerprint."""
     distinct = scratch.write(marked.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "distinct")
     edges = scratch.write(link_edges(distinct, distinct.count(), radius), "edges")
     parts = connected_components(edges, scratch, "parts")
     named = distinct.join(parts, distinct["fp"] == parts["node"], "left").select(
         "fp", "first_doc", F.coalesce("component", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("first_doc").alias("component_id"))
-    by_fp = scratch.write(named.join(least, "component").select("fp", "component_id"), "by_fp")
-    return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    return scratch.write(named.join(least, "component").select("fp", "component", "component_id"), "by_fp")
+
+
+def first_of_each_group(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """The rows of `docs` without near-duplicates: of every group one row with the least doc_id.
+
+    Each text is judged by its own fingerprint, also where texts share a doc_id; of several
+    rows of a group with its least doc_id the one with the least digest stays. Rows without a
+    doc_id have no least one and pass. Columns may have any name.
+    """
+    scratch = Scratch(docs.sparkSession, "simhash")
+    bound_batches(docs.sparkSession)
+    # digests of text and row travel with the id; texts are joined back once
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"),
+                       F.md5(F.to_json(F.struct(*docs.columns))).alias("mark"))
+    marked = scratch.write(rows.select("id", "mark", F.col("row.text").alias("text")).mapInArrow(
+        _marked_fingerprints, "doc_id long, mark string, fp long"), "fps")
+    kept = (marked.join(_groups(marked, radius, scratch), "fp").where("doc_id = component_id")
+            .groupBy("component").agg(F.min(F.struct("doc_id", "mark")).alias("one"))
+            .select(F.col("one.doc_id").alias("kept_id"), F.col("one.mark").alias("kept_mark")))
+    found = rows.join(kept, (F.col("id") == F.col("kept_id")) & (F.col("mark") == F.col("kept_mark")))
+    return (found.dropDuplicates(["id", "mark"]).select("row.*")  # rows equal in every column
+            .unionByName(docs.where("doc_id IS NULL")))
 
 
 def query(spark, sf_dir):

@@ -478,16 +478,18 @@ def without(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def _with_runs(docs: DataFrame) -> DataFrame:
-    """`docs` with `_runs`, the repeated runs of each document or null."""
+    """Each document as one struct `row`, with the places and lengths of its repeated runs or null."""
     runs = repeated_runs(docs, Scratch(docs.sparkSession, "suffix"))
-    runs = runs.groupBy(F.col("doc").alias("_doc")).agg(
-        F.collect_list("place").alias("_places"), F.collect_list("n").alias("_counts"))
+    runs = runs.groupBy(F.col("doc").alias("key")).agg(
+        F.collect_list("place").alias("places"), F.collect_list("n").alias("counts"))
     bound_batches(docs.sparkSession)
-    return docs.join(runs, F.col("doc_id").cast("long") == F.col("_doc"), "left").drop("_doc")
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    return rows.join(runs, F.col("row.doc_id").cast("long") == F.col("key"), "left").drop("key")
 
 
 def _removed(batch: pa.RecordBatch) -> Iterator[tuple[bytes, list[tuple[int, int]]]]:
-    for raw, places, counts in zip(_encoded(batch), batch["_places"].to_pylist(), batch["_counts"].to_pylist()):
+    texts = pa.record_batch([batch["row"].field("text")], names=["text"])
+    for raw, places, counts in zip(_encoded(texts), batch["places"].to_pylist(), batch["counts"].to_pylist()):
         yield raw, spans_of(raw, list(zip(places, counts))) if places else []
 
 
@@ -496,7 +498,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [(len(raw), sum(b - a for a, b in spans), len(spans),
                  hashlib.sha256(without(raw, spans)).hexdigest()) for raw, spans in _removed(batch)]
         columns = list(zip(*rows)) if rows else [[]] * 4
-        yield pa.record_batch([batch["doc_id"], *[pa.array(c, pa.int64()) for c in columns[:3]],
+        yield pa.record_batch([batch["row"].field("doc_id"), *[pa.array(c, pa.int64()) for c in columns[:3]],
                                pa.array(columns[3], pa.string())],
                               names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
@@ -505,7 +507,7 @@ def _cut(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Rec
     for batch in batches:
         texts = [without(raw, spans).decode("utf-8", "ignore") for raw, spans in _removed(batch)]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(texts, pa.string()) if n == "text" else batch[n] for n in names], names=names)
+            [pa.array(texts, pa.string()) if n == "text" else batch["row"].field(n) for n in names], names=names)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from harvestline.llm import embedding_dedup, near_copies, simhash, suffix_dedup
+from harvestline.llm import embedding_dedup, simhash, suffix_dedup
 from harvestline.llm.support import Scratch, connected_components
 
 SF = "/root/testdata/sf0.001"
@@ -123,7 +123,7 @@ def slow_repeats(rows):
 
 
 def digest(docs):
-    return sorted(map(tuple, suffix_dedup._with_runs(docs).select("doc_id", "text", "_places", "_counts").mapInArrow(
+    return sorted(map(tuple, suffix_dedup._with_runs(docs).mapInArrow(
         suffix_dedup._digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").collect()), key=str)
 
 
@@ -220,41 +220,3 @@ def test_estimates_are_unbiased():
         assert abs(error) <= embedding_dedup.BOUND * np.sqrt((1 - factor**2) / 63) / factor
         errors.append(error)
     assert abs(np.mean(errors)) < 0.02
-
-
-def five_word_sets(texts):
-    words = [t.split() for t in texts]
-    return [{tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
-
-
-def edited_texts(seed, count):
-    """Unrelated texts, and copies of them with words replaced so that likeness runs from 0.5 to 1."""
-    rng = random.Random(seed)
-    out = []
-    for k in range(count):
-        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([3, 8, 40, 120, 400]))]
-        out.append(" ".join(words))
-        for _ in range(rng.randrange(4)):
-            copy = list(words)
-            for _ in range(rng.randrange(max(1, len(words) // 25) + 1)):
-                copy[rng.randrange(len(copy))] = f"w{rng.randrange(10**6)}"
-            out.append(" ".join(copy))
-    return out
-
-
-@pytest.mark.parametrize("limit", [512, 3])
-def test_near_copies_equal_brute_force_jaccard(spark, monkeypatch, limit):
-    """Every pair of five-word likeness 0.8 or more shares a group; nothing else links."""
-    monkeypatch.setattr(near_copies, "GROUP_LIMIT", limit)
-    texts = edited_texts(limit, 150)
-    base = " ".join(f"h{k}" for k in range(300)).split()
-    texts += [" ".join(base[:k] + [f"x{k}"] + base[k + 1:]) for k in range(0, 300, 10)] + ["", " \n", "w"]  # a chain of copies
-    sets = five_word_sets(texts)
-    want = components(range(len(texts)), lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
-    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(6)
-    got = {r.doc_id: r.component_id for r in near_copies.near_copies(docs).collect()}
-    assert got == want
-    fps = [slow_fingerprint(t) for t in texts]
-    pairs = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if want[a] == want[b] and sets[a] != sets[b]]
-    assert any((fps[a] ^ fps[b]).bit_count() > 4 for a, b in pairs)
-    assert near_copies.near_copies(docs.limit(0)).collect() == []
