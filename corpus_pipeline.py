@@ -4,8 +4,8 @@ Each stage takes all its predecessor kept, as a table, and its decisions take ef
 stages but the last return the columns of `documents`.
 
 Defined cases: null text is empty text. Rows without a doc_id cannot be told apart and pass
-the near-duplicate stage as they are; of rows that share one doc_id and are near copies of each
-other the one with the least text stays there. No documents give no pieces.
+the near-duplicate stage as they are; of rows that share one doc_id and a group one stays there.
+Extra columns may have any name and pass all stages but the last. No documents give no pieces.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harvestline.llm import near_copies, packing, quality_cnn, suffix_dedup, tokens
+from harvestline.llm import packing, quality_cnn, simhash, suffix_dedup, tokens
 from harvestline.llm.support import Scratch, table
 
 # Byte-pair ids and a fitted network are not SQL; the tests hold every stage against brute force.
@@ -24,18 +24,15 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Drop documents the classifier scores below its threshold. It learns from the kept folds
     of the labelled documents of the whole input."""
     model = quality_cnn.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    scored = quality_cnn.score_documents(docs, model)
-    return scored.where(F.col("score") >= quality_cnn.KEEP_FROM).select(*docs.columns)
+    # whole rows travel as one column, so none of theirs can clash with the score
+    scored = quality_cnn.score_documents(docs.select(F.struct(*docs.columns).alias("row"), "text"), model)
+    return scored.where(F.col("score") >= quality_cnn.KEEP_FROM).select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least id of every group of near copies: five-word shingle sets
-    with a Jaccard similarity of 0.8 or more. Each text is judged by its own group."""
-    kept = near_copies.near_copies(docs).where("doc_id = component_id").select(
-        F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark"), F.col("component").alias("_group")).distinct()
-    one = docs.join(kept, (F.col("doc_id") == F.col("_doc")) & (near_copies.mark_of("text") == F.col("_mark"))).groupBy(
-        "_doc", "_group").agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("row")).select("row.*")
-    return one.unionByName(docs.where("doc_id IS NULL"))
+    """Keep the document with the least id of every group of SimHash near-duplicates: fingerprints of
+    four-word shingles linked at four or fewer differing bits."""
+    return simhash.first_of_each_group(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
