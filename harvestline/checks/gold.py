@@ -5,9 +5,10 @@ from __future__ import annotations
 from harvestline.checks.registry import CHECKS, ROUNDED, VIEWS, Tables, query, shared
 from harvestline.plans import gold, silver
 from harvestline.session import cut_lineage
-from harvestline.sources.bindings import AS_OF_EVENTS, AS_OF_QUOTES, BANDS, CROPS
+from harvestline.sources.bindings import AS_OF_EVENTS, AS_OF_QUOTES, BANDS, BINDINGS, CROPS
 
-# The rule sets in the checking SQL's own words. Gold views read the deduplicated feeds.
+# The rule sets in the checking SQL's own words. The SQL of every gold view reads deduplicated
+# feeds; in Spark only sums need that, newest rows are the same with copies.
 SQL_RULES = {
     "inventory_events": "event_ts IS NOT NULL AND sku IS NOT NULL AND room_id IS NOT NULL "
                         "AND on_hand_g >= 0",
@@ -20,8 +21,10 @@ SQL_RULES = {
     "iot_sensor_events": "room_id IS NOT NULL AND sensor_type IS NOT NULL AND value IS NOT NULL",
 }
 for _feed, _rule in SQL_RULES.items():
-    VIEWS[f"sv_{_feed}"] = (f"SELECT * FROM {_feed} WHERE {_rule} "
-                            "QUALIFY row_number() OVER (PARTITION BY event_id) = 1")
+    _columns = ", ".join(f"{c} NULLS FIRST" for c in BINDINGS[_feed].columns if c != "event_id")
+    VIEWS[f"sv_{_feed}"] = (
+        f"SELECT * FROM {_feed} WHERE {_rule} "
+        f"QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY {_columns}) = 1")
 
 _NEWEST = "QUALIFY row_number() OVER (PARTITION BY {} ORDER BY {} DESC, {} DESC) = 1"
 
@@ -157,16 +160,20 @@ VIEWS["gd_recommendations"] = """
     FROM low_offers"""
 
 
+# what the net receipts of a line need
+RECEIPT = ["po_number", "po_item", "qty_received_g"]
+
+
 @shared
 def snapshot(t: Tables):
     return gold.inventory_snapshot(
-        silver.deduplicated("inventory_events", t.inventory_events), t.dim_sku)
+        silver.validated("inventory_events", t.inventory_events), t.dim_sku)
 
 
 @shared
 def prices(t: Tables):
     return gold.commodity_latest(
-        silver.deduplicated("commodity_prices", t.commodity_prices), AS_OF_EVENTS)
+        silver.validated("commodity_prices", t.commodity_prices), AS_OF_EVENTS)
 
 
 @shared
@@ -177,33 +184,34 @@ def stored_prices(t: Tables):
 
 @shared
 def demand(t: Tables):
-    return gold.demand_1h(silver.deduplicated("demand_events", t.demand_events))
+    return gold.demand_1h(silver.deduplicated(
+        "demand_events", t.demand_events, ["event_ts", "sku", "trays", "grams_req"]))
 
 
 @shared
 def quotes(t: Tables):
     return gold.supplier_quotes_current(
-        silver.deduplicated("supplier_quotes", t.supplier_quotes), AS_OF_QUOTES)
+        silver.validated("supplier_quotes", t.supplier_quotes), AS_OF_QUOTES)
 
 
 @shared
 def po_lines(t: Tables):
     return gold.open_po_lines(
-        silver.deduplicated("purchase_orders", t.purchase_orders),
-        silver.deduplicated("goods_receipts", t.goods_receipts), t.dim_supplier)
+        silver.validated("purchase_orders", t.purchase_orders),
+        silver.deduplicated("goods_receipts", t.goods_receipts, RECEIPT), t.dim_supplier)
 
 
 @shared
 def sensors(t: Tables):
-    return gold.iot_latest(silver.deduplicated("iot_sensor_events", t.iot_sensor_events), BANDS)
+    return gold.iot_latest(silver.validated("iot_sensor_events", t.iot_sensor_events), BANDS)
 
 
 @shared
 def matches(t: Tables):
     return gold.invoice_matching(
-        silver.deduplicated("invoice_documents", t.invoice_documents),
-        silver.deduplicated("purchase_orders", t.purchase_orders),
-        silver.deduplicated("goods_receipts", t.goods_receipts))
+        silver.validated("invoice_documents", t.invoice_documents),
+        silver.validated("purchase_orders", t.purchase_orders),
+        silver.deduplicated("goods_receipts", t.goods_receipts, RECEIPT))
 
 
 @shared

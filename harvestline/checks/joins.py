@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from harvestline.checks import gold as views
 from harvestline.checks.registry import VIEWS, Tables, query
 from harvestline.operators import aggregates, asof, joins, latest, quality
-from harvestline.plans import serving
+from harvestline.plans import serving, silver
 from harvestline.sources.bindings import AS_OF_EVENTS, AS_OF_MAIL, BANDS, CROPS
 
 
@@ -92,7 +92,9 @@ def join_thresholds(t: Tables):
     LEFT JOIN receipt_totals r USING (po_number, po_item)""")
 def three_way_match(t: Tables):
     return joins.three_way_match(
-        t.invoice_documents, joins.line_state(t.purchase_orders, t.goods_receipts)
+        t.invoice_documents, joins.line_state(
+            silver.validated("purchase_orders", t.purchase_orders),
+            silver.deduplicated("goods_receipts", t.goods_receipts, views.RECEIPT))
     ).select("event_id", "po_number", "po_item", "po_net_value_usd", "gr_qty_g", "match_status")
 
 

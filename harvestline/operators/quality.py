@@ -53,8 +53,18 @@ def quarantine(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 
 
 def dedup_event_id(df: DataFrame, key: str = "event_id") -> DataFrame:
-    """One row per event id, batch or stream. Copies collapse on the map side first."""
-    return df.dropDuplicates([key])
+    """One row per event id. Copies collapse on the map side first.
+
+    Where copies differ, a batch keeps the least row by its other columns in table order (NULLs
+    first); a stream keeps the copy that arrives first.
+    """
+    if df.isStreaming:
+        return df.dropDuplicates([key])
+    rest = [c for c in df.columns if c != key]
+    if not rest:
+        return df.distinct()
+    least = df.groupBy(key).agg(F.min(F.struct(*rest)).alias("_row"))
+    return least.select(*[c if c == key else F.col("_row")[c].alias(c) for c in df.columns])
 
 
 def pk_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -42,7 +42,8 @@ class Binding(NamedTuple):
     where: str | None = None
 
 
-_LINE_ID = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
+# one row of the table has one id: lines that share the four keys differ in their date
+_LINE_ID = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, {day(l_shipdate)})"
 
 BINDINGS: dict[str, Binding] = {
     "inventory_events": Binding("events", {
@@ -195,12 +196,14 @@ BINDINGS: dict[str, Binding] = {
 }
 
 _SPARK_TEMPLATES = [
+    (r"\{day\((\w+)\)\}", r"unix_date(cast(\1 as date))"),
     (r"\{month\((\w+)\)\}", r"date_format(\1, 'yyyy-MM')"),
     (r"\{minutes\((\w+)\)\}", r"make_dt_interval(0, 0, \1)"),
     (r"\{money\((\w+)\)\}", r"format_number(\1, 2)"),
     (r"\{text\}", "string"),
 ]
 _DUCK_TEMPLATES = [
+    (r"\{day\((\w+)\)\}", r"date_diff('day', date '1970-01-01', cast(\1 as date))"),
     (r"\{month\((\w+)\)\}", r"strftime(\1, '%Y-%m')"),
     (r"\{minutes\((\w+)\)\}", r"to_minutes(\1)"),
     (r"\{money\((\w+)\)\}", r"format('{:,.2f}', \1)"),

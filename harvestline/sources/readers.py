@@ -22,9 +22,15 @@ def stream_source(spark: SparkSession, path: str, schema: T.StructType,
                   max_files: int = 64) -> DataFrame:
     """An append-only event table as a stream: a folder that gains files, taken as it is.
 
+    A plain folder need not exist yet: it is made, so a stream can wait for its first file.
     As everywhere in Spark a path with glob signs is a pattern; one file is streamed by a
     pattern that fits it alone, see `one_file`.
     """
+    if not set(path) & set("*?[{"):
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not files.exists(folder):
+            files.mkdirs(folder)
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
 
 

@@ -51,6 +51,16 @@ def test_copies_collapse(spark):
         quality.assert_unique(df, ["event_id"], "t")
 
 
+def test_of_copies_that_differ_the_least_row_stays(spark):
+    rows = [("a", None, 2.0), ("a", "x", 1.0), ("b", "y", 2.0), ("b", "x", 3.0), (None, "z", 1.0), (None, "z", 1.0)]
+    df = spark.createDataFrame(rows, "event_id string, sku string, value double")
+    for parts in (1, 5):
+        got = quality.dedup_event_id(df.repartition(parts)).collect()
+        assert sorted(map(tuple, got), key=repr) == sorted([rows[0], rows[3], rows[4]], key=repr)
+    only = df.select("event_id")
+    assert quality.dedup_event_id(only).count() == 3
+
+
 def test_empty_tables_audit(spark):
     df = spark.createDataFrame([], "event_id string, v int")
     assert quality.pk_unique(df, ["event_id"]).first().is_unique

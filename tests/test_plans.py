@@ -89,3 +89,10 @@ def test_sources_keep_to_the_rules():
         assert ".rdd" not in code, path
         for found in re.findall(r"broadcast\(.*", code):  # llm names its own bounds
             assert path.name == "joins.py" or "llm" in path.parts, (path, found)
+
+
+@pytest.mark.parametrize(("key", "exchanges"), [
+    ("gd_supplier_quotes_current", 1), ("gd_iot_latest", 1), ("gd_inventory_snapshot", 1), ("gd_commodity_latest", 1)])
+def test_views_of_newest_rows_shuffle_once(spark, key, exchanges):
+    """No duplicate removal in front of the group limit."""
+    assert len(re.findall(r"Exchange hashpartitioning", plan(PLAIN[key](spark, FOLDER)))) == exchanges
