@@ -20,17 +20,18 @@ from harvestline.session import cut_lineage
 from harvestline.sources import sinks
 from harvestline.sources.readers import with_instants
 from harvestline.streaming.feeds import for_each_batch
+from harvestline.streaming.versions import VersionedTable, last_version
 
 
 def newest_versions(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
     """The newest version of each key of a table written batch by batch."""
-    return latest.latest_per_key(
-        sinks.read_batches(spark, path), keys, "batch_id", ties=()).drop("batch_id")
+    return VersionedTable(spark, path, last_version(keys)).read()
 
 
-def _upsert_batches(path: str) -> Callable[[DataFrame, int], None]:
+def _upsert_batches(path: str, keys: Sequence[str]) -> Callable[[DataFrame, int], None]:
+    """Each batch is a delta; older deltas are folded into a base as they gather."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        sinks.write_batch(batch, path, batch_id)
+        VersionedTable(batch.sparkSession, path, last_version(keys)).write(batch, batch_id)
 
     return write
 
@@ -41,7 +42,7 @@ def stream_tumbling(demand: DataFrame, path: str, checkpoint: str, *, lateness:
     rows that come later still are dropped, and their state is freed."""
     hourly = aggregates.demand_tumbling(
         with_instants(demand).withWatermark("event_ts", lateness))
-    return for_each_batch(hourly, _upsert_batches(path), checkpoint, mode="update", every=every)
+    return for_each_batch(hourly, _upsert_batches(path, ["sku", "hour_ts"]), checkpoint, mode="update", every=every)
 
 
 def stream_latest(events: DataFrame, keys: Sequence[str], path: str, checkpoint: str, *,
@@ -54,7 +55,7 @@ def stream_latest(events: DataFrame, keys: Sequence[str], path: str, checkpoint:
     rest = [c for c in events.columns if c not in keys]
     newest = F.max_by(F.struct(*rest), F.struct(ts, *ties)).alias("_row")
     running = events.groupBy(*keys).agg(newest).select(*keys, "_row.*")
-    return for_each_batch(running, _upsert_batches(path), checkpoint, mode="update", every=every)
+    return for_each_batch(running, _upsert_batches(path, keys), checkpoint, mode="update", every=every)
 
 
 def stream_latest_view(events: DataFrame, keys: Sequence[str], state_path: str,
