@@ -3,7 +3,7 @@
 from importlib import import_module
 
 _MODULES = ["sources", "quality", "functions", "joins", "aggregates", "workflow", "serving",
-            "streaming", "model", "gold"]
+            "streaming", "model", "gold", "mirrors"]
 
 
 def load_all() -> None:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
-from harvestline.checks.registry import Tables, query
+from harvestline.checks.registry import CHECKS, ROUNDED, Tables, query
 from harvestline.functions import timing
 from harvestline.plans import gold
 from harvestline.session import scratch_path
 from harvestline.sources import bindings, readers, sinks
 from harvestline.sources.bindings import PERIOD_BUDGET_USD
-from harvestline.streaming import feeds, views
+from harvestline.streaming import approvals, feeds, joined, views
 
 
 def _stream(t: Tables, feed: str):
@@ -138,3 +140,54 @@ def at_least_once_replay(t: Tables):
     once = _appended(t, feeds.stream_silver("demand_events", stream), "replay")
     return once.groupBy("sku").agg(F.count(F.lit(1)).alias("events"),
                                      F.sum("grams_req").alias("grams_req"))
+
+
+@query("stream_approvals", """
+    SELECT po_id, period AS period_ym, approved,
+           CASE WHEN approved THEN R(left_after) END AS balance_after FROM budget_walk""",
+       round_to=2)
+def stream_approvals(t: Tables):
+    """Drafts in two deliveries, the later half first; a beat without cost moves the watermark on."""
+    feed = scratch_path(t.spark, "drafts-feed")
+    drafts = t.po_drafts.select("po_id", "created_ts", "total_cost_usd")
+    half = timing.instant_like(drafts, "created_ts", datetime(1995, 1, 1))
+    sinks.append_sink(drafts.where(F.col("created_ts") >= half).coalesce(1), feed)
+    sinks.append_sink(drafts.where(F.col("created_ts") < half).coalesce(1), feed)
+    beat = t.spark.range(1).select(
+        F.lit(-1).cast(drafts.schema["po_id"].dataType).alias("po_id"),
+        F.lit(datetime(2100, 1, 1)).cast(drafts.schema["created_ts"].dataType).alias("created_ts"),
+        F.lit(None).cast("double").alias("total_cost_usd"))
+    out = scratch_path(t.spark, "approvals")
+    for late in (False, True):
+        if late:
+            sinks.append_sink(beat, feed)
+        source = readers.stream_source(t.spark, feed, drafts.schema, max_files=1)
+        decided = approvals.stream_approvals(source, lateness="10000 days", amount=PERIOD_BUDGET_USD)
+        feeds.append_to(decided, out, f"{out}-checkpoint").awaitTermination()
+    return t.spark.read.schema(decided.schema).parquet(out).where("po_id <> -1").select(
+        "po_id", "period_ym", "approved", "balance_after")
+
+
+def _order_views(t: Tables) -> joined.OrderViews:
+    """Orders, receipts and invoices in three deliveries each, read as three moving feeds."""
+    out, sources = scratch_path(t.spark, "order-views"), {}
+    for tag, name in (("orders", "purchase_orders"), ("receipts", "goods_receipts"), ("invoices", "invoice_documents")):
+        table, folder = getattr(t, name), scratch_path(t.spark, name)
+        for year_from, year_to in ((1990, 1994), (1997, 2100), (1994, 1997)):   # the middle arrives last
+            since, until = (timing.instant_like(table, "event_ts", datetime(y, 1, 1)) for y in (year_from, year_to))
+            sinks.append_sink(table.where((F.col("event_ts") >= since) & (F.col("event_ts") < until)).coalesce(1), folder)
+        stream = readers.stream_source(t.spark, folder, table.schema, max_files=1)
+        sources[tag] = feeds.stream_silver(name, stream)
+    joined.stream_order_views(**sources, suppliers=t.dim_supplier, path=out,
+                              checkpoint=f"{out}-checkpoint").awaitTermination()
+    return joined.OrderViews(t.spark, out)
+
+
+@query("stream_po_lines", CHECKS["gd_open_po_lines"], ROUNDED["gd_open_po_lines"])
+def stream_po_lines(t: Tables):
+    return _order_views(t).lines.read().drop("event_id")
+
+
+@query("stream_invoice_matching", CHECKS["gd_invoice_matching"], ROUNDED["gd_invoice_matching"])
+def stream_invoice_matching(t: Tables):
+    return _order_views(t).matches.read()
