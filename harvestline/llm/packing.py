@@ -2,7 +2,8 @@
 
 Pieces that fill a sequence are sequences already. The rest are packed best-fit decreasing
 inside each partition; nearly full bins are emitted, underfull bins become items of fewer,
-larger groups and are packed again, until one group is left or no bin is saved. Where a group
+larger groups and are packed again, until a round over one group, or `IDLE_ROUNDS` over several
+differently mixed ones, saves no bin. Where a group
 would need fewer bins without keeping its underfull bins together, they are opened. A group
 holds a bounded number of bins, so no task grows with the data.
 
@@ -28,6 +29,7 @@ END_ID = 2
 SLACK = 4                # a bin with no more room than this is nearly full
 GROUP_BINS = 100_000     # bins one merging task holds
 FAN_IN = 8               # groups merged into one per round
+IDLE_ROUNDS = 3          # rounds in a row over several groups that save nothing and end the merging
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 MEMBER = "struct<doc_id:long,piece:int,start:long,length:int,ids_crc32:long>"
 BINS = f"full boolean, total int, members array<{MEMBER}>"
@@ -137,7 +139,7 @@ def pack(items: DataFrame, scratch: Scratch, capacity: int = CAPACITY) -> DataFr
     whole = single.where(F.col("total") >= capacity).select(F.lit(True).alias("full"), "total", "members")
     level = scratch.write(packed(single.where(F.col("total") < capacity)), "bins-0")
     done = [whole, level.where("full")]
-    bins, groups, step = level.where("NOT full"), None, 0
+    bins, groups, step, idle = level.where("NOT full"), None, 0, 0
     count = bins.count()
     while count:
         groups = -(-count // GROUP_BINS) if groups is None else max(-(-groups // FAN_IN), -(-count // GROUP_BINS))
@@ -150,7 +152,9 @@ def pack(items: DataFrame, scratch: Scratch, capacity: int = CAPACITY) -> DataFr
         left, emitted = bins.count(), level.where("full").count()
         saved = count - left - emitted
         count = left
-        if saved <= count // 200:  # nothing left that fits together
+        # with one group a round sees all bins; with more, another mixture may still save some
+        idle = idle + 1 if saved <= 0 else 0
+        if idle and (groups == 1 or idle == IDLE_ROUNDS):
             break
     done.append(bins)
     every = done[0]
