@@ -1,12 +1,11 @@
 """Threshold-scaled document sketches: every shingle hash below a fixed fraction.
 
-Shingles are five words. A sketch keeps the hashes under `2^64 / SCALE`, and always the
-`LEAST` smallest ones: texts of fewer shingles are kept whole. Sketches over the same scale
-merge by union. Two sketches are compared over the hashes up to where both are complete, so
-the forced hashes of a short text never count against a long one, and containment of a short
-document in a very long one is estimated as well as likeness of equals.
+Shingles are five words. A sketch keeps the hashes under `FRACTION` of their range, the same threshold for
+all texts, so sketches merge by union and the share of one sketch in another estimates the share
+of the shingles, also of a short document in a very long one. The README has the error by length.
 
-Defined cases: null text is empty; a text without words has the empty sketch; two empty
+Defined cases: null text is empty; a text with shingles but none under the threshold keeps its
+least hash, so only a text without words has the empty sketch; two empty
 sketches have likeness 1, an empty and another one 0; the fingerprint is the sketch in hex,
 so equal texts have equal fingerprints. A single document is its own next one. Rows with a
 null doc_id come first; rows that repeat a doc_id follow each other in text order.
@@ -27,47 +26,39 @@ from harvestline.llm.simhash import shingle_hashes
 from harvestline.llm.support import bound_batches, table
 
 SHINGLE_WORDS = 5
-SCALE = 4
-LEAST = 256              # hashes kept whatever the scale: standard error 0.03 at most
+FRACTION = 0.75          # every hash below this share of 2^64 stays, whatever the length of the text
 _OUT = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
         "near_edited double, near_next double")
 
 
-def _kept(hashes: np.ndarray, scale: int) -> np.ndarray:
-    return hashes[:max(int(np.searchsorted(hashes, np.uint64(2**64 // scale))), min(LEAST, len(hashes)))]
+def _kept(hashes: np.ndarray, fraction: float) -> np.ndarray:
+    """Sorted hashes under the threshold; the least one where there are none."""
+    return hashes[:max(int(np.searchsorted(hashes, np.uint64(int(2**64 * fraction)))), min(1, len(hashes)))]
 
 
-def sketch(text: str, scale: int = SCALE) -> np.ndarray:
-    """Sorted distinct shingle hashes under the threshold, and the smallest ones."""
-    return _kept(np.unique(shingle_hashes(text, SHINGLE_WORDS)), scale)
+def sketch(text: str, fraction: float = FRACTION) -> np.ndarray:
+    """Sorted distinct shingle hashes under the threshold."""
+    return _kept(np.unique(shingle_hashes(text, SHINGLE_WORDS)), fraction)
 
 
-def merge(a: np.ndarray, b: np.ndarray, scale: int = SCALE) -> np.ndarray:
+def merge(a: np.ndarray, b: np.ndarray, fraction: float = FRACTION) -> np.ndarray:
     """The sketch of two documents together, from their sketches."""
-    return _kept(np.union1d(a, b), scale)
+    return _kept(np.union1d(a, b), fraction)
 
 
-def _common_range(a: np.ndarray, b: np.ndarray, scale: int) -> tuple[np.ndarray, np.ndarray]:
-    """Both sketches up to the hash to which each of them lacks none of its document."""
-    upto = min(max(2**64 // scale - 1, int(s[-1])) if len(s) >= LEAST else 2**64 - 1 for s in (a, b))
-    return tuple(s[:np.searchsorted(s, np.uint64(upto), side="right")] for s in (a, b))
-
-
-def likeness(a: np.ndarray, b: np.ndarray, scale: int = SCALE) -> float:
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """Estimated share of common shingles among all shingles of two documents."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    a, b = _common_range(a, b, scale)
     common = len(np.intersect1d(a, b, assume_unique=True))
     return common / (len(a) + len(b) - common)
 
 
-def containment(a: np.ndarray, b: np.ndarray, scale: int = SCALE) -> float:
-    """Estimated share of the shingles of `a` that `b` holds too; 0 if none of `a` is in reach."""
+def containment(a: np.ndarray, b: np.ndarray) -> float:
+    """Estimated share of the shingles of `a` that `b` holds too."""
     if not len(a):
         return 1.0
-    a, b = _common_range(a, b, scale)
-    return len(np.intersect1d(a, b, assume_unique=True)) / max(1, len(a))
+    return len(np.intersect1d(a, b, assume_unique=True)) / len(a)
 
 
 def to_text(hashes: np.ndarray) -> str:
