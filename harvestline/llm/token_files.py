@@ -7,7 +7,8 @@ carry column and offset indexes: a read of `n_tokens` touches no id page, and a
 doc_id skips row groups and pages.
 
 Defined cases: null text is empty and yields only the end id; rows with a null doc_id come
-first; rows that share a doc_id are ordered by text, nulls first, and split like any others; repeated
+first; rows that share a doc_id are ordered by text, nulls first, and split like any others if their texts
+begin differently; repeated
 rows are written as often as they occur; no rows give no files with rows. Only doc_id and text
 are read, so other columns may have any name.
 """
@@ -30,6 +31,7 @@ SCHEMA = "doc_id long, shard int, shard_start long, n_tokens int, ids array<int>
 ROW_GROUP_BYTES = 64 << 20
 PAGE_BYTES = 256 << 10
 END_ID = 0
+KEY_CHARS = 16           # characters of a text that tell ranges of one doc_id apart
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
@@ -49,8 +51,9 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterat
 def write_tokens(docs: DataFrame, target: str, path: str, end_id: int = END_ID) -> None:
     """Encode `text` of every document, append `end_id`, write in ascending doc_id order."""
     bound_batches(docs.sparkSession)
+    # range bounds are sampled keys on the driver: of a text they take its beginning only
     rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-            .repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text"))
+            .repartitionByRange("doc_id", F.left("text", F.lit(KEY_CHARS))).sortWithinPartitions("doc_id", "text"))
     encoded = rows.mapInArrow(lambda batches: _encode(batches, path, end_id), SCHEMA)
     (encoded.write.option("parquet.block.size", ROW_GROUP_BYTES)
      .option("parquet.page.size", PAGE_BYTES)
