@@ -42,6 +42,7 @@ SPACES = " \t\n\x0b\x0c\r"
 CHUNK = 48              # rows one auction spans
 SEGMENT_ROWS = 2_048    # rows and characters of one segment
 SEGMENT_CHARS = 1 << 20
+KEY_CHARS = 16          # characters of a role or text that tell ranges of one turn apart
 FAR = 1 << 60           # price of a node without a way to the sink
 
 # States of the pattern: nothing read, `s` read, `u` read last, `a` read last.
@@ -409,7 +410,9 @@ def repair(rows: DataFrame, scratch: Scratch, most_rows: int = SEGMENT_ROWS, mos
     ids = f"conv_id {kind.simpleString()}, "
     # a null turn sorts first by itself; texts break ties last
     order = ["conv_id", "turn", "role", "text"]
-    sorted_rows = judged(plain).repartitionByRange(*order).sortWithinPartitions(*order)
+    # range bounds are sampled keys on the driver: beginnings keep them small and in the same order
+    bounds = ["conv_id", "turn", *[F.left(c, F.lit(KEY_CHARS)) for c in ("role", "text")]]
+    sorted_rows = judged(plain).repartitionByRange(*bounds).sortWithinPartitions(*order)
     segments = scratch.write(sorted_rows.mapInArrow(lambda b: _segments(b, arrow, most_rows, most_chars), ids + SEGMENT_DDL), "segments")
     whole = segments.where("whole").withColumns({"ends": F.array(*map(F.lit, AT_END)).cast("array<long>"), "last": F.lit(True)})
     cut = segments.where("NOT whole")
