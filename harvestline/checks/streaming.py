@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -12,7 +12,7 @@ from harvestline.plans import gold
 from harvestline.session import scratch_path
 from harvestline.sources import bindings, readers, sinks
 from harvestline.sources.bindings import PERIOD_BUDGET_USD
-from harvestline.streaming import approvals, feeds, joined, views
+from harvestline.streaming import approvals, asof, feeds, joined, views
 
 
 def _stream(t: Tables, feed: str):
@@ -168,6 +168,29 @@ def stream_approvals(t: Tables):
         "po_id", "period_ym", "approved", "balance_after")
 
 
+@query("stream_asof_change", CHECKS["asof_each_row"], ROUNDED["asof_each_row"])
+def stream_asof_change(t: Tables):
+    """Prices in two deliveries, the later half first; a beat under a key of its own moves the watermark on."""
+    feed = scratch_path(t.spark, "prices-feed")
+    prices = t.commodity_prices.select("event_id", "input_key", "event_ts", "price_usd")
+    half = timing.instant_like(prices, "event_ts", datetime(2024, 1, 16))
+    sinks.append_sink(prices.where(F.col("event_ts") >= half), feed)
+    sinks.append_sink(prices.where(F.col("event_ts") < half), feed)
+    kinds = {c: prices.schema[c].dataType for c in prices.columns}
+    beat = t.spark.range(1).select(*[
+        F.lit(v).cast(kinds[c]).alias(c) for c, v in (
+            ("event_id", "-1"), ("input_key", "-1"), ("event_ts", datetime(2100, 1, 1)), ("price_usd", None))])
+    out = scratch_path(t.spark, "asof-changes")
+    for late in (False, True):
+        if late:
+            sinks.append_sink(beat, feed)
+        source = readers.stream_source(t.spark, feed, prices.schema)
+        changed = asof.stream_asof_change(source, "input_key", "event_ts", "price_usd", timedelta(hours=1),
+                                          lateness="60 days")
+        feeds.append_to(changed, out, f"{out}-checkpoint").awaitTermination()
+    return t.spark.read.schema(changed.schema).parquet(out)
+
+
 def _order_views(t: Tables) -> joined.OrderViews:
     """Orders, receipts and invoices in three deliveries each, read as three moving feeds."""
     out, sources = scratch_path(t.spark, "order-views"), {}
