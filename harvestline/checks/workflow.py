@@ -9,6 +9,8 @@ from harvestline.checks.registry import VIEWS, Tables, query, sql_id
 from harvestline.functions import timing
 from harvestline.operators import aggregates
 from harvestline.plans import workflow
+from harvestline.plans.steps import StepLog
+from harvestline.session import scratch_path
 from harvestline.sources.bindings import AS_OF_EVENTS, AS_OF_MAIL, PERIOD_BUDGET_USD
 
 VIEWS["rfq_todo"] = """
@@ -269,16 +271,11 @@ def invoice_candidates(t: Tables):
     return workflow.invoice_candidates(t.po_drafts, t.invoice_reconciliations)
 
 
-@query("p2p_cycle")
-def p2p_cycle(t: Tables):
-    """Rows per table and status after one full cycle."""
+def cycle_tables(t: Tables) -> dict:
+    """The state tables of one cycle; their keys are text, as the steps make them."""
     text_keys = ("sku", "thread_id", "supplier_id", "po_id", "recommended_supplier_id",
                  "email_id", "ledger_id", "reconciliation_id", "application_id",
                  "out_sku", "out_supplier")
-
-    def stringly(df):
-        return df.withColumns({c: F.col(c).cast("string") for c in df.columns if c in text_keys})
-
     invoices = t.invoice_reconciliations.withColumns({
         "expected_amount_usd": F.lit(None).cast("double"),
         "variance_usd": F.lit(None).cast("double"),
@@ -290,13 +287,27 @@ def p2p_cycle(t: Tables):
         "budget_ledger": t.budget_ledger, "invoice_reconciliations": invoices,
         "supplier_applications": t.supplier_applications.drop("region"),
     }
-    after = workflow.p2p_cycle({n: stringly(df) for n, df in tables.items()}, AS_OF_EVENTS)
+    return {n: df.withColumns({c: F.col(c).cast("string") for c in df.columns if c in text_keys})
+            for n, df in tables.items()}
+
+
+def _cycle_counts(after: dict):
+    """Rows per table and status after a cycle."""
     counts = aggregates.row_counts(after)
-    statuses = [
-        after[n].groupBy("status").agg(F.count(F.lit(1)).alias("n")).select(
-            F.concat_ws(":", F.lit(n), F.col("status")).alias("table_name"), "n")
-        for n in ("po_drafts", "invoice_reconciliations", "supplier_applications")
-    ]
-    for part in statuses:
-        counts = counts.unionByName(part)
+    for n in ("po_drafts", "invoice_reconciliations", "supplier_applications"):
+        counts = counts.unionByName(after[n].groupBy("status").agg(F.count(F.lit(1)).alias("n")).select(
+            F.concat_ws(":", F.lit(n), F.col("status")).alias("table_name"), "n"))
     return counts
+
+
+@query("p2p_cycle")
+def p2p_cycle(t: Tables):
+    return _cycle_counts(workflow.p2p_cycle(cycle_tables(t), AS_OF_EVENTS))
+
+
+@query("p2p_cycle_resumed")
+def p2p_cycle_resumed(t: Tables):
+    """The second run of a cycle whose steps are all committed: it reads what the first one made."""
+    log = StepLog(t.spark, scratch_path(t.spark, "cycles"), "seed")
+    workflow.p2p_cycle(cycle_tables(t), AS_OF_EVENTS, steps=log)
+    return _cycle_counts(workflow.p2p_cycle(cycle_tables(t), AS_OF_EVENTS, steps=log))

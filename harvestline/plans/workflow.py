@@ -6,8 +6,9 @@ whole backlog. Ids are digests of their inputs, so a rerun repeats them.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from datetime import datetime
+from functools import cache
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -17,6 +18,7 @@ from harvestline import constants, schemas
 from harvestline.functions import numbers, status, text, timing
 from harvestline.operators import budget, joins, latest, quality, state
 from harvestline.operators.quality import Rule
+from harvestline.plans.steps import StepLog
 from harvestline.session import cut_lineage
 
 
@@ -329,8 +331,8 @@ def rejected_applications(payloads: DataFrame) -> DataFrame:
 # ---- one cycle --------------------------------------------------------------------
 
 
-def p2p_cycle(tables: Mapping[str, DataFrame], as_of: datetime, *,
-              near: Column | None = None) -> dict[str, DataFrame]:
+def p2p_cycle(tables: Mapping[str, DataFrame], as_of: datetime, *, near: Column | None = None,
+              steps: StepLog | None = None) -> dict[str, DataFrame]:
     """All steps in order over one set of state tables; returns the new versions.
 
     Needs recommendations, email_outbox, email_inbox, po_drafts, budget_ledger,
@@ -338,40 +340,49 @@ def p2p_cycle(tables: Mapping[str, DataFrame], as_of: datetime, *,
     audit row per row a step handled. What a step makes is written to shared storage once
     and added to the rows that stay, so neither is computed or written again. `near` tells
     which applications come from countries in reach; unknown counts half.
+
+    `steps` is the log of this cycle. A cycle that was cut off and is run again over the same
+    tables and `as_of` with the same log reads what its committed steps made and goes on with
+    the first one that is missing. Without a log nothing outlives the call's scratch.
     """
     out = dict(tables)
     logs: list[DataFrame] = []
 
-    def made(name: str, df: DataFrame) -> DataFrame:
-        return cut_lineage(df, f"cycle-{name}")
+    def made(name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        return cut_lineage(build(), f"cycle-{name}") if steps is None else steps.once(name, build)
 
     def log(agent: str, rows: DataFrame, ref: str, result: str) -> None:
         logs.append(state.run_log(rows, agent, timing.resolve(as_of), input_ref=F.col(ref),
                                   output_ref=F.col(result)))
 
-    asked = made("email_outbox", rfq_outbox_rows(
+    asked = made("email_outbox", lambda: rfq_outbox_rows(
         rfq_candidates(tables["recommendations"], tables["email_outbox"], as_of), as_of))
     outbox = out["email_outbox"] = tables["email_outbox"].unionByName(asked)
     log("negotiator", asked, "email_id", "thread_id")
 
     mail = tables["email_inbox"]
-    read = made("email_inbox", inbound_extract(mail.where("NOT coalesce(processed, false)")))
+    read = made("email_inbox", lambda: inbound_extract(mail.where("NOT coalesce(processed, false)")))
     inbox = out["email_inbox"] = mail.where("processed").unionByName(read)
     log("negotiator", read, "email_id", "thread_id")
 
-    new_drafts = made("po_drafts", po_drafts(
+    new_drafts = made("new_drafts", lambda: po_drafts(
         po_candidates(inbox, outbox, tables["po_drafts"]), tables["recommendations"], as_of))
-    gate = budget_gate(tables["po_drafts"].unionByName(new_drafts), tables["budget_ledger"], as_of)
-    out["budget_ledger"] = tables["budget_ledger"].unionByName(made("budget_ledger", gate.ledger_rows))
-    drafts = out["po_drafts"] = made("po_drafts", gate.drafts)
 
-    judged = made("invoice_reconciliations", reconcile(tables["invoice_reconciliations"], drafts))
+    @cache
+    def gate() -> GateResult:
+        return budget_gate(tables["po_drafts"].unionByName(new_drafts), tables["budget_ledger"], as_of)
+
+    entries = made("budget_ledger", lambda: gate().ledger_rows)
+    out["budget_ledger"] = tables["budget_ledger"].unionByName(entries)
+    drafts = out["po_drafts"] = made("po_drafts", lambda: gate().drafts)
+
+    judged = made("invoice_reconciliations", lambda: reconcile(tables["invoice_reconciliations"], drafts))
     out["invoice_reconciliations"] = state.state_update(
         tables["invoice_reconciliations"], judged, "reconciliation_id",
         ["expected_amount_usd", "variance_usd", "variance_pct", "status", "agent_notes"])
     log("invoice_reconciler", judged, "reconciliation_id", "status")
 
-    scored = made("supplier_applications", onboard_score(tables["supplier_applications"], near=near))
+    scored = made("supplier_applications", lambda: onboard_score(tables["supplier_applications"], near=near))
     out["supplier_applications"] = state.state_update(
         tables["supplier_applications"], scored, "application_id",
         ["status", "score", "agent_notes"])
