@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 from harvestline.checks.registry import CHECKS, ROUNDED, Tables, query
 from harvestline.functions import timing
+from harvestline.operators import aggregates
 from harvestline.plans import gold
 from harvestline.session import scratch_path
 from harvestline.sources import bindings, readers, sinks
 from harvestline.sources.bindings import PERIOD_BUDGET_USD
-from harvestline.streaming import approvals, asof, feeds, joined, views
+from harvestline.streaming import approvals, asof, feeds, joined, recent, views
 
 
 def _stream(t: Tables, feed: str):
@@ -191,6 +192,34 @@ def stream_asof_change(t: Tables):
     return t.spark.read.schema(changed.schema).parquet(out)
 
 
+def _in_halves(t: Tables, feed: str, middle: datetime):
+    """A feed in two deliveries, the later half first, one file a batch."""
+    table, folder = getattr(t, feed), scratch_path(t.spark, f"{feed}-halves")
+    late = F.col("event_ts") < timing.instant_like(table, "event_ts", middle)
+    for part in (~late, late):
+        sinks.append_sink(table.where(part).repartition(2), folder)
+    return readers.stream_source(t.spark, folder, table.schema, max_files=1)
+
+
+@query("stream_last_n", CHECKS["last_n_samples"], ROUNDED["last_n_samples"])
+def stream_last_n(t: Tables):
+    out = scratch_path(t.spark, "recent-prices")
+    kept = recent.RecentSamples(t.spark, out, ["input_key"], 60, every=2)
+    prices = _in_halves(t, "commodity_prices", datetime(2024, 1, 16)).select(
+        "event_id", "input_key", "event_ts", "price_usd")
+    kept.follow(prices, f"{out}-checkpoint").awaitTermination()
+    return kept.read()
+
+
+@query("stream_sparkline", CHECKS["sparkline_stats"], ROUNDED["sparkline_stats"])
+def stream_sparkline(t: Tables):
+    out = scratch_path(t.spark, "recent-readings")
+    kept = recent.RecentSamples(t.spark, out, ["room_id", "sensor_type"], 40, every=2)
+    readings = _in_halves(t, "iot_sensor_events", datetime(2024, 1, 16)).where("value IS NOT NULL")
+    kept.follow(readings, f"{out}-checkpoint").awaitTermination()
+    return aggregates.sparkline_stats(kept.read())
+
+
 def _order_views(t: Tables) -> joined.OrderViews:
     """Orders, receipts and invoices in three deliveries each, read as three moving feeds."""
     out, sources = scratch_path(t.spark, "order-views"), {}
