@@ -115,9 +115,12 @@ def write_shards(docs: DataFrame, target: str, key: str = "doc_id", text: str =
     """
     scratch = Scratch(docs.sparkSession, "sharding")
     folder = folder_column(docs.columns)
-    rows = scratch.write(_numbered(docs, key, text, F.struct(*docs.columns).alias("row")), "rows")
+    numbered = _numbered(docs, key, text, F.struct(*docs.columns).alias("row"))
+    # texts are on disk twice and in the shuffle once: a denser codec than the default pays
+    numbered.write.option("compression", "zstd").parquet(scratch.path("rows"))
+    rows = scratch.read("rows", numbered)
     (_placed(rows, limit, scratch).select("row.*", F.concat(F.lit("b"), "prefix").alias(folder))
-     .repartition(folder).write.partitionBy(folder).parquet(target))
+     .repartition(folder).write.option("compression", "zstd").partitionBy(folder).parquet(target))
     scratch.drop("rows")
 
 
