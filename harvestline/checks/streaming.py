@@ -13,7 +13,7 @@ from harvestline.plans import gold
 from harvestline.session import scratch_path
 from harvestline.sources import bindings, readers, sinks
 from harvestline.sources.bindings import PERIOD_BUDGET_USD
-from harvestline.streaming import approvals, asof, feeds, joined, recent, views
+from harvestline.streaming import approvals, asof, feeds, ids, joined, recent, views
 
 
 def _stream(t: Tables, feed: str):
@@ -58,6 +58,20 @@ def stream_dedup_bounded(t: Tables):
     return _appended(t, once.drop("event_ts"), "stream-dedup-bounded")
 
 
+@query("stream_dedup_stored", "SELECT event_id, input_key, event_ts, price_usd FROM commodity_prices")
+def stream_dedup_stored(t: Tables):
+    """The feed in two deliveries and then whole again; ids seen lie in files behind Bloom filters."""
+    prices = t.commodity_prices.select("event_id", "input_key", "event_ts", "price_usd")
+    folder, out = scratch_path(t.spark, "prices-again"), scratch_path(t.spark, "prices-once")
+    half = timing.instant_like(prices, "event_ts", datetime(2024, 1, 16))
+    for part in (prices.where(F.col("event_ts") >= half), prices.where(F.col("event_ts") < half), prices):
+        sinks.append_sink(part.coalesce(1), folder)
+    source = readers.stream_source(t.spark, folder, prices.schema, max_files=1)
+    seen = ids.SeenIds(t.spark, f"{out}-ids", per_part=1_000_000, every=2)
+    seen.follow(source, out, f"{out}-checkpoint").awaitTermination()
+    return sinks.read_batches(t.spark, out).drop("batch_id")
+
+
 @query("stream_tumbling", """
     SELECT sku, hour_ts, trays, R(grams_req) AS grams_req FROM gd_demand_1h""", round_to=3)
 def stream_tumbling(t: Tables):
