@@ -14,7 +14,8 @@ one representative with a weight.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components link with
 nothing; vectors of different lengths never link; copies link with each other; repeated rows
-of one vec_id count as separate vectors in n_links.
+of one vec_id count as separate vectors in n_links; float and double components are both compared in
+double precision; other columns of the table are not read.
 """
 
 from __future__ import annotations
@@ -35,7 +36,15 @@ THRESHOLD = 0.95
 MISS = 1e-4        # chance that a pair exactly at the threshold shares no cell
 BOUND = 5.0        # confidence bounds in standard deviations
 CELL_LIMIT = 2048
-_CODED = "vec_id long, weight long, dim int, vector array<float>, code binary, factor float"
+
+
+def _coded_columns(element: str) -> str:
+    """Columns of coded vectors; components keep the type they came in."""
+    return f"vec_id long, weight long, dim int, vector array<{element}>, code binary, factor float"
+
+
+def _element(vectors: DataFrame) -> str:
+    return vectors.schema["vector"].dataType.elementType.simpleString()
 
 
 @functools.cache
@@ -63,6 +72,8 @@ def _by_dim(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
+    # by a power of two first, which is exact: squares of very large or small doubles leave their range
+    vectors = np.ldexp(vectors, -np.frexp(np.abs(vectors).max(1, initial=0))[1][:, None])
     return vectors / np.sqrt((vectors * vectors).sum(1))[:, None]
 
 
@@ -89,7 +100,8 @@ def coded(vectors: DataFrame) -> DataFrame:
         & F.exists("vector", lambda x: x != 0))
     same = usable.groupBy("vector").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("weight"))
     bound_batches(vectors.sparkSession)
-    return same.select("vec_id", "weight", F.size("vector").alias("dim"), "vector").mapInArrow(_codes, _CODED)
+    return same.select("vec_id", "weight", F.size("vector").alias("dim"), "vector").mapInArrow(
+        _codes, _coded_columns(_element(vectors)))
 
 
 def _keys(unit: np.ndarray, bits: int, tables: int) -> np.ndarray:
@@ -173,10 +185,12 @@ def _links(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.R
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of `vectors` (vec_id, vector)."""
+    if _element(vectors) not in ("float", "double"):
+        vectors = vectors.withColumn("vector", F.col("vector").cast("array<double>"))
     scratch = Scratch(vectors.sparkSession, "embeddings")
     reps = scratch.write(coded(vectors), "coded")
     bits, tables = table_plan(reps.count(), threshold)
-    cells = reps.mapInArrow(lambda b: _cells(b, bits, tables), f"cell int, key int, {_CODED}, keys array<int>")
+    cells = reps.mapInArrow(lambda b: _cells(b, bits, tables), f"cell int, key int, {_coded_columns(_element(vectors))}, keys array<int>")
     cells = split_cells(cells, ["cell", "dim", "key"], "vec_id", CELL_LIMIT)
     order = ["cell", "dim", "key", "lo", "hi"]
     found = scratch.write(
@@ -196,7 +210,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
 
 def query(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("vector")))
+        F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("vector")))
 
 
 SQL = """

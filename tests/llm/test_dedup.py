@@ -200,6 +200,20 @@ def test_embeddings_equal_brute_force(spark, monkeypatch):
     assert got == slow_embeddings(rows)
 
 
+def test_double_components_keep_their_precision(spark):
+    rng = np.random.default_rng(11)
+    base = rng.standard_normal(16)
+    rows = [(i, (base * scale + 1e-12 * abs(scale) * rng.standard_normal(16)).tolist())
+            for i, scale in enumerate([1.0, 1e-200, 1e200, -1.0, 1e-310, 1e307])]
+    rows += [(10, rng.standard_normal(16).tolist()), (11, [5e-324] + [0.0] * 15), (12, [1e308] + [0.0] * 15)]
+    df = spark.createDataFrame(rows, "vec_id long, vector array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect()}
+    assert {i: got[i] for i in (0, 1, 2, 4, 5)} == {i: (4, 0) for i in (0, 1, 2, 4, 5)}
+    assert got[3] == (0, 3) and got[10] == (0, 10) and got[11] == (1, 11) and got[12] == (1, 11)
+    whole = spark.createDataFrame([(1, [3, 4]), (2, [6, 8]), (3, [-4, 3])], "vec_id long, vector array<int>")
+    assert [r.n_links for r in embedding_dedup.near_duplicates(whole).orderBy("vec_id").collect()] == [1, 1, 0]
+
+
 def test_no_embeddings(spark):
     empty = spark.createDataFrame([], "vec_id long, vector array<float>")
     assert embedding_dedup.near_duplicates(empty).collect() == []
