@@ -6,14 +6,15 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from harvestline.checks import gold as gold_views
 from harvestline.checks.registry import CHECKS, ROUNDED, Tables, query
 from harvestline.functions import timing
 from harvestline.operators import aggregates
-from harvestline.plans import gold
-from harvestline.session import scratch_path
+from harvestline.plans import gold, silver
+from harvestline.session import cut_lineage, scratch_path
 from harvestline.sources import bindings, readers, sinks
 from harvestline.sources.bindings import PERIOD_BUDGET_USD
-from harvestline.streaming import approvals, asof, feeds, ids, joined, recent, views
+from harvestline.streaming import approvals, asof, dashboard, feeds, ids, joined, recent, views
 
 
 def _stream(t: Tables, feed: str):
@@ -257,3 +258,32 @@ def stream_po_lines(t: Tables):
 @query("stream_invoice_matching", CHECKS["gd_invoice_matching"], ROUNDED["gd_invoice_matching"])
 def stream_invoice_matching(t: Tables):
     return _order_views(t).matches.read()
+
+
+@query("stream_kpis", CHECKS["kpi_summary"], ROUNDED["kpi_summary"])
+def stream_kpis(t: Tables):
+    """Five feeds in two deliveries: older states first (for stock last), then what holds at `as_of`."""
+    at, hour = timing.instant_like, timedelta(hours=1)
+    stock, advice, drafts, inbox = (t.inventory_events, gold_views.recommended(t), t.po_drafts, t.email_inbox)
+    rows = F.col("event_ts") < at(stock, "event_ts", datetime(2024, 1, 16))
+    advice = cut_lineage(advice.select("recommendation_id", "created_ts", "decision", "total_cost_usd"), "advice")
+    drafts = drafts.select(F.col("po_id").cast("string").alias("po_id"), F.col("created_ts").alias("changed_ts"), "status")
+    inbox = inbox.select(F.col("email_id").cast("string").alias("email_id"), F.col("received_ts").alias("changed_ts"), "processed")
+    prices = t.commodity_prices.where("price_usd > 0").select("event_id", "event_ts")
+    deliveries = {
+        "inventory": [stock.where(~rows), stock.where(rows)],
+        "recommendations": [advice.withColumn("created_ts", F.col("created_ts") - F.lit(hour)), advice],
+        "drafts": [drafts.withColumns({"changed_ts": F.col("changed_ts") - F.lit(hour), "status": F.lit("DRAFT")}), drafts],
+        "inbox": [inbox.withColumns({"changed_ts": F.col("changed_ts") - F.lit(hour), "processed": F.lit(False)}), inbox],
+        "prices": [prices],
+    }
+    sources, out = {}, scratch_path(t.spark, "dashboard")
+    for feed, parts in deliveries.items():
+        folder = scratch_path(t.spark, feed)
+        for part in parts:
+            sinks.append_sink(part.coalesce(1), folder)
+        sources[feed] = readers.stream_source(t.spark, folder, parts[-1].schema, max_files=1)
+    sources["inventory"] = silver.validated("inventory_events", sources["inventory"])
+    board = dashboard.Dashboard(t.spark, out, t.dim_sku, every=2)
+    board.follow(f"{out}-checkpoint", lambda: bindings.AS_OF_EVENTS, **sources).awaitTermination()
+    return board.read(bindings.AS_OF_EVENTS)

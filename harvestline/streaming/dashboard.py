@@ -35,7 +35,7 @@ _KINDS = {"fact": "string", "at": "timestamp", "n": "bigint", "micros": "decimal
 # feed: its key, the time that orders versions of a key, and what breaks ties of that time
 KEYED = {
     "inventory": (["sku", "room_id"], "event_ts", ["event_id"]),
-    "recommendations": (["rec_id"], "created_ts", ["decision", "total_cost_usd"]),
+    "recommendations": (["recommendation_id"], "created_ts", ["decision", "total_cost_usd"]),
     "drafts": (["po_id"], "changed_ts", ["status"]),
     "inbox": (["email_id"], "changed_ts", ["processed"]),
 }

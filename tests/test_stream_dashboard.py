@@ -13,7 +13,7 @@ from tests.test_streaming import drop_file, rows_of, stream
 T0 = datetime(2024, 1, 1)
 SCHEMAS = {
     "inventory": "event_id string, event_ts timestamp, sku string, room_id string, on_hand_g double",
-    "recommendations": "rec_id string, created_ts timestamp, decision string, total_cost_usd double",
+    "recommendations": "recommendation_id string, created_ts timestamp, decision string, total_cost_usd double",
     "drafts": "po_id string, changed_ts timestamp, status string",
     "inbox": "email_id string, changed_ts timestamp, processed boolean",
     "prices": "event_id string, event_ts timestamp",
