@@ -9,13 +9,14 @@ import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from harvestline.constants import FEATURES
 from harvestline.functions import scoring
 from harvestline.operators import aggregates, latest
+from harvestline.plans import boosting
 
 SEED = 7
 
@@ -49,8 +50,12 @@ class Trained(NamedTuple):
 
 def split(labelled: DataFrame, test_share: float = 0.2) -> tuple[DataFrame, DataFrame]:
     """Split by a hash of the row, so that a recomputed partition splits the same way."""
-    bucket = F.pmod(F.xxhash64(*FEATURES, F.lit(SEED)), F.lit(1000)) / 1000.0
-    return labelled.where(bucket >= test_share), labelled.where(bucket < test_share)
+    return labelled.where(~held_out(test_share)), labelled.where(held_out(test_share))
+
+
+def held_out(test_share: float = 0.2) -> Column:
+    """Whether a row of features in model order and type is in the test part."""
+    return F.pmod(F.xxhash64(*FEATURES, F.lit(SEED)), F.lit(1000)) / 1000.0 < test_share
 
 
 def fit(labelled: DataFrame, *, trees: int = 250, depth: int = 4, rate: float = 0.05) -> Trained:
@@ -109,6 +114,17 @@ def save_version(model: PipelineModel, root: str, version: int) -> str:
     return path
 
 
+def save_trees(trees: DataFrame, root: str, version: int) -> str:
+    """Write a table of boosted trees as a model version; an existing version is never overwritten."""
+    path = f"{root}/v{version}"
+    trees.coalesce(1).write.parquet(path)
+    return path
+
+
+def load_trees(spark: SparkSession, root: str, name: str, alias: str = "prod") -> DataFrame:
+    return spark.read.schema(boosting.NODES).parquet(f"{root}/v{resolve_alias(spark, root, name, alias)}")
+
+
 def move_alias(spark: SparkSession, root: str, name: str, alias: str, version: int) -> None:
     """Point an alias at a version by appending to the alias table."""
     moves = aliases(spark, root)

@@ -31,13 +31,26 @@ class StepLog:
 
     def once(self, step: str, build: Callable[[], DataFrame]) -> DataFrame:
         """The table of a step; built, written and committed only if no run before did."""
+        if step not in self.committed():
+            return self.again(step, build())
+        return self.table(step)
+
+    def table(self, step: str) -> DataFrame:
+        """The table of a step that is done."""
+        return self.spark.read.parquet(f"{self.path}/{step}")
+
+    def again(self, step: str, built: DataFrame) -> DataFrame:
+        """Write the table of a step anew and commit it, whatever a run before left."""
         marker, files = self._at(f"_done/{step}")
-        target = f"{self.path}/{step}"
-        if not files.exists(marker):
-            build().write.mode("overwrite").parquet(target)
-            files.mkdirs(marker.getParent())
-            files.createNewFile(marker)
-        return self.spark.read.parquet(target)
+        built.write.mode("overwrite").parquet(f"{self.path}/{step}")
+        files.mkdirs(marker.getParent())
+        files.createNewFile(marker)
+        return self.table(step)
+
+    def empty(self, step: str) -> None:
+        """Delete the table of a step that no later step reads. It stays committed."""
+        folder, files = self._at(step)
+        files.delete(folder, True)
 
     def forget(self) -> None:
         """Delete the log, when the results have been applied."""
