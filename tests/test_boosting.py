@@ -4,6 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from harvestline.constants import FEATURES
 from harvestline.plans import boosting, model
 from harvestline.plans.steps import StepLog
 from harvestline.session import scratch_path
@@ -124,3 +125,16 @@ def test_versions_of_tree_tables(spark):
     assert model.load_trees(spark, root, "m").first().value == 0.5
     model.move_alias(spark, root, "m", "prod", 1)
     assert model.load_trees(spark, root, "m").first().value == 0.25
+
+
+def test_the_pipeline_model_survives_saving(spark):
+    row = {name: F.pmod(F.xxhash64("id", F.lit(i)), F.lit(50)).cast("double") for i, name in enumerate(FEATURES)}
+    rows = spark.range(300).withColumns(row).withColumn("label", F.col(FEATURES[0]) / 50)
+    trained, root = model.fit(rows, trees=2, depth=2, rate=0.3), scratch_path(spark, "models")
+    assert 0 < trained.test.count() < 150
+    model.save_version(trained.model, root, 1)
+    model.move_alias(spark, root, "m", "prod", 1)
+    loaded = model.load_alias(spark, root, "m")
+    first, second = (model.predict(m, rows).orderBy("id").collect() for m in (trained.model, loaded))
+    assert first == second
+    assert model.evaluate(loaded, trained.test).first().mae < 0.2
