@@ -5,11 +5,13 @@ Tree 0 is a single leaf, the mean label; each further tree fits what the trees b
 and its values are already multiplied by the learning rate. Rows of the table are nodes: a row goes
 right where its feature exceeds the threshold, and a leaf is its own left and right child.
 
-Fitting. Every feature is cut once into at most `bins` ranges; Spark's tree learner sees the ranges.
+Fitting. Every feature is cut once into at most `bins` ranges. A tree grows by one job a level, over rows
+cached as arrays of ranges: tasks tally rows and left-over sums by node, feature and range, as Spark's tree
+learner does, whose splits these are (it looks for ranges in a sample of 10,000 rows, here all count).
 After each block of trees the trees and the prediction of every row are tables of a step log, so a fit
 that was cut off goes on with the first block the log lacks. What is left over is taken in steps of
 `GRAIN`: sums of it are exact whatever the order of tasks, so a rerun grows the same trees. The squares
-the learner sums stay exact up to some 2 million rows of the largest possible error, and many more of
+that are summed stay exact up to some 2 million rows of the largest possible error, and many more of
 usual ones.
 
 Defined cases: rows without a label are not fitted but get a prediction; a null feature counts as below
@@ -19,17 +21,19 @@ every threshold, NaN as above; without any labelled row there is no model (Value
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from typing import NamedTuple
 
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark import RDD, StorageLevel
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from harvestline.constants import FEATURES
 from harvestline.plans.steps import StepLog
 
-SEED = 7
 GRAIN = 2.0 ** -16
 # `input` counts the features from 0; in a leaf it is -1 and the threshold is null
 NODES = "tree int, node int, depth int, input int, threshold double, left int, right int, value double"
@@ -61,43 +65,183 @@ def _ranges(features: list[str], cuts: list[list[float]]) -> Column:
     return F.array(*[passed(c, ends) for c, ends in zip(features, cuts, strict=True)])
 
 
-def _nodes(model: DecisionTreeRegressionModel, number: int, cuts: list[list[float]],
-           rate: float) -> list[tuple]:
-    """A fitted tree as rows of the table, numbered from its root down."""
-    rows: list[tuple] = []
-
-    def visit(node, depth: int) -> int:
-        at = len(rows)
-        value = rate * node.prediction()
-        rows.append((number, at, depth, -1, None, at, at, value))
-        if node.subtreeDepth():
-            split = node.split()
-            found = split.featureIndex()
-            left, right = visit(node.leftChild(), depth + 1), visit(node.rightChild(), depth + 1)
-            end = cuts[found][int(split.threshold())]
-            rows[at] = (number, at, depth, found, end, left, right, value)
+class _Tree:
+    """A tree while it grows: nodes in the order they are made, the right child next to the left one."""
+
+    def __init__(self) -> None:
+        self.input, self.cut, self.left, self.value = [-1], [0], [0], [0.0]
+
+    def walk(self, codes: np.ndarray, steps: int) -> np.ndarray:
+        """Node that each row of ranges stands in after so many steps down."""
+        at, rows = np.zeros(len(codes), np.int64), np.arange(len(codes))
+        inputs, cuts, left = np.array(self.input), np.array(self.cut), np.array(self.left)
+        for _ in range(steps):
+            right = codes[rows, inputs[at]] > cuts[at]
+            at = np.where(inputs[at] >= 0, left[at] + right, at)
         return at
 
-    visit(model._call_java("rootNode"), 0)
-    return rows
+    def split(self, node: int, found: int, cut: int, values: tuple[float, float]) -> None:
+        self.input[node], self.cut[node], self.left[node] = found, cut, len(self.input)
+        for value in values:
+            for held, new in ((self.input, -1), (self.cut, 0), (self.left, 0), (self.value, value)):
+                held.append(new)
+
+    def rows(self, number: int, cuts: list[list[float]], rate: float) -> list[tuple]:
+        """The tree as rows of the table, numbered from its root down; a split whose two leaves are equal
+        is a leaf."""
+        def same(node: int) -> bool:
+            if self.input[node] < 0:
+                return True
+            pair = self.left[node], self.left[node] + 1
+            return all([same(child) for child in pair]) and leaf[pair[0]] == leaf[pair[1]] and \
+                not leaf.update({node: leaf[pair[0]]})
+
+        def visit(node: int, depth: int) -> int:
+            at = len(made)
+            made.append((number, at, depth, -1, None, at, at, rate * leaf[node]))
+            if not same(node):
+                left, right = (visit(self.left[node] + side, depth + 1) for side in (0, 1))
+                found = self.input[node]
+                made[at] = (number, at, depth, found, cuts[found][self.cut[node]], left, right, rate * leaf[node])
+            return at
+
+        leaf, made = dict(enumerate(self.value)), []
+        visit(0, 0)
+        return made
+
+
+def _packed(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[pa.RecordBatch]:
+    """Ranges, labels and predictions of a batch as one row of bytes."""
+    for batch in batches:
+        if batch.num_rows:
+            columns = (batch["ranges"].flatten().to_numpy().astype(kind),
+                       *(batch[c].to_numpy(zero_copy_only=False) for c in ("label", "prediction")))
+            yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns],
+                                             names=["ranges", "label", "prediction"])
+
+
+def _chunk(row: Row, kind: np.dtype) -> tuple:
+    labels, predictions = np.frombuffer(row.label), np.frombuffer(row.prediction)
+    return np.frombuffer(row.ranges, kind).reshape(len(labels), -1), labels, predictions
+
+
+def _rest(labels: np.ndarray, predictions: np.ndarray) -> np.ndarray:
+    """What is left over, in whole steps of `GRAIN`, halves away from zero."""
+    steps = (labels - predictions) / GRAIN
+    whole = np.floor(np.abs(steps))
+    return np.copysign(whole + (np.abs(steps) - whole >= 0.5), steps) * GRAIN
+
+
+def _tally(chunks: Iterator[tuple], tree: _Tree, level: int, open_: list[int], bins: int) -> Iterator[np.ndarray]:
+    """Per open node, feature and range: rows, and sums of what is left over and of its squares."""
+    slots = np.full(len(tree.input), -1)
+    slots[open_] = np.arange(len(open_))
+    total = None
+    for codes, labels, predictions in chunks:
+        if total is None:
+            total = np.zeros((3, codes.shape[1], len(open_) * bins))
+        slot = slots[tree.walk(codes, level)]
+        inside = slot >= 0
+        codes, slot, rest = codes[inside], slot[inside] * bins, _rest(labels, predictions)[inside]
+        for i in range(codes.shape[1]):
+            place = slot + codes[:, i]
+            for k, weights in enumerate((None, rest, rest * rest)):
+                total[k, i] += np.bincount(place, weights, total.shape[2])
+    if total is not None:
+        yield total.reshape(3, total.shape[1], len(open_), bins)
+
+
+def _best_split(stats: np.ndarray, present: list[np.ndarray]) -> tuple | None:
+    """(feature, last range on the left, statistics of the left and right rows) of the first split that
+    takes most off the variance; None if none takes any."""
+    def variance(n, total, squares):
+        return (squares - total * total / n) / n
+
+    best, gain_of_best = None, 0.0
+    for found, ranges in enumerate(present):
+        if len(ranges) < 2:
+            continue
+        left = np.cumsum(stats[:, found], axis=1)
+        whole, left = left[:, -1:], left[:, ranges[:-1]]
+        right = whole - left
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = (variance(*whole) - left[0] / whole[0] * variance(*left)
+                    - right[0] / whole[0] * variance(*right))
+        gain = np.where((left[0] > 0) & (right[0] > 0), gain, -np.inf)
+        at = int(np.argmax(gain))
+        if gain[at] > gain_of_best:
+            best, gain_of_best = (found, int(ranges[at] + ranges[at + 1]) // 2, left[:, at], right[:, at]), gain[at]
+    return best
+
+
+def _fit_tree(chunks: RDD, depth: int, bins: int) -> _Tree:
+    """One tree, level by level. A level is one job: tasks tally their rows, and the sums of all tasks,
+    bounded by nodes, features and ranges, come to the driver."""
+    tree, open_, present = _Tree(), [0], None
+    deep = 2 if chunks.getNumPartitions() > 64 else 1
+    for level in range(max(depth, 1)):
+        stats = chunks.mapPartitions(lambda part, now=(tree, level, open_, bins): _tally(part, *now)).treeReduce(
+            np.add, deep)
+        if present is None:
+            present = [np.flatnonzero(stats[0, i, 0]) for i in range(stats.shape[1])]
+            count, total = stats[:2, 0, 0].sum(axis=1) if stats.shape[1] else (1.0, 0.0)
+            tree.value[0] = float(total / count)
+            if not depth:
+                break
+        grown = []
+        for slot, node in enumerate(open_):
+            if (found := _best_split(stats[:, :, slot], present)) is None:
+                continue
+            sides = found[2:]
+            tree.split(node, *found[:2], tuple(float(total / n) for n, total, _ in sides))
+            for child, (n, total, squares) in zip((tree.left[node], tree.left[node] + 1), sides):
+                if abs((squares - total * total / n) / n) >= np.finfo(float).eps:
+                    grown.append(child)
+        if not grown:
+            break
+        open_ = grown
+    return tree
+
+
+def _after(chunks: Iterator[tuple], tree: _Tree, depth: int, rate: float) -> Iterator[tuple]:
+    values = np.array(tree.value)
+    for codes, labels, predictions in chunks:
+        yield codes, labels, predictions + rate * values[tree.walk(codes, depth)]
 
 
 def _grow(spark: SparkSession, rows: DataFrame, first: int, last: int, cuts: list[list[float]],
           depth: int, bins: int, rate: float) -> tuple[DataFrame, DataFrame]:
-    """Trees `first` to `last` and the rows with the predictions after them."""
-    grown: list[tuple] = []
-    held = rows.persist()
-    now = held.withColumn("inputs", array_to_vector("ranges"))
-    for number in range(first, last + 1):
-        rest = F.round((F.col("label") - F.col("prediction")) / GRAIN) * GRAIN
-        learner = DecisionTreeRegressor(
-            featuresCol="inputs", labelCol="rest", predictionCol="step", maxDepth=depth,
-            maxBins=max(bins, 2), seed=SEED)
-        model = learner.fit(now.where("fitted").select("inputs", rest.alias("rest")))
-        grown += _nodes(model, number, cuts, rate)
-        now = model.transform(now).withColumn(
-            "prediction", F.col("prediction") + rate * F.col("step")).drop("step")
-    return spark.createDataFrame(grown, NODES).coalesce(1), now.drop("inputs")
+    """Trees `first` to `last` and the rows with the predictions after them.
+
+    The fitted rows stay cached as arrays of ranges, with the prediction of the trees so far.
+    """
+    size = max([1, *[len(ends) + 1 for ends in cuts]])
+    kind = np.min_scalar_type(size)
+    now = rows.where("fitted").select("ranges", "label", "prediction").mapInArrow(
+        lambda batches: _packed(batches, kind), "ranges binary, label binary, prediction binary",
+    ).rdd.map(lambda row: _chunk(row, kind)).persist(StorageLevel.MEMORY_AND_DISK)
+    grown: list[_Tree] = []
+    for _ in range(first, last + 1):
+        tree = _fit_tree(now, depth, size)
+        grown.append(tree)
+        before, now = now, now.mapPartitions(lambda part, tree=tree: _after(part, tree, depth, rate)).persist(
+            StorageLevel.MEMORY_AND_DISK)
+        if len(grown) > 1:
+            older.unpersist()
+        older = before
+    older.unpersist()
+    now.unpersist()
+
+    @F.pandas_udf("double")
+    def added(ranges: pd.Series, prediction: pd.Series) -> pd.Series:
+        codes = np.array(ranges.tolist()).reshape(len(ranges), len(cuts))
+        for tree in grown:
+            prediction = prediction + rate * np.array(tree.value)[tree.walk(codes, depth)]
+        return prediction
+
+    nodes = [node for number, tree in enumerate(grown, first) for node in tree.rows(number, cuts, rate)]
+    return (spark.createDataFrame(nodes, NODES).coalesce(1),
+            rows.withColumn("prediction", added("ranges", "prediction")))
 
 
 def fit(labelled: DataFrame, folder: str, run: str, *, fitted: Column | None = None,
@@ -146,7 +290,6 @@ def fit(labelled: DataFrame, folder: str, run: str, *, fitted: Column | None = N
             grown, after = _grow(spark, rows, first, last, cuts, depth, bins, rate)
             log.again(f"trees-{first}-{last}", grown)
             log.again(name, after)
-            rows.unpersist()
             log.empty(latest)
         latest = name
     table = spark.createDataFrame([(0, 0, 0, -1, None, 0, 0, base)], NODES)

@@ -138,3 +138,40 @@ def test_the_pipeline_model_survives_saving(spark):
     first, second = (model.predict(m, rows).orderBy("id").collect() for m in (trained.model, loaded))
     assert first == second
     assert model.evaluate(loaded, trained.test).first().mae < 0.2
+
+
+def learnt(node, cuts, out):
+    """(feature, end, value) from the root down of a tree of Spark's learner."""
+    split = node.split() if node.subtreeDepth() else None
+    out.append((-1, None, node.prediction()) if split is None else
+               (split.featureIndex(), cuts[split.featureIndex()][int(split.threshold())], node.prediction()))
+    if split is not None:
+        learnt(node.leftChild(), cuts, out)
+        learnt(node.rightChild(), cuts, out)
+    return out
+
+
+def test_trees_are_those_of_sparks_learner_in_a_few_jobs_each(spark):
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.regression import DecisionTreeRegressor
+
+    rows = offers(spark, 4000).where("label IS NOT NULL")
+    folder, trees, depth = scratch_path(spark, "boost"), 3, 4
+    spark.sparkContext.setJobGroup("boosting", "fit")
+    fitted = boosting.fit(rows, folder, "r", features=INPUTS, trees=trees, depth=depth, rate=0.3, bins=32, block=trees)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("boosting"))
+    spark.sparkContext.setJobGroup("others", "others")
+    cuts = [list(c) for c in spark.read.parquet(f"{folder}/r/cuts").first().cuts]
+    columns = ["x0", "x1", "x2"]
+    held = spark.read.parquet(f"{folder}/r/input").withColumn("v", array_to_vector(boosting._ranges(columns, cuts)))
+    held = held.withColumn("p", F.lit(spark.read.parquet(f"{folder}/r/base").first().value))
+    for number in range(1, trees + 1):
+        rest = F.round((F.col("label") - F.col("p")) / boosting.GRAIN) * boosting.GRAIN
+        model = DecisionTreeRegressor(featuresCol="v", labelCol="rest", predictionCol="step", maxDepth=depth,
+                                      maxBins=32, seed=7).fit(held.withColumn("rest", rest))
+        found = fitted.trees.where(F.col("tree") == number).orderBy("node").collect()
+        assert [(n.input, n.threshold, n.value) for n in found] == [
+            (i, end, 0.3 * value) for i, end, value in learnt(model._call_java("rootNode"), cuts, [])]
+        held = model.transform(held).withColumn("p", F.col("p") + 0.3 * F.col("step")).drop("step").localCheckpoint()
+    # a job a level, and what the tables of the fit need whatever the number of trees
+    assert jobs <= trees * depth + 40
