@@ -1,5 +1,6 @@
 """Streamed as-of changes against the batch operator: any split, late and shuffled rows, restarts."""
 
+import pickle
 import random
 from datetime import datetime, timedelta
 
@@ -7,7 +8,7 @@ import pytest
 
 from harvestline.operators import asof
 from harvestline.session import scratch_path
-from harvestline.streaming import feeds
+from harvestline.streaming import asof as streamed, feeds
 from harvestline.streaming.asof import stream_asof_change
 from tests.test_streaming import drop_file, rows_of, stream
 
@@ -74,3 +75,64 @@ def test_keys_and_ties_may_be_numbers(spark):
     feeds.append_to(found, out, f"{out}-cp").awaitTermination()
     got = {r.event_id: (r.ref_value, r.pct) for r in spark.read.schema(found.schema).parquet(out).collect()}
     assert got == {9: (None, None), 10: (None, None), 11: (5.0, 1.0)}
+
+
+def test_a_hot_key_is_held_hour_by_hour(spark):
+    """A worker holds some arriving rows, or an hour and a horizon of them, however many wait."""
+    class Held:
+        def __init__(self, kept):
+            self.kept = kept
+
+        def exists(self):
+            return "" in self.kept
+
+        def get(self):
+            return self.kept[""]
+
+        def update(self, value):
+            self.kept[""] = value
+
+        def clear(self):
+            self.kept.clear()
+
+        def getValue(self, key):
+            return self.kept[key]
+
+        def updateValue(self, key, value):
+            self.kept[key] = value
+
+        def removeKey(self, key):
+            del self.kept[key]
+
+    class Handle:
+        def getMapState(self, *_):
+            return Held({})
+
+        getValueState = getMapState
+
+        def registerTimer(self, _):
+            pass
+
+        deleteTimer = registerTimer
+
+    import pandas as pd
+
+    class Watermark:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):
+            return self.ms
+
+    days, step = 20, 30_000_000     # a row every 30 seconds: 120 an hour
+    at = pd.Series(range(0, days * 24 * streamed.SPAN, step), dtype="int64").sample(frac=1, random_state=1)
+    frame = pd.DataFrame({"at": at, "tie": at, "held": at.astype("float64")})
+    key = streamed.AsOf(streamed.SPAN)
+    key.init(Handle())
+    assert list(key.handleInputRows(("k",), iter([frame[:20_000], frame[20_000:]]), Watermark(0))) == []
+    found = list(key.handleExpiredTimer(("k",), Watermark(days * 24 * streamed.SPAN // 1000 + 1), None))
+    assert max(map(len, found)) <= 120 and sum(map(len, found)) == len(at)
+    whole = pd.concat(found)
+    assert (whole["at"].diff().dropna() == step).all()
+    assert (whole["ref"].dropna() == whole["at"][120:] - streamed.SPAN).all() and whole["ref"].isna().sum() == 120
+    assert not key.waiting.kept and len(pickle.loads(key.past.get()[0])[0]) <= 121
