@@ -21,14 +21,14 @@ every threshold, NaN as above; without any labelled row there is no model (Value
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import RDD, StorageLevel
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harvestline.constants import FEATURES
@@ -38,6 +38,9 @@ GRAIN = 2.0 ** -16
 # `input` counts the features from 0; in a leaf it is -1 and the threshold is null
 NODES = "tree int, node int, depth int, input int, threshold double, left int, right int, value double"
 
+CHUNK_COLUMNS = ["ranges", "label", "prediction"]
+CHUNK = ", ".join(f"{c} binary" for c in CHUNK_COLUMNS)
+
 WALKED = ["input", "threshold", "left", "right", "value"]
 PACKED = "input: array<int>, threshold: array<double>, left: array<int>, right: array<int>, value: array<double>"
 
@@ -116,13 +119,19 @@ def _packed(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[pa.Re
         if batch.num_rows:
             columns = (batch["ranges"].flatten().to_numpy().astype(kind),
                        *(batch[c].to_numpy(zero_copy_only=False) for c in ("label", "prediction")))
-            yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns],
-                                             names=["ranges", "label", "prediction"])
+            yield _bytes(columns)
+
 
+def _bytes(columns: Sequence[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns], names=CHUNK_COLUMNS)
 
-def _chunk(row: Row, kind: np.dtype) -> tuple:
-    labels, predictions = np.frombuffer(row.label), np.frombuffer(row.prediction)
-    return np.frombuffer(row.ranges, kind).reshape(len(labels), -1), labels, predictions
+
+def _chunks(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[tuple]:
+    """Ranges, labels and predictions of each packed row."""
+    for batch in batches:
+        for codes, labels, predictions in zip(*(batch[c].to_pylist() for c in CHUNK_COLUMNS)):
+            labels = np.frombuffer(labels)
+            yield np.frombuffer(codes, kind).reshape(len(labels), -1), labels, np.frombuffer(predictions)
 
 
 def _rest(labels: np.ndarray, predictions: np.ndarray) -> np.ndarray:
@@ -132,7 +141,7 @@ def _rest(labels: np.ndarray, predictions: np.ndarray) -> np.ndarray:
     return np.copysign(whole + (np.abs(steps) - whole >= 0.5), steps) * GRAIN
 
 
-def _tally(chunks: Iterator[tuple], tree: _Tree, level: int, open_: list[int], bins: int) -> Iterator[np.ndarray]:
+def _tally(chunks: Iterator[tuple], tree: _Tree, level: int, open_: list[int], bins: int) -> Iterator[pa.RecordBatch]:
     """Per open node, feature and range: rows, and sums of what is left over and of its squares."""
     slots = np.full(len(tree.input), -1)
     slots[open_] = np.arange(len(open_))
@@ -148,7 +157,7 @@ def _tally(chunks: Iterator[tuple], tree: _Tree, level: int, open_: list[int], b
             for k, weights in enumerate((None, rest, rest * rest)):
                 total[k, i] += np.bincount(place, weights, total.shape[2])
     if total is not None:
-        yield total.reshape(3, total.shape[1], len(open_), bins)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["tally"])
 
 
 def _best_split(stats: np.ndarray, present: list[np.ndarray]) -> tuple | None:
@@ -174,14 +183,14 @@ def _best_split(stats: np.ndarray, present: list[np.ndarray]) -> tuple | None:
     return best
 
 
-def _fit_tree(chunks: RDD, depth: int, bins: int) -> _Tree:
+def _fit_tree(packed: DataFrame, depth: int, bins: int, kind: np.dtype) -> _Tree:
     """One tree, level by level. A level is one job: tasks tally their rows, and the sums of all tasks,
     bounded by nodes, features and ranges, come to the driver."""
     tree, open_, present = _Tree(), [0], None
-    deep = 2 if chunks.getNumPartitions() > 64 else 1
     for level in range(max(depth, 1)):
-        stats = chunks.mapPartitions(lambda part, now=(tree, level, open_, bins): _tally(part, *now)).treeReduce(
-            np.add, deep)
+        tallies = packed.mapInArrow(
+            lambda part, now=(tree, level, open_, bins): _tally(_chunks(part, kind), *now), "tally binary").collect()
+        stats = sum(np.frombuffer(r.tally) for r in tallies).reshape(3, -1, len(open_), bins)
         if present is None:
             present = [np.flatnonzero(stats[0, i, 0]) for i in range(stats.shape[1])]
             count, total = stats[:2, 0, 0].sum(axis=1) if stats.shape[1] else (1.0, 0.0)
@@ -203,10 +212,10 @@ def _fit_tree(chunks: RDD, depth: int, bins: int) -> _Tree:
     return tree
 
 
-def _after(chunks: Iterator[tuple], tree: _Tree, depth: int, rate: float) -> Iterator[tuple]:
+def _after(chunks: Iterator[tuple], tree: _Tree, depth: int, rate: float) -> Iterator[pa.RecordBatch]:
     values = np.array(tree.value)
     for codes, labels, predictions in chunks:
-        yield codes, labels, predictions + rate * values[tree.walk(codes, depth)]
+        yield _bytes((codes, labels, predictions + rate * values[tree.walk(codes, depth)]))
 
 
 def _grow(spark: SparkSession, rows: DataFrame, first: int, last: int, cuts: list[list[float]],
@@ -218,13 +227,13 @@ def _grow(spark: SparkSession, rows: DataFrame, first: int, last: int, cuts: lis
     size = max([1, *[len(ends) + 1 for ends in cuts]])
     kind = np.min_scalar_type(size)
     now = rows.where("fitted").select("ranges", "label", "prediction").mapInArrow(
-        lambda batches: _packed(batches, kind), "ranges binary, label binary, prediction binary",
-    ).rdd.map(lambda row: _chunk(row, kind)).persist(StorageLevel.MEMORY_AND_DISK)
+        lambda batches: _packed(batches, kind), CHUNK).persist(StorageLevel.MEMORY_AND_DISK)
     grown: list[_Tree] = []
     for _ in range(first, last + 1):
-        tree = _fit_tree(now, depth, size)
+        tree = _fit_tree(now, depth, size, kind)
         grown.append(tree)
-        before, now = now, now.mapPartitions(lambda part, tree=tree: _after(part, tree, depth, rate)).persist(
+        before, now = now, now.mapInArrow(
+            lambda part, tree=tree: _after(_chunks(part, kind), tree, depth, rate), CHUNK).persist(
             StorageLevel.MEMORY_AND_DISK)
         if len(grown) > 1:
             older.unpersist()
