@@ -96,3 +96,19 @@ def test_sources_keep_to_the_rules():
 def test_views_of_newest_rows_shuffle_once(spark, key, exchanges):
     """No duplicate removal in front of the group limit."""
     assert len(re.findall(r"Exchange hashpartitioning", plan(PLAIN[key](spark, FOLDER)))) == exchanges
+
+
+def test_matching_shuffles_each_side_once_per_key(spark):
+    """No table of all lines is shuffled anew for the join with invoices; digests of mirrors are bytes."""
+    from harvestline.sources import changes
+
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")
+    try:
+        text = plan(PLAIN["gd_invoice_matching"](spark, FOLDER))
+    finally:
+        spark.conf.set(limit, before)
+    assert len(re.findall(r"Exchange hashpartitioning", text)) == 5   # six with a full join in front
+    rows = spark.createDataFrame([(1, "a")], "k long, v string")
+    assert changes._digests(rows, ["k"], "new").schema["new_digest"].dataType.simpleString() == "binary"
