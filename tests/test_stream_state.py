@@ -144,3 +144,21 @@ def test_drafts_wait_for_the_watermark_and_closed_periods_reject(spark):
     got = decided(spark, [first, [("c", at(70), 10.0)], [("late", at(3), 1.0)], [BEAT]], "5 days", 100.0)
     assert got["a"] == (True, 40.0) and got["b"] == (False, None) and got["c"] == (True, 90.0)
     assert got.get("late", (False, None)) == (False, None)
+
+
+def test_order_views_count_copies_once_without_stream_state(spark):
+    """Events delivered again in a later batch change nothing; no operator of the stream keeps state."""
+    suppliers = spark.createDataFrame([(0, "n", "t")], "supplier_id long, supplier_name string, tier string")
+    folders = {f: scratch_path(spark, f) for f in SCHEMAS}
+    out, rows = scratch_path(spark, "joined"), order_rows(1, 6)
+    streams = {f: stream(spark, folders[f], SCHEMAS[f]) for f in SCHEMAS}
+    for names in (tuple(SCHEMAS), ("receipts",)):
+        for f in names:
+            drop_file(spark, rows[f], SCHEMAS[f], folders[f])
+        query = joined.stream_order_views(**streams, suppliers=suppliers, path=out, checkpoint=f"{out}-cp")
+        query.awaitTermination()
+        assert not any(p.stateOperators for p in query.recentProgress)
+    batch = {f: spark.createDataFrame(rows[f], SCHEMAS[f]) for f in SCHEMAS}
+    columns = ["po_number", "po_item", "event_id", "po_status", "qty_received_g"]
+    want = gold.open_po_lines(batch["orders"], batch["receipts"], suppliers)
+    assert rows_of(joined.OrderViews(spark, out).lines.read(), *columns) == rows_of(want, *columns)
