@@ -5,11 +5,12 @@ Tree 0 is a single leaf, the mean label; each further tree fits what the trees b
 and its values are already multiplied by the learning rate. Rows of the table are nodes: a row goes
 right where its feature exceeds the threshold, and a leaf is its own left and right child.
 
-Fitting. Every feature is cut once into at most `bins` ranges. A tree grows by one job a level, over rows
-cached as arrays of ranges: tasks tally rows and left-over sums by node, feature and range, as Spark's tree
-learner does, whose splits these are (it looks for ranges in a sample of 10,000 rows, here all count).
-After each block of trees the trees and the prediction of every row are tables of a step log, so a fit
-that was cut off goes on with the first block the log lacks. What is left over is taken in steps of
+Fitting. Every feature is cut once into at most `bins` ranges. A block of trees grows in one job, whose
+tasks run side by side, each over its rows as arrays in a file of its own: level by level they tally rows and
+left-over sums by node, feature and range, as Spark's tree learner does, whose splits these are (it looks for
+ranges in a sample of 10,000 rows, here all count). After each block of trees the trees and the prediction of
+every fitted row are tables of a step log, so a fit that was cut off goes on with the first block the log
+lacks; the last block gives the predictions of all rows. What is left over is taken in steps of
 `GRAIN`: sums of it are exact whatever the order of tasks, so a rerun grows the same trees. The squares
 that are summed stay exact up to some 2 million rows of the largest possible error, and many more of
 usual ones.
@@ -20,15 +21,19 @@ every threshold, NaN as above; without any labelled row there is no model (Value
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator, Sequence
+import os
+import pickle
+import tempfile
+import time
+import uuid
+from collections.abc import Callable, Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import BarrierTaskContext, StorageLevel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harvestline.constants import FEATURES
@@ -40,9 +45,12 @@ NODES = "tree int, node int, depth int, input int, threshold double, left int, r
 
 CHUNK_COLUMNS = ["ranges", "label", "prediction"]
 CHUNK = ", ".join(f"{c} binary" for c in CHUNK_COLUMNS)
+CHUNK_ROWS = 32_768     # rows tallied at once: their arrays stay in the cache of a core
+CELLS = 1024            # ranges that features counted together have at most, as a product
+ROUTED = 64             # nodes of a tree that is walked by masks; larger ones row by row
 
-WALKED = ["input", "threshold", "left", "right", "value"]
-PACKED = "input: array<int>, threshold: array<double>, left: array<int>, right: array<int>, value: array<double>"
+EXCHANGE = "_exchange"
+GROWN = "input array<int>, cut array<int>, left array<int>, value array<double>"
 
 
 class Boosted(NamedTuple):
@@ -68,20 +76,54 @@ def _ranges(features: list[str], cuts: list[list[float]]) -> Column:
     return F.array(*[passed(c, ends) for c, ends in zip(features, cuts, strict=True)])
 
 
+def _codes(values: pa.Array | pd.Series, ends: np.ndarray, kind: np.dtype) -> np.ndarray:
+    """The same for a batch of one feature, where null is given or -infinity."""
+    known = values.fill_null(-np.inf) if isinstance(values, pa.Array) else values
+    return np.searchsorted(ends, known.to_numpy(), side="left").astype(kind)
+
+
+class _Walk(NamedTuple):
+    """A tree that rows of ranges walk down: right where the range of the input exceeds the cut."""
+
+    input: Sequence[int]
+    cut: Sequence[int]
+    left: Sequence[int]
+    right: Sequence[int]
+
+    def marks(self, codes: np.ndarray, marks: np.ndarray) -> np.ndarray:
+        """Per row the mark of the leaf it falls into. `codes` holds one array a feature."""
+        if len(self.input) > ROUTED:
+            return marks[self._rows(codes)]
+        found = self._masked(codes, marks, 0)
+        return found if found.ndim else np.full(codes.shape[1], found)
+
+    def _masked(self, codes: np.ndarray, marks: np.ndarray, node: int) -> np.ndarray:
+        if self.input[node] < 0:
+            return marks[node]
+        left, right = (self._masked(codes, marks, side[node]) for side in (self.left, self.right))
+        above = np.negative((codes[self.input[node]] > self.cut[node]).astype(marks.dtype))     # all bits or none
+        return left ^ ((left ^ right) & above)
+
+    def _rows(self, codes: np.ndarray) -> np.ndarray:
+        at, rows = np.zeros(codes.shape[1], np.int64), np.arange(codes.shape[1])
+        inputs, cuts, left, right = map(np.array, self)
+        while (inner := inputs[at] >= 0).any():
+            at = np.where(inner, np.where(codes[inputs[at], rows] > cuts[at], right[at], left[at]), at)
+        return at
+
+    def values(self, codes: np.ndarray, values: Sequence[float]) -> np.ndarray:
+        return np.array(values)[self.marks(codes, np.arange(len(values), dtype=np.min_scalar_type(len(values))))]
+
+
 class _Tree:
     """A tree while it grows: nodes in the order they are made, the right child next to the left one."""
 
-    def __init__(self) -> None:
-        self.input, self.cut, self.left, self.value = [-1], [0], [0], [0.0]
+    def __init__(self, input: Sequence[int] = (-1,), cut: Sequence[int] = (0,), left: Sequence[int] = (0,),
+                 value: Sequence[float] = (0.0,)) -> None:
+        self.input, self.cut, self.left, self.value = list(input), list(cut), list(left), list(value)
 
-    def walk(self, codes: np.ndarray, steps: int) -> np.ndarray:
-        """Node that each row of ranges stands in after so many steps down."""
-        at, rows = np.zeros(len(codes), np.int64), np.arange(len(codes))
-        inputs, cuts, left = np.array(self.input), np.array(self.cut), np.array(self.left)
-        for _ in range(steps):
-            right = codes[rows, inputs[at]] > cuts[at]
-            at = np.where(inputs[at] >= 0, left[at] + right, at)
-        return at
+    def walk(self) -> _Walk:
+        return _Walk(self.input, self.cut, self.left, [child + 1 for child in self.left])
 
     def split(self, node: int, found: int, cut: int, values: tuple[float, float]) -> None:
         self.input[node], self.cut[node], self.left[node] = found, cut, len(self.input)
@@ -113,13 +155,18 @@ class _Tree:
         return made
 
 
-def _packed(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[pa.RecordBatch]:
-    """Ranges, labels and predictions of a batch as one row of bytes."""
+def _packed(batches: Iterator[pa.RecordBatch], cuts: list[np.ndarray], kind: np.dtype,
+            base: float) -> Iterator[pa.RecordBatch]:
+    """Ranges, labels and first predictions of a batch of features and labels as one row of bytes."""
     for batch in batches:
         if batch.num_rows:
-            columns = (batch["ranges"].flatten().to_numpy().astype(kind),
-                       *(batch[c].to_numpy(zero_copy_only=False) for c in ("label", "prediction")))
-            yield _bytes(columns)
+            codes = [_codes(batch.column(i), ends, kind) for i, ends in enumerate(cuts)]
+            yield _bytes((_together(codes, batch.num_rows, kind), batch["label"].to_numpy(),
+                          np.full(batch.num_rows, base)))
+
+
+def _together(codes: list[np.ndarray], rows: int, kind: np.dtype) -> np.ndarray:
+    return np.stack(codes) if codes else np.zeros((0, rows), kind)
 
 
 def _bytes(columns: Sequence[np.ndarray]) -> pa.RecordBatch:
@@ -131,7 +178,17 @@ def _chunks(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[tuple
     for batch in batches:
         for codes, labels, predictions in zip(*(batch[c].to_pylist() for c in CHUNK_COLUMNS)):
             labels = np.frombuffer(labels)
-            yield np.frombuffer(codes, kind).reshape(len(labels), -1), labels, np.frombuffer(predictions)
+            features = len(codes) // (len(labels) * kind.itemsize)
+            yield np.frombuffer(codes, kind).reshape(features, len(labels)), labels, np.frombuffer(predictions)
+
+
+def _after(chunks: Iterator[tuple], grown: Sequence[_Tree], rate: float) -> Iterator[tuple]:
+    """Chunks with the predictions after more trees."""
+    walks = [(tree.walk(), tree.value) for tree in grown]
+    for codes, labels, predictions in chunks:
+        for walk, values in walks:
+            predictions = predictions + rate * walk.values(codes, values)
+        yield codes, labels, predictions
 
 
 def _rest(labels: np.ndarray, predictions: np.ndarray) -> np.ndarray:
@@ -141,23 +198,146 @@ def _rest(labels: np.ndarray, predictions: np.ndarray) -> np.ndarray:
     return np.copysign(whole + (np.abs(steps) - whole >= 0.5), steps) * GRAIN
 
 
-def _tally(chunks: Iterator[tuple], tree: _Tree, level: int, open_: list[int], bins: int) -> Iterator[pa.RecordBatch]:
-    """Per open node, feature and range: rows, and sums of what is left over and of its squares."""
-    slots = np.full(len(tree.input), -1)
-    slots[open_] = np.arange(len(open_))
-    total = None
-    for codes, labels, predictions in chunks:
-        if total is None:
-            total = np.zeros((3, codes.shape[1], len(open_) * bins))
-        slot = slots[tree.walk(codes, level)]
-        inside = slot >= 0
-        codes, slot, rest = codes[inside], slot[inside] * bins, _rest(labels, predictions)[inside]
-        for i in range(codes.shape[1]):
-            place = slot + codes[:, i]
-            for k, weights in enumerate((None, rest, rest * rest)):
-                total[k, i] += np.bincount(place, weights, total.shape[2])
-    if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["tally"])
+def _bundles(sizes: Sequence[int]) -> list[list[int]]:
+    """Features that are counted together: one count over their common ranges gives those of each."""
+    found: list[list] = []
+    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+        for bundle in found:
+            if bundle[0] * sizes[i] <= CELLS:
+                bundle[0] *= sizes[i]
+                bundle[1].append(i)
+                break
+        else:
+            found.append([sizes[i], [i]])
+    return [features for _, features in found]
+
+
+def _tally(chunks: Iterator[tuple], tree: _Tree, open_: list[int], sizes: Sequence[int]) -> np.ndarray:
+    """Per open node, feature and range: rows, and sums of what is left over and of its squares.
+
+    `chunks` are ranges and what is left over.
+    """
+    slots = len(open_) + 1      # the last one is for rows in closed nodes
+    marks = np.full(len(tree.input), len(open_), np.min_scalar_type(slots))
+    marks[open_] = np.arange(len(open_))
+    walk, bundles = tree.walk(), _bundles(sizes)
+    shapes = [(slots, *(sizes[i] for i in bundle)) for bundle in bundles]
+    totals = [np.zeros((3, np.prod(shape))) for shape in shapes]
+    for codes, rest in chunks:
+        slot, weights = walk.marks(codes, marks), (None, rest, rest * rest)
+        for bundle, total in zip(bundles, totals):
+            place = slot.astype(np.min_scalar_type(total.shape[1]))
+            for i in bundle:
+                place = place * place.dtype.type(sizes[i]) + codes[i]
+            place = place.astype(np.intp)
+            for k in range(3):
+                total[k] += np.bincount(place, weights[k], total.shape[1])
+    stats = np.zeros((3, len(sizes), len(open_), max([1, *sizes])))
+    for bundle, total, shape in zip(bundles, totals, shapes):
+        whole = total.reshape(3, *shape)[:, :-1]
+        for at, i in enumerate(bundle):
+            others = tuple(2 + other for other in range(len(bundle)) if other != at)
+            stats[:, i, :, :sizes[i]] = whole.sum(axis=others)
+    return stats
+
+
+class _Held:
+    """Rows of one task while trees grow, as arrays in a file of the task that the system may keep in memory."""
+
+    def __init__(self, chunks: Iterator[tuple]) -> None:
+        folder = (os.environ.get("SPARK_LOCAL_DIRS") or "").split(",")[0]
+        self.file = tempfile.TemporaryFile(dir=folder if os.path.isdir(folder) else None)
+        shapes = [self._write(several) for several in _gathered(chunks)]
+        self.chunks, at = [], 0
+        if not shapes:
+            return
+        held = np.memmap(self.file, np.uint8, "r+")
+        for features, rows, kind in shapes:
+            parts = []
+            for size, type_ in ((features * rows, kind), (rows, np.float64), (rows, np.float64), (rows, np.float64)):
+                parts.append(held[at:at + size * np.dtype(type_).itemsize].view(type_))
+                at += -(-parts[-1].nbytes // 8) * 8
+            self.chunks.append((parts[0].reshape(features, rows), *parts[1:]))
+
+    def _write(self, several: list[tuple]) -> tuple:
+        codes = np.concatenate([c[0] for c in several], axis=1)
+        labels, predictions = (np.concatenate([c[k] for c in several]) for k in (1, 2))
+        for part in (codes, labels, predictions, _rest(labels, predictions)):
+            self.file.write(part.tobytes() + bytes(-part.nbytes % 8))
+        self.file.flush()
+        return *codes.shape, codes.dtype
+
+    def rows(self) -> Iterator[tuple]:
+        return ((codes, rest) for codes, _, _, rest in self.chunks)
+
+    def add(self, tree: _Tree, rate: float) -> None:
+        for codes, labels, predictions, rest in self.chunks:
+            predictions += rate * tree.walk().values(codes, tree.value)
+            rest[:] = _rest(labels, predictions)
+
+
+def _gathered(chunks: Iterator[tuple]) -> Iterator[list[tuple]]:
+    """Small chunks put together to some `CHUNK_ROWS` rows."""
+    several, rows = [], 0
+    for chunk in chunks:
+        several.append(chunk)
+        rows += len(chunk[1])
+        if rows >= CHUNK_ROWS:
+            yield several
+            several, rows = [], 0
+    if several:
+        yield several
+
+
+class _Exchange:
+    """What the first task of a barrier stage asks the others, and their answers, as files in a folder that
+    all of them reach. (Spark's own `allGather` takes a second each time.)"""
+
+    def __init__(self, folder: str, tasks: int) -> None:
+        self.context, self.tasks, self.turn = BarrierTaskContext.get(), tasks, 0
+        self.me = self.context.partitionId()
+        # a stage that is tried once more has a folder of its own
+        self.folder = f"{folder}/{uuid.uuid4().hex}"
+        if self.me == 0:
+            os.makedirs(self.folder)
+        self.folder = self.context.allGather(self.folder)[0]
+        if not os.path.isdir(self.folder):
+            raise FileNotFoundError(f"not all executors reach {self.folder}")
+
+    def _put(self, name: str, content: bytes) -> None:
+        with open(f"{self.folder}/_{name}", "wb") as file:
+            file.write(content)
+        os.rename(f"{self.folder}/_{name}", f"{self.folder}/{name}")
+
+    def _get(self, name: str) -> bytes:
+        pause = 0.0005
+        while not os.path.exists(f"{self.folder}/{name}"):
+            time.sleep(pause)
+            pause = min(pause * 1.1, 0.01)
+        with open(f"{self.folder}/{name}", "rb") as file:
+            return file.read()
+
+    def ask(self, question: object, answer: Callable[[], np.ndarray]) -> np.ndarray:
+        """The answers of all tasks, the own one included, added up."""
+        self.turn += 1
+        self._put(f"{self.turn}", pickle.dumps(question))
+        total, names = answer(), [f"{self.turn}-{i}" for i in range(1, self.tasks)]
+        for name in names:
+            total += np.frombuffer(self._get(name)).reshape(total.shape)
+        for name in (f"{self.turn}", *names):
+            os.unlink(f"{self.folder}/{name}")
+        return total
+
+    def close(self) -> None:
+        self._put(f"{self.turn + 1}", pickle.dumps(None))
+
+    def questions(self) -> Iterator[object]:
+        while (question := pickle.loads(self._get(f"{self.turn + 1}"))) is not None:
+            self.turn += 1
+            yield question
+
+    def reply(self, stats: np.ndarray) -> None:
+        self._put(f"{self.turn}-{self.me}", stats.tobytes())
 
 
 def _best_split(stats: np.ndarray, present: list[np.ndarray]) -> tuple | None:
@@ -183,14 +363,11 @@ def _best_split(stats: np.ndarray, present: list[np.ndarray]) -> tuple | None:
     return best
 
 
-def _fit_tree(packed: DataFrame, depth: int, bins: int, kind: np.dtype) -> _Tree:
-    """One tree, level by level. A level is one job: tasks tally their rows, and the sums of all tasks,
-    bounded by nodes, features and ranges, come to the driver."""
+def _fit_tree(tallies: Callable[[_Tree, list[int]], np.ndarray], depth: int) -> _Tree:
+    """One tree, level by level; `tallies` gives those of all rows for the open nodes of a tree."""
     tree, open_, present = _Tree(), [0], None
-    for level in range(max(depth, 1)):
-        tallies = packed.mapInArrow(
-            lambda part, now=(tree, level, open_, bins): _tally(_chunks(part, kind), *now), "tally binary").collect()
-        stats = sum(np.frombuffer(r.tally) for r in tallies).reshape(3, -1, len(open_), bins)
+    for _ in range(max(depth, 1)):
+        stats = tallies(tree, open_)
         if present is None:
             present = [np.flatnonzero(stats[0, i, 0]) for i in range(stats.shape[1])]
             count, total = stats[:2, 0, 0].sum(axis=1) if stats.shape[1] else (1.0, 0.0)
@@ -212,45 +389,97 @@ def _fit_tree(packed: DataFrame, depth: int, bins: int, kind: np.dtype) -> _Tree
     return tree
 
 
-def _after(chunks: Iterator[tuple], tree: _Tree, depth: int, rate: float) -> Iterator[pa.RecordBatch]:
-    values = np.array(tree.value)
-    for codes, labels, predictions in chunks:
-        yield _bytes((codes, labels, predictions + rate * values[tree.walk(codes, depth)]))
-
-
-def _grow(spark: SparkSession, rows: DataFrame, first: int, last: int, cuts: list[list[float]],
-          depth: int, bins: int, rate: float) -> tuple[DataFrame, DataFrame]:
-    """Trees `first` to `last` and the rows with the predictions after them.
+def _grow(packed: DataFrame, count: int, sizes: list[int], depth: int, kind: np.dtype, rate: float,
+          folder: str) -> list[_Tree]:
+    """So many more trees, in one job: its tasks run side by side and hold their rows; the first one grows
+    the trees and asks all for their tallies, level by level, through files in `folder`.
 
-    The fitted rows stay cached as arrays of ranges, with the prediction of the trees so far.
+    Where workers can't open the folder as a path, or executors come and go, a level is one job.
     """
-    size = max([1, *[len(ends) + 1 for ends in cuts]])
-    kind = np.min_scalar_type(size)
-    now = rows.where("fitted").select("ranges", "label", "prediction").mapInArrow(
-        lambda batches: _packed(batches, kind), CHUNK).persist(StorageLevel.MEMORY_AND_DISK)
-    grown: list[_Tree] = []
-    for _ in range(first, last + 1):
-        tree = _fit_tree(now, depth, size, kind)
-        grown.append(tree)
-        before, now = now, now.mapInArrow(
-            lambda part, tree=tree: _after(_chunks(part, kind), tree, depth, rate), CHUNK).persist(
-            StorageLevel.MEMORY_AND_DISK)
-        if len(grown) > 1:
-            older.unpersist()
-        older = before
-    older.unpersist()
-    now.unpersist()
+    spark = packed.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    plain = path.getFileSystem(spark._jsc.hadoopConfiguration()).getScheme() == "file"
+    if not plain or spark.conf.get("spark.dynamicAllocation.enabled", "false") == "true":
+        return _grow_by_jobs(packed, count, sizes, depth, kind, rate)
+    context = spark.sparkContext._jsc.sc()
+    tasks = max(1, context.maxNumConcurrentTasks(context.resourceProfileManager().defaultResourceProfile()))
+    folder = path.toUri().getPath()
+
+    def grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, exchange, made = _Held(_chunks(batches, kind)), _Exchange(folder, tasks), []
+
+        def answer(before: _Tree | None, tree: _Tree, open_: list[int]) -> np.ndarray:
+            if before is not None:
+                held.add(before, rate)
+            return _tally(held.rows(), tree, open_, sizes)
+
+        if exchange.me:
+            for question in exchange.questions():
+                exchange.reply(answer(*question))
+            return
+
+        def tallies(tree: _Tree, open_: list[int]) -> np.ndarray:
+            before = made[-1] if made and len(tree.input) == 1 else None    # a new tree: the last one counts
+            return exchange.ask((before, tree, open_), lambda: answer(before, tree, open_))
+
+        for _ in range(count):
+            made.append(_fit_tree(tallies, depth))
+        exchange.close()
+        whole, real = pa.list_(pa.int32()), pa.list_(pa.float64())
+        yield pa.RecordBatch.from_pylist([vars(tree) for tree in made], pa.schema(
+            [("input", whole), ("cut", whole), ("left", whole), ("value", real)]))
+
+    made = packed.repartition(tasks).mapInArrow(grown, GROWN, barrier=True)
+    return [_Tree(**tree.asDict()) for tree in made.collect()]
+
+
+def _grow_by_jobs(packed: DataFrame, count: int, sizes: list[int], depth: int, kind: np.dtype,
+                  rate: float) -> list[_Tree]:
+    """The same, where the sums of all tasks come to the driver after every level."""
+    packed, made = packed.persist(StorageLevel.MEMORY_AND_DISK), []
+
+    def tallied(batches: Iterator[pa.RecordBatch], now: tuple, before: list[_Tree]) -> Iterator[pa.RecordBatch]:
+        left_over = ((codes, _rest(labels, sums)) for codes, labels, sums in _after(_chunks(batches, kind), before, rate))
+        yield pa.RecordBatch.from_arrays([pa.array([_tally(left_over, *now, sizes).tobytes()], pa.binary())], ["tally"])
+
+    def tallies(*now) -> np.ndarray:
+        parts = packed.mapInArrow(lambda part, before=list(made): tallied(part, now, before), "tally binary").collect()
+        return sum(np.frombuffer(r.tally) for r in parts).reshape(3, len(sizes), len(now[1]), max([1, *sizes]))
+
+    for _ in range(count):
+        made.append(_fit_tree(tallies, depth))
+    packed.unpersist()
+    return made
+
+
+def _walks(nodes: Sequence, ends: list[np.ndarray]) -> list[tuple[_Walk, list[float]]]:
+    """Rows of a table of trees as walks over ranges that end at `ends`, in order of the trees."""
+    trees: dict[int, list] = {}
+    for node in sorted(nodes, key=lambda n: (n[0], n[1])):
+        trees.setdefault(node[0], []).append(node)
+    return [(_Walk([n[3] for n in tree],
+                   [int(np.searchsorted(ends[n[3]], n[4])) if n[3] >= 0 else 0 for n in tree],
+                   [n[5] for n in tree], [n[6] for n in tree]), [n[7] for n in tree])
+            for _, tree in sorted(trees.items())]
+
+
+def _sum_of(nodes: Sequence, ends: list[np.ndarray], inputs: Sequence[Column]) -> Column:
+    """Sum of the values of the leaves that a row falls into; the model is bounded by its trees."""
+    walks, kind = _walks(nodes, ends), np.min_scalar_type(max([1, *map(len, ends)]))
 
     @F.pandas_udf("double")
-    def added(ranges: pd.Series, prediction: pd.Series) -> pd.Series:
-        codes = np.array(ranges.tolist()).reshape(len(ranges), len(cuts))
-        for tree in grown:
-            prediction = prediction + rate * np.array(tree.value)[tree.walk(codes, depth)]
-        return prediction
+    def total(*values: pd.Series) -> pd.Series:
+        codes = [_codes(column, known, kind) for column, known in zip(values, ends)]
+        # no input of that number: never above a threshold
+        codes += [np.zeros(len(values[0]), kind)] * (len(ends) - len(codes))
+        codes, sums = _together(codes, len(values[0]), kind), np.zeros(len(values[0]))
+        for walk, leaves in walks:
+            sums += walk.values(codes, leaves)
+        return pd.Series(sums)
 
-    nodes = [node for number, tree in enumerate(grown, first) for node in tree.rows(number, cuts, rate)]
-    return (spark.createDataFrame(nodes, NODES).coalesce(1),
-            rows.withColumn("prediction", added("ranges", "prediction")))
+    # pandas can't tell null from NaN; null is below every threshold
+    known = [F.coalesce(c.cast("double"), F.lit(float("-inf"))) for c in inputs]
+    return total(*(known or [F.lit(0.0)]))
 
 
 def fit(labelled: DataFrame, folder: str, run: str, *, fitted: Column | None = None,
@@ -285,23 +514,33 @@ def fit(labelled: DataFrame, folder: str, run: str, *, fitted: Column | None = N
     if base is None:
         raise ValueError("no labelled row to fit")
 
-    start = begun.select("row", "label", "fitted", _ranges(columns, cuts).alias("ranges"),
-                         F.lit(base).alias("prediction"))
+    ends = [np.array(known, np.float64) for known in cuts]
+    sizes = [len(known) + 1 for known in cuts]
+    kind = np.min_scalar_type(max([1, *sizes]))
     blocks = [(first, min(first + block - 1, trees)) for first in range(1, trees + 1, block)]
+    root = (0, 0, 0, -1, None, 0, 0, base)
     latest = "rows-0"
-    log.once(latest, lambda: start)
+    log.once(latest, lambda: chosen.select(*columns, "label").mapInArrow(
+        lambda batches: _packed(batches, ends, kind, base), CHUNK))
     done = log.committed()
     for first, last in blocks:
         name = f"rows-{first}-{last}"
         if name not in done:
             # the table of rows commits a block: trees without it are grown once more
             rows = log.table(latest)
-            grown, after = _grow(spark, rows, first, last, cuts, depth, bins, rate)
-            log.again(f"trees-{first}-{last}", grown)
-            log.again(name, after)
+            grown = _grow(rows, last - first + 1, sizes, depth, kind, rate, f"{log.path}/{EXCHANGE}")
+            log.empty(EXCHANGE)
+            nodes = [node for number, tree in enumerate(grown, first) for node in tree.rows(number, cuts, rate)]
+            log.again(f"trees-{first}-{last}", spark.createDataFrame(nodes, NODES).coalesce(1))
+            if last < trees:
+                log.again(name, rows.mapInArrow(
+                    lambda part, grown=grown: map(_bytes, _after(_chunks(part, kind), grown, rate)), CHUNK))
+            else:
+                known = [root, *(tuple(n) for f, l in blocks for n in log.table(f"trees-{f}-{l}").collect())]
+                log.again(name, begun.select("row", _sum_of(known, ends, [F.col(c) for c in columns]).alias("prediction")))
             log.empty(latest)
         latest = name
-    table = spark.createDataFrame([(0, 0, 0, -1, None, 0, 0, base)], NODES)
+    table = spark.createDataFrame([root], NODES)
     for first, last in blocks:
         table = table.unionByName(log.table(f"trees-{first}-{last}"))
     return Boosted(table, log.table(latest).select("row.*", "prediction"))
@@ -309,31 +548,18 @@ def fit(labelled: DataFrame, folder: str, run: str, *, fitted: Column | None = N
 
 def score(features: DataFrame, trees: DataFrame, name: str = "score",
           inputs: list[str] = FEATURES) -> DataFrame:
-    """Score rows by the table of trees, clipped to 0..1; no join and no Python worker.
+    """Score rows by the table of trees, clipped to 0..1; no join.
 
     The table is bounded by the model, not by the data (250 trees of depth 4 have 7,751 nodes at most):
-    the driver reads it and makes it one constant, which every row walks down in expressions.
+    the driver reads it, and every batch of rows walks down all trees by masks over its columns.
     """
-    model: dict[int, list] = {}
-    for node in trees.orderBy("tree", "node").collect():
-        model.setdefault(node.tree, []).append(node)
-    known = F.from_json(F.lit(json.dumps([
-        {"depth": max(n.depth for n in nodes), **{c: [n[c] for n in nodes] for c in WALKED}}
-        for _, nodes in sorted(model.items())])), f"array<struct<depth: int, {PACKED}>>")
-
-    def leaf(tree: Column, x: Column) -> Column:
-        def down(at: Column, _: Column) -> Column:
-            above = F.get(x, F.get(tree["input"], at)) > F.get(tree["threshold"], at)
-            return F.when(above, F.get(tree["right"], at)).otherwise(F.get(tree["left"], at))
-
-        steps = F.when(tree["depth"] > 0, F.sequence(F.lit(1), tree["depth"])).otherwise(
-            F.array().cast("array<int>"))
-        return F.get(tree["value"], F.aggregate(steps, F.lit(0), down))
-
-    # bound to a variable, the inputs are put together once a row
-    x = F.array(*[F.col(c).cast("double") for c in inputs])
-    total = F.get(F.transform(F.array(x), lambda x: F.aggregate(
-        known, F.lit(0.0), lambda sum_, tree: sum_ + leaf(tree, x))), F.lit(0))
+    nodes = [tuple(n) for n in trees.select(*[c.split()[0] for c in NODES.split(", ")]).collect()]
+    ends: list[set] = [set() for _ in range(max([len(inputs), *[n[3] + 1 for n in nodes]]))]
+    for node in nodes:
+        if node[3] >= 0:
+            ends[node[3]].add(node[4])
+    total = _sum_of(nodes, [np.unique(np.array(sorted(known), np.float64)) for known in ends],
+                    [F.col(c) for c in inputs])
     return features.withColumn(name, F.least(F.greatest(total, F.lit(0.0)), F.lit(1.0)))
 
 

@@ -175,3 +175,40 @@ def test_trees_are_those_of_sparks_learner_in_a_few_jobs_each(spark):
         held = model.transform(held).withColumn("p", F.col("p") + 0.3 * F.col("step")).drop("step").localCheckpoint()
     # a job a level, and what the tables of the fit need whatever the number of trees
     assert jobs <= trees * depth + 40
+
+
+def jobs_of(spark, group, **settings):
+    spark.sparkContext.setJobGroup(group, group)
+    boosting.fit(offers(spark, 1000), scratch_path(spark, "boost"), "r", **{**SETTINGS, "block": 50, **settings})
+    spark.sparkContext.setJobGroup("others", "others")
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_a_block_of_trees_is_one_job(spark):
+    assert jobs_of(spark, "many", trees=12) == jobs_of(spark, "few", trees=2)
+
+
+def test_levels_as_jobs_grow_the_same_trees(spark, fitted, monkeypatch):
+    """What runs where executors come and go or the folder is no path."""
+    by_jobs = lambda *a: boosting._grow_by_jobs(*a[:6])
+    monkeypatch.setattr(boosting, "_grow", by_jobs)
+    assert nodes(boosting.fit(offers(spark), scratch_path(spark, "boost"), "r", **SETTINGS)) == nodes(fitted)
+
+
+def test_scores_of_odd_values_and_deep_trees(spark):
+    """Null is below every threshold, NaN above; equal is not above; a chain longer than masks are used for."""
+    inf, nan = float("inf"), float("nan")
+    small = [(0, 0, 0, -1, None, 0, 0, 0.1), (1, 0, 0, 0, 2.0, 1, 2, 0.0),
+             (1, 1, 1, -1, None, 1, 1, 0.2), (1, 2, 1, 1, -1.0, 3, 4, 0.0),
+             (1, 3, 2, -1, None, 3, 3, 0.3), (1, 4, 2, -1, None, 4, 4, 0.4)]
+    chain = []
+    for i in range(40):
+        chain += [(2, 2 * i, i, 0, float(i), 2 * i + 1, 2 * i + 2, 0.0), (2, 2 * i + 1, i + 1, -1, None, 2 * i + 1, 2 * i + 1, i / 1000)]
+    chain.append((2, 80, 40, -1, None, 80, 80, 0.04))
+    rows = [(None, None), (nan, nan), (2.0, 5.0), (2.5, -1.0), (2.5, -0.5), (inf, None), (-inf, 0.0), (17.0, 0.0)]
+    given = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, a double, b double")
+    scored = boosting.score(given, spark.createDataFrame(small + chain, boosting.NODES), inputs=["a", "b"])
+    assert [r.score for r in scored.orderBy("id").collect()] == pytest.approx(
+        [0.3, 0.54, 0.302, 0.403, 0.503, 0.44, 0.3, 0.517])
+    none = boosting.score(given, spark.createDataFrame([], boosting.NODES), inputs=["a", "b"])
+    assert {r.score for r in none.collect()} == {0.0}
